@@ -245,6 +245,16 @@ SELECT l_suppkey AS symbol, CAST(o_orderdate AS DATE) AS entry_date,
  l_extendedprice AS size, l_returnflag AS exit_reason, o_orderstatus AS regime, CAST(l_quantity AS INTEGER) AS holding_days,
  l_orderkey*1000 + l_linenumber*100 + l_partkey % 100 AS trade_id, sector
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN stocks ON symbol = l_suppkey""")
+cte("journal", "bars", """
+SELECT l_suppkey AS symbol, l_orderkey*1000 + l_linenumber*100 + l_partkey % 100 AS trade_id, b.date AS entry_date, b.date AS signal_date,
+ b.date + CAST(l_quantity AS INTEGER) AS exit_date, CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'closed' END AS status,
+ l_quantity AS qty, b.close AS entry_price, b.close*(1 + l_tax - l_discount) AS exit_price, b.close*(1 - l_tax) AS stop_loss,
+ b.close*(1 + 2*l_discount) AS target, b.close*(1 - l_tax) AS planned_entry_low, b.close*(1 + l_tax) AS planned_entry_high
+FROM lineitem JOIN bars b ON b.symbol = l_suppkey AND b.date = CAST(l_shipdate AS DATE)""")
+cte("last_bars", "panel", """
+SELECT symbol, date, high, low, close, rsi, ema21, prev_low, bar FROM (
+ SELECT *, lag(low) OVER (PARTITION BY symbol ORDER BY date) AS prev_low, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n
+ FROM panel WHERE timeframe = 'D') WHERE n = 1""")
 cte("nav", "idx", """
 SELECT n.date, n.equity, i.level AS benchmark FROM (
  SELECT date, round(1e6 + sum((a - m)/10.0) OVER (ORDER BY date), 4) AS equity FROM (

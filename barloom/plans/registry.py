@@ -33,5 +33,6 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def load_all() -> None:
     from barloom.plans import (  # noqa: F401
+        screen_queries,
         signal_queries,
     )

@@ -207,6 +207,44 @@ class Views:
         )
         return out.join(stocks, "symbol")
 
+    @cached_property
+    def journal(self) -> DataFrame:
+        """Positions: a line item entered at its bar's close, with stop, target and planned zone."""
+        lines = self.table("lineitem").select(
+            F.col("l_suppkey").alias("symbol"),
+            day("l_shipdate").alias("entry_date"),
+            F.when(F.col("l_linestatus") == "O", "open").otherwise("closed").alias("status"),
+            F.col("l_quantity").alias("qty"),
+            F.col("l_tax").alias("tax"),
+            F.col("l_discount").alias("disc"),
+            (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("trade_id"),
+        )
+        bars = self.bars.select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"))
+        price = F.col("entry_price")
+        return lines.join(bars, ["symbol", "entry_date"]).select(
+            "symbol",
+            "trade_id",
+            "entry_date",
+            F.col("entry_date").alias("signal_date"),
+            F.date_add("entry_date", F.col("qty").cast("int")).alias("exit_date"),
+            "status",
+            "qty",
+            "entry_price",
+            (price * (1 + F.col("tax") - F.col("disc"))).alias("exit_price"),
+            (price * (1 - F.col("tax"))).alias("stop_loss"),
+            (price * (1 + 2 * F.col("disc"))).alias("target"),
+            (price * (1 - F.col("tax"))).alias("planned_entry_low"),
+            (price * (1 + F.col("tax"))).alias("planned_entry_high"),
+        )
+
+    @cached_property
+    def last_bars(self) -> DataFrame:
+        """Newest daily bar of each symbol with its indicators and the previous low."""
+        daily = self.panel.filter(F.col("timeframe") == "D")
+        daily = daily.withColumn("prev_low", F.lag("low").over(bars_window("timeframe", "symbol")))
+        row = F.struct("date", "high", "low", "close", "rsi", "ema21", "prev_low", F.col("_bar").alias("bar"))
+        return daily.groupBy("symbol").agg(F.max_by(row, "date").alias("b")).select("symbol", "b.*")
+
     @cached_property
     def nav(self) -> DataFrame:
         daily = self.table("orders").groupBy(day("o_orderdate").alias("date")).agg(
