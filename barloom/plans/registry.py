@@ -35,4 +35,5 @@ def load_all() -> None:
     from barloom.plans import (  # noqa: F401
         screen_queries,
         signal_queries,
+        store_queries,
     )
