@@ -90,21 +90,29 @@ def normalise_ticker(symbol: Column, renames: dict[str, str], suffix: str = ".NS
     return F.when(done, clean).otherwise(F.concat(mapped, F.lit(suffix)))
 
 
+# Fixed value: namespace prefix of the standard filing tags.
+TAG_PREFIX = "in-bse-fin"
+
+
+def tag_pattern(tag: str) -> str:
+    name = f"{TAG_PREFIX}:{tag}"
+    return rf"<{name}\b[^>]*>\s*(-?\d[\d,]*\.?\d*(?:[eE][+-]?\d+)?)\s*</{name}>"
+
+
+def _plain_number(s: Column) -> Column:
+    return F.replace(s, F.lit(","), F.lit("")).try_cast("double")
+
+
 def first_tag_number(text: Column, tags: Sequence[str]) -> Column:
-    """Number inside the first tag, in priority order, that occurs with a numeric body."""
-    found = [
-        F.regexp_extract(text, rf"<(?:[\w-]+:)?{tag}\b[^>]*>\s*(-?[0-9]+(?:\.[0-9]+)?)\s*</", 1).try_cast("double")
-        for tag in tags
-    ]
-    return F.coalesce(*found)
+    """First number of the first tag, in priority order, that has one."""
+    return F.coalesce(*[_plain_number(F.regexp_extract(text, tag_pattern(t), 1)) for t in tags])
 
 
 def first_positive_tag_number(text: Column, tags: Sequence[str]) -> Column:
     """As :func:`first_tag_number`, over every occurrence, keeping the first value above zero."""
     hits = []
-    for tag in tags:
-        pattern = rf"<(?:[\w-]+:)?{tag}\b[^>]*>\s*(-?[0-9]+(?:\.[0-9]+)?)\s*</"
-        values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: s.try_cast("double"))
+    for t in tags:
+        values = F.transform(F.regexp_extract_all(text, F.lit(tag_pattern(t)), F.lit(1)), _plain_number)
         hits.append(F.try_element_at(F.filter(values, lambda v: v > 0), F.lit(1)))
     return F.coalesce(*hits)
 

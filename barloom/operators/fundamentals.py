@@ -1,11 +1,230 @@
-"""Point-in-time fundamentals."""
+"""Point-in-time fundamentals: filing text, versions as of a date, value and quality factors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import text
+from barloom.functions.asof import asof_join
+from barloom.functions.windows import one_series, sure
+from barloom.operators.calendar import minus_two_business_days, roll_forward
+
 c = F.col
+TTM_SPAN_DAYS = 456
+ITEMS = (
+    "revenue", "net_income", "ebit", "total_equity", "total_assets", "total_debt", "shares_outstanding", "cfo",
+)
+# Filing tags of each item, in priority order.
+REVENUE = ("Revenue", "RevenueFromOperations", "RevenueFromContractsWithCustomers", "IncomeFromOperations", "GrossRevenue")
+NET_INCOME = ("ProfitLossForPeriod", "ProfitLossForPeriodFromContinuingOperations", "ProfitLossForThePeriod",
+              "ProfitLossFromOrdinaryActivitiesAfterTax")
+PROFIT_BEFORE_TAX = ("ProfitBeforeExceptionalItemsAndTax", "ProfitLossBeforeExtraordinaryItemsAndTax", "ProfitLossBeforeTax")
+FINANCE_COSTS = ("FinanceCosts", "FinanceCharges", "FinancialCosts", "InterestAndFinanceCharges")
+EQUITY = ("Equity", "EquityAttributableToOwnersOfParent")
+SHARE_CAPITAL = ("PaidUpValueOfEquityShareCapital",)
+RESERVES = ("ReserveExcludingRevaluationReserves",)
+ASSETS = ("Assets", "TotalAssets")
+DEBT = ("Borrowings", "TotalBorrowings")
+LONG_DEBT = ("BorrowingsNoncurrent", "LongTermBorrowings", "NonCurrentBorrowings")
+SHORT_DEBT = ("BorrowingsCurrent", "ShortTermBorrowings", "CurrentBorrowings")
+SHARES = ("NumberOfSharesOutstanding", "NumberOfEquitySharesOutstanding", "NumberOfEquitySharesOutstandingAtEndOfReportingPeriod")
+FACE_VALUE = ("FaceValueOfEquityShareCapital",)
+CFO = ("NetCashFlowsFromUsedInOperatingActivities", "CashFlowsFromUsedInOperatingActivities",
+       "NetCashFromOperatingActivities", "CashGeneratedFromOperations")
+DEBT_RATIO = ("DebtEquityRatio",)
+
+
+def filing_items(doc: Column) -> dict[str, Column]:
+    """Item columns of a filing text; derived items fall back to their parts."""
+
+    def n(tags: Sequence[str]) -> Column:
+        return text.first_tag_number(doc, tags)
+
+    long_debt, short_debt = n(LONG_DEBT), n(SHORT_DEBT)
+    parts = F.when(
+        long_debt.isNotNull() | short_debt.isNotNull(),
+        F.coalesce(long_debt, F.lit(0.0)) + F.coalesce(short_debt, F.lit(0.0)),
+    )
+    shares = text.first_positive_tag_number(doc, SHARE_CAPITAL) / text.first_positive_tag_number(doc, FACE_VALUE)
+    return {
+        "revenue": n(REVENUE),
+        "net_income": n(NET_INCOME),
+        "ebit": n(PROFIT_BEFORE_TAX) + n(FINANCE_COSTS),
+        "total_equity": F.coalesce(n(EQUITY), n(SHARE_CAPITAL) + n(RESERVES)),
+        "total_assets": n(ASSETS),
+        "total_debt": F.coalesce(n(DEBT), parts),
+        "shares_outstanding": F.coalesce(n(SHARES), shares),
+        "cfo": n(CFO),
+        "debt_equity_ratio": n(DEBT_RATIO),
+    }
+
+
+def parse_filings(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Items of each text and the list of those it does not give; whole texts are searched."""
+    out = docs.withColumns(filing_items(c(column)))
+    gaps = F.array_compact(F.array(*[F.when(c(i).isNull(), F.lit(i)) for i in ITEMS]))
+    return out.withColumn("unmapped_items", gaps)
+
+
+def as_of(versions: DataFrame, days: DataFrame, keys: Sequence[str] = ("isin",)) -> DataFrame:
+    """Versions visible on each day: newest available two business days earlier, per period.
+
+    Each version is visible from its own date to the next version's; the days falling
+    in that span are picked from one small calendar array, so nothing is paired that
+    is not part of the result.  ``days`` holds weekdays, one row each.
+    """
+    pairs = days.select(F.struct(minus_two_business_days(c("date")).alias("cutoff"), c("date").alias("date")).alias("p"))
+    calendar = pairs.agg(F.array_sort(F.collect_list("p"))).scalar()
+    until = F.lead("available_date").over(Window.partitionBy(*keys, "period_end").orderBy("available_date"))
+    spans = one_version(versions, keys).withColumn("_until", until)
+    hit = F.filter(
+        c("_days"),
+        lambda p: (p["cutoff"] >= c("available_date")) & (c("_until").isNull() | (p["cutoff"] < c("_until"))),
+    )
+    seen = spans.withColumn("_days", calendar).withColumn("_p", F.explode(hit))
+    return seen.withColumn("as_of", c("_p.date")).drop("_days", "_p", "_until")
+
+
+def one_version(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per (key, period, available date); annual wins over quarterly on a tie."""
+    rest = [x for x in versions.columns if x not in (*keys, "period_end", "available_date")]
+    row = F.struct(*[F.col(x) for x in rest])
+    return (
+        versions.groupBy(*keys, "period_end", "available_date")
+        .agg(F.min_by(row, "statement_type").alias("_r"))
+        .select(*keys, "period_end", "available_date", "_r.*")
+    )
+
+
+STATE_ITEMS = ("net_income", "cfo", "total_equity", "total_assets", "total_debt", "shares_outstanding", "debt_equity_ratio")
+
+
+def item_state(seen: DataFrame, keys: Sequence[str] = ("isin",)) -> DataFrame:
+    """Per (as_of, isin): trailing-year flows, latest stocks and mean annual equity."""
+    by = ["as_of", *keys]
+    kind = Window.partitionBy(*by, "statement_type").orderBy(c("period_end").desc())
+    eq_rank = Window.partitionBy(*by, "statement_type", c("total_equity").isNotNull()).orderBy(c("period_end").desc())
+    df = seen.withColumns({"_n": F.row_number().over(kind), "_e": F.row_number().over(eq_rank)})
+    quarter, annual = c("statement_type") == "Quarterly", c("statement_type") == "Annual"
+    top4 = quarter & (c("_n") <= 4)
+    last = annual & (c("_n") == 1)
+    span = F.datediff(F.max(F.when(top4, c("period_end"))), F.min(F.when(top4, c("period_end"))))
+
+    def ttm(item: str) -> Column:
+        four = F.count(F.when(top4, c(item))) == 4
+        return F.when(four & (span <= TTM_SPAN_DAYS), F.sum(F.when(top4, c(item)))).otherwise(
+            F.max(F.when(last, c(item)))
+        )
+
+    def stock(item: str) -> Column:
+        return F.max_by(item, F.when(c(item).isNotNull(), c("period_end")))
+
+    two = annual & c("total_equity").isNotNull() & (c("_e") <= 2)
+    return df.groupBy(*by).agg(
+        ttm("net_income").alias("ttm_net_income"),
+        ttm("cfo").alias("ttm_cfo"),
+        *[stock(i).alias(i) for i in ("total_equity", "total_assets", "total_debt", "shares_outstanding", "debt_equity_ratio")],
+        F.coalesce(F.avg(F.when(two, c("total_equity"))), stock("total_equity")).alias("avg_equity"),
+    )
+
+
+def market_cap(close_raw: Column, shares: Column) -> Column:
+    return close_raw * shares
+
+
+def book_to_price(equity: Column, close_raw: Column, shares: Column) -> Column:
+    cap = market_cap(close_raw, shares)
+    return F.when(cap > 0, equity / cap)
+
+
+def earnings_yield_factor() -> Column:
+    cap = market_cap(c("close_raw"), c("shares_outstanding"))
+    return F.when((c("shares_outstanding") > 0) & (cap > 0), c("ttm_net_income") / cap)
+
+
+def book_to_price_factor() -> Column:
+    return F.when(
+        (c("total_equity") > 0) & (c("shares_outstanding") > 0),
+        book_to_price(c("total_equity"), c("close_raw"), c("shares_outstanding")),
+    )
+
+
+def roe_factor() -> Column:
+    return F.when(c("avg_equity") > 0, c("ttm_net_income") / c("avg_equity"))
+
+
+def accruals_factor() -> Column:
+    return F.when(
+        ~c("is_financial") & (c("total_assets") > 0), -(c("ttm_net_income") - c("ttm_cfo")) / c("total_assets")
+    )
+
+
+def leverage_factor() -> Column:
+    return F.when(
+        ~c("is_financial") & (c("total_equity") > 0),
+        F.coalesce(
+            -(c("total_debt") / c("total_equity")), F.when(c("debt_equity_ratio") >= 0, -c("debt_equity_ratio"))
+        ),
+    )
+
+
+FUNDAMENTAL_FACTORS = {
+    "earnings_yield": earnings_yield_factor,
+    "book_to_price": book_to_price_factor,
+    "roe": roe_factor,
+    "accruals": accruals_factor,
+    "leverage": leverage_factor,
+}
+
+
+def factor_frame(versions: DataFrame, prices: DataFrame, days: DataFrame, financial: DataFrame | None = None) -> DataFrame:
+    """Factors of every name with a price on each rebalance day; missing items stay missing.
+
+    ``prices`` has (isin, date, close_raw); ``days`` the rebalance weekdays.
+    """
+    state = item_state(as_of(versions, days))
+    on_day = prices.join(F.broadcast(days.select("date")), "date", "left_semi").select(
+        "isin", c("date").alias("as_of"), "close_raw"
+    )
+    df = on_day.join(state, ["isin", "as_of"], "left")
+    if financial is None:
+        df = df.withColumn("is_financial", F.lit(False))
+    else:
+        flag = financial.select("isin").distinct().withColumn("is_financial", F.lit(True))
+        df = df.join(flag, "isin", "left").withColumn("is_financial", sure(c("is_financial")))
+    return df.select("isin", c("as_of").alias("date"), *[f().alias(n) for n, f in FUNDAMENTAL_FACTORS.items()])
+
+
+def rebalance_days(calendar: DataFrame) -> DataFrame:
+    """Month-end trading days moved to weekdays."""
+    last = calendar.groupBy(F.trunc("date", "month")).agg(F.max("date").alias("date"))
+    return last.select(roll_forward(c("date")).alias("date")).distinct()
+
+
+def first_filed(versions: DataFrame) -> DataFrame:
+    return versions.groupBy("isin").agg(F.min("available_date").alias("first_filed"))
+
+
+def coverage(eligible: DataFrame, versions: DataFrame, good: DataFrame, name_floor: float = 0.75,
+             weight_floor: float = 0.90) -> DataFrame:
+    """Per date, share of eligible filers that are covered, by count and by weight.
+
+    ``eligible`` is (date, isin, weight); ``good`` (date, isin) of covered names.
+    """
+    filers = eligible.join(first_filed(versions), "isin").filter(c("first_filed") <= minus_two_business_days(c("date")))
+    df = filers.join(good.select("date", "isin", F.lit(1).alias("_ok")), ["date", "isin"], "left")
+    hit = F.coalesce("_ok", F.lit(0))
+    out = df.groupBy("date").agg(F.avg(hit).alias("name_pct"), (F.sum(hit * c("weight")) / F.sum("weight")).alias("weight_pct"))
+    return out.withColumn("failed", (c("name_pct") < name_floor) | (c("weight_pct") < weight_floor))
+
+
+def durable_start(pct: DataFrame, floor: float = 0.75) -> DataFrame:
+    """First date from which the share never falls below the floor again."""
+    w = one_series("date").rowsBetween(0, Window.unboundedFollowing)
+    return pct.withColumn("_low", F.min("pct").over(w)).filter(c("_low") >= floor).agg(F.min("date").alias("start"))
 
 
 def factor_steps(prices: DataFrame, min_step: float = 0.05) -> DataFrame:
@@ -14,5 +233,64 @@ def factor_steps(prices: DataFrame, min_step: float = 0.05) -> DataFrame:
     return prices.select("isin", "date", (c("adj_factor") / prev).alias("step")).filter(F.abs(c("step") - 1) > min_step)
 
 
+def share_reconciliation(steps: DataFrame, versions: DataFrame, tol: float = 0.02) -> DataFrame:
+    """Shares before and after each factor step against the ratio the step implies.
+
+    Before: newest period visible at the ex-date.  After: newest later period visible
+    400 days on.
+    """
+    one = one_version(versions, ["isin"])
+
+    def newest(points: DataFrame, day: Column, tag: str) -> DataFrame:
+        # The newest visible period is the running maximum of period_end by availability.
+        w = Window.partitionBy("isin").orderBy("available_date").rangeBetween(Window.unboundedPreceding, 0)
+        state = one.withColumn("_s", F.max(F.struct("period_end", "available_date", "shares_outstanding")).over(w))
+        state = state.groupBy("isin", c("available_date").alias("_a")).agg(F.max("_s").alias("_s"))
+        state = state.select("isin", "_a", c("_s.period_end").alias(f"p_{tag}"), c("_s.shares_outstanding").alias(f"s_{tag}"))
+        left = points.withColumn("_cut", minus_two_business_days(roll_forward(day)))
+        return asof_join(left, state, ["isin"], "_cut", "_a", [f"p_{tag}", f"s_{tag}"]).drop("_cut")
+
+    df = newest(newest(steps, c("date"), "before"), F.date_add("date", 400), "after")
+    df = df.filter((c("p_after") > c("p_before")) & (c("s_before") != 0))
+    observed = c("s_after") / c("s_before")
+    return df.select(
+        "isin", "date", "step", observed.alias("observed"), (F.abs(observed - c("step")) / c("step") > tol).alias("failed")
+    )
+
+
+def pit_violations(versions: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows filed no later than their period, or shown before they were available."""
+    early = versions.filter(c("available_date") <= c("period_end")).select(
+        "isin", "period_end", "available_date", F.lit("filed before period end").alias("problem")
+    )
+    late = seen.filter(c("available_date") > minus_two_business_days(c("as_of"))).select(
+        "isin", "period_end", "available_date", F.lit("visible before available").alias("problem")
+    )
+    return early.unionByName(late)
+
+
+def replay_cases(versions: DataFrame) -> DataFrame:
+    """Per version two probe days: one on which it must not show, one on which it must (or a newer one)."""
+    base = roll_forward(F.date_add("available_date", 1))
+    return versions.select(
+        "isin",
+        "period_end",
+        "available_date",
+        F.explode(F.array(roll_forward(c("available_date")), roll_forward(F.date_add(base, 6)))).alias("as_of"),
+    ).withColumn("visible", c("available_date") <= minus_two_business_days(c("as_of")))
+
+
+def reconciliation(versions: DataFrame, reference: DataFrame, items: Sequence[str], tol: float = 0.02) -> DataFrame:
+    """Latest version of each period against a reference, item by item."""
+    rest = F.struct(*items)
+    newest = versions.groupBy("isin", "period_end").agg(F.max_by(rest, "available_date").alias("_r")).select("isin", "period_end", "_r.*")
+    ours = newest.unpivot(["isin", "period_end"], list(items), "item", "ours")
+    theirs = reference.unpivot(["isin", "period_end"], list(items), "item", "theirs")
+    err = F.when(c("theirs") != 0, F.abs(c("ours") - c("theirs")) / F.abs(c("theirs")))
+    return ours.join(theirs, ["isin", "period_end", "item"]).select(
+        "isin", "period_end", "item", err.alias("rel_error"), sure(err > tol).alias("failed")
+    )
+
+
 def missing_delistings(known: DataFrame, master: DataFrame) -> DataFrame:
     return known.join(master.select("isin").distinct(), "isin", "left_anti").distinct()

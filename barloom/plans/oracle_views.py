@@ -22,23 +22,23 @@ def cte(name: str, deps: str, sql: str) -> None:
 
 def with_views(names: str, body: str) -> str:
     """Prefix ``body`` with the CTEs it needs, dependencies first."""
-    needed: set[str] = set()
+    needed: list[str] = []
 
     def visit(n: str) -> None:
         if n not in needed:
-            needed.add(n)
             for d in CTES[n][0]:
                 visit(d)
+            needed.append(n)
 
     for n in names.split():
         visit(n)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in CTES if n in needed]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in needed]
     body = body.strip()
     if body[:5].upper() == "WITH ":
         body = ", " + body[5:]
     else:
         body = "\n" + body
-    return "WITH " + ",\n".join(parts) + body if parts else body
+    return "WITH RECURSIVE " + ",\n".join(parts) + body if parts else body
 
 
 cte("daily", "", """

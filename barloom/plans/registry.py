@@ -11,7 +11,7 @@ from barloom.session import apply_settings
 from barloom.sources.views import Views, presented
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLE_PARTS: dict[str, tuple[str, str]] = {}
 
 
 def query(name: str, views: str = "", sql: str | None = None):
@@ -25,7 +25,7 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            ORACLE_PARTS[name] = (views, sql)
         return fn
 
     return add
@@ -33,7 +33,12 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def load_all() -> None:
     from barloom.plans import (  # noqa: F401
+        factor_queries,
         screen_queries,
         signal_queries,
         store_queries,
     )
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_views(views, sql) for name, (views, sql) in ORACLE_PARTS.items()}

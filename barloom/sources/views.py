@@ -245,6 +245,18 @@ class Views:
         row = F.struct("date", "high", "low", "close", "rsi", "ema21", "prev_low", F.col("_bar").alias("bar"))
         return daily.groupBy("symbol").agg(F.max_by(row, "date").alias("b")).select("symbol", "b.*")
 
+    @cached_property
+    def prices(self) -> DataFrame:
+        """Bars keyed by isin with their 20-bar median traded value."""
+        df = self.bars.withColumn("isin", F.col("symbol")).drop("ret_micro", "symbol")
+        return df.withColumn("adv_20", rolling_median(F.col("traded_value"), 20, ["isin"]))
+
+    @cached_property
+    def volatility(self) -> DataFrame:
+        """A volatility index with gaps, one row per index day that has one."""
+        dom = F.dayofmonth("date")
+        return self.index.filter(dom % 7 != 0).select("date", (14.0 + dom % 13).alias("vix"))
+
     @cached_property
     def nav(self) -> DataFrame:
         daily = self.table("orders").groupBy(day("o_orderdate").alias("date")).agg(
