@@ -77,9 +77,8 @@ def months_elapsed(start: Column, today: Column) -> Column:
     )
 
 
-def walk_forward(start: str, end: str, min_is_months: int = 24, oos_months: int = 6):
-    """Fold bounds as a Column expression array: expanding in-sample, fixed out-of-sample."""
-    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+def walk_forward(a: Column, b: Column, min_is_months: int = 24, oos_months: int = 6) -> Column:
+    """Array of fold bounds between two dates: expanding in-sample, fixed out-of-sample."""
     first = F.add_months(a, min_is_months)
     starts = F.sequence(first, b, F.make_ym_interval(F.lit(0), F.lit(oos_months)))
     return F.filter(

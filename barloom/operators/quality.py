@@ -141,3 +141,15 @@ def look_ahead(job: Callable[[DataFrame], DataFrame], source: DataFrame, cutoff,
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one result and not the other; two runs of one job give none."""
     return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+def source_comparison(a: DataFrame, b: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Missing rates of two sources and their relative difference where both have a value."""
+    left, right = a.select(*keys, c(column).alias("_a")), b.select(*keys, c(column).alias("_b"))
+    diff = F.abs(c("_a") - c("_b")) / F.abs(c("_a"))
+    return left.join(right, list(keys)).agg(
+        F.avg(c("_a").isNull().cast("double")).alias("missing_a"),
+        F.avg(c("_b").isNull().cast("double")).alias("missing_b"),
+        F.avg(diff).alias("avg_rel_diff"),
+        F.max(diff).alias("max_rel_diff"),
+    )

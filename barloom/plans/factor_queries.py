@@ -178,9 +178,9 @@ SELECT date, row_number() OVER (ORDER BY date) AS k, CASE WHEN close < coalesce(
  WHEN a >= 15 AND r > 60 AND a > 20 THEN 2 WHEN r >= 50 THEN 3 ELSE 1 END AS ask FROM (SELECT i.date, i.close, i.ema200, coalesce(i.rsi, 50) AS r, coalesce(i.adx, 0) AS a, coalesce(br.b, 100) AS b
  FROM idxpanel i LEFT JOIN (SELECT date, avg(CASE WHEN close > ema200 THEN 100.0 ELSE 0 END) AS b FROM panel WHERE timeframe = 'D' AND ema200 IS NOT NULL GROUP BY date) br USING (date))""")
 query("w25_three_state_regime", "asks", f"""
-WITH walk AS (SELECT CAST(0 AS BIGINT) AS k, 1 AS state, 0 AS streak UNION ALL SELECT k, CASE WHEN want <> state AND streak + 1 >= 5 THEN want ELSE state END,
- CASE WHEN want = state OR streak + 1 >= 5 THEN 0 ELSE streak + 1 END FROM (SELECT a.k, w.state, w.streak, CASE WHEN a.ask = 3 THEN CASE WHEN w.state = 2 THEN 2 ELSE 1 END ELSE a.ask END AS want FROM walk w JOIN asks a ON a.k = w.k + 1))
-SELECT CAST(-1 AS BIGINT) AS symbol, {DATE}, state AS regime FROM walk JOIN asks USING (k)""")(lambda v: regime.three_state(
+WITH states AS (SELECT CAST(0 AS BIGINT) AS k, 1 AS state, 0 AS streak UNION ALL SELECT k, CASE WHEN want <> state AND streak + 1 >= 5 THEN want ELSE state END,
+ CASE WHEN want = state OR streak + 1 >= 5 THEN 0 ELSE streak + 1 END FROM (SELECT a.k, w.state, w.streak, CASE WHEN a.ask = 3 THEN CASE WHEN w.state = 2 THEN 2 ELSE 1 END ELSE a.ask END AS want FROM states w JOIN asks a ON a.k = w.k + 1))
+SELECT CAST(-1 AS BIGINT) AS symbol, {DATE}, state AS regime FROM states JOIN asks USING (k)""")(lambda v: regime.three_state(
     indicators.indicator_panel(v.index_bars), regime.ema_breadth(v.panel.filter("timeframe = 'D'"))))
 query("w56_index_trend", "idx", f"""
 SELECT level > e50 AND level > e200 AND e50 > e200 AS bullish FROM (SELECT *, {ema_sql('level', 50, seed='s50').replace('OVER w', 'OVER (ORDER BY date)')} AS e50, {ema_sql('level', 200, seed='s200').replace('OVER w', 'OVER (ORDER BY date)')} AS e200 FROM (
