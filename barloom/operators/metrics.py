@@ -34,7 +34,7 @@ def underwater(nav: DataFrame, column: str = "equity", by: Sequence[str] = ()) -
 def max_drawdown(nav: DataFrame, column: str = "equity", by: Sequence[str] = ()) -> DataFrame:
     """Depth of the worst drawdown and days from its peak to its trough."""
     w = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = underwater(nav, column, by).withColumn("_peak_day", F.max_by("date", F.struct(c(column), -F.datediff("date", F.lit("1970-01-01")))).over(w))
+    df = underwater(nav.filter(c(column).isNotNull()), column, by).withColumn("_peak_day", F.max_by("date", F.struct(c(column), -F.datediff("date", F.lit("1970-01-01")))).over(w))
     worst = F.min(F.struct("drawdown", "date", "_peak_day"))
     out = df.groupBy(*by).agg(worst.alias("_w")) if by else df.agg(worst.alias("_w"))
     return out.select(*by, (-c("_w.drawdown")).alias("max_drawdown"), F.datediff(c("_w.date"), c("_w._peak_day")).alias("dd_days"))

@@ -37,6 +37,7 @@ def load_all() -> None:
         screen_queries,
         signal_queries,
         store_queries,
+        stream_queries,
         trade_queries,
     )
 
