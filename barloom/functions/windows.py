@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRADING_DAYS = 252
+c = F.col
 
 
 def bars_window(*keys: str, order: str = "date") -> WindowSpec:
@@ -37,9 +38,80 @@ def sma(x: Column, n: int, keys: Sequence[str], order: str = "date") -> Column:
     return F.when(F.count(x).over(w) == n, F.avg(x).over(w))
 
 
+def running_mean(x: Column, keys: Sequence[str], order: str = "date") -> Column:
+    """Mean of all values so far: at the n-th value it is the seed of an n-bar average."""
+    return F.avg(x).over(running(keys, order))
+
+
+def with_frame_sums(df: DataFrame, items: dict[str, tuple[Column, int]], keys: Sequence[str], order: str = "date") -> DataFrame:
+    """Add ``name`` (sum) and ``name_n`` (non-null count) over the last n rows for long frames.
+
+    Two passes over one sort: running totals, then each minus its value n rows back.
+    Spark would otherwise re-read the whole frame for every row.
+    """
+    ahead, w = running(keys, order), Window.partitionBy(*keys).orderBy(order)
+    totals = {}
+    for name, (x, _) in items.items():
+        totals[f"_t_{name}"] = F.sum(F.coalesce(x, F.lit(0.0))).over(ahead)
+        totals[f"_c_{name}"] = F.count(x).over(ahead)
+    df = df.withColumns(totals)
+    out = {}
+    for name, (_, n) in items.items():
+        out[name] = c(f"_t_{name}") - F.coalesce(F.lag(f"_t_{name}", n).over(w), F.lit(0.0))
+        out[f"{name}_n"] = c(f"_c_{name}") - F.coalesce(F.lag(f"_c_{name}", n).over(w), F.lit(0))
+    return df.withColumns(out).drop(*totals)
+
+
+def with_rolling_extremes(
+    df: DataFrame, x: str, frames: dict[str, tuple[str, int, int]], keys: Sequence[str], order: str = "date"
+) -> DataFrame:
+    """Rolling max/min over long frames by doubling: a frame of 2k rows is two frames of k.
+
+    ``frames`` maps a name to ("max" | "min", rows, rows back).  Every step is a lag on
+    one shared sort, so a frame costs log2(rows) instead of rows per bar.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    pick = {"max": F.greatest, "min": F.least}
+    kinds = sorted({k for k, _, _ in frames.values()})
+    longest = max(n for _, n, _ in frames.values())
+    size = 1
+    df = df.withColumns({f"_{k}1": F.col(x) for k in kinds})
+    made: dict[str, Column] = {}
+    while size < longest:
+        for name, (k, n, _) in frames.items():
+            if size <= n < 2 * size:
+                made[name] = pick[k](c(f"_{k}{size}"), F.lag(f"_{k}{size}", n - size).over(w)) if n > size else c(f"_{k}{size}")
+        ready = {name: col for name, col in made.items() if name not in df.columns}
+        df = df.withColumns(
+            ready | {f"_{k}{2 * size}": pick[k](c(f"_{k}{size}"), F.lag(f"_{k}{size}", size).over(w)) for k in kinds}
+        )
+        size *= 2
+    late = {
+        name: pick[k](c(f"_{k}{size // 2}"), F.lag(f"_{k}{size // 2}", n - size // 2).over(w))
+        for name, (k, n, _) in frames.items()
+        if name not in df.columns
+    }
+    if late:
+        df = df.withColumns(late)
+    shifted = {name: F.lag(name, back).over(w) for name, (_, _, back) in frames.items() if back}
+    if shifted:
+        df = df.withColumns(shifted)
+    return df.drop(*[col for col in df.columns if any(col.startswith(f"_{k}") and col[len(k) + 1:].isdigit() for k in kinds)])
+
+
+def median_of(values: Column) -> Column:
+    """Median of a small array: mean of its two middle values."""
+    a = F.array_sort(values)
+    n = F.size(a)
+    low = F.try_element_at(a, F.floor((n + 1) / 2).cast("int"))
+    high = F.try_element_at(a, F.floor((n + 2) / 2).cast("int"))
+    return F.when(n > 0, (low + high) / 2)
+
+
 def rolling_median(x: Column, n: int, keys: Sequence[str], min_rows: int = 1) -> Column:
+    """Median of the last n values; the frame's values are collected once per row and sorted."""
     w = trailing(keys, n)
-    return F.when(F.count(x).over(w) >= min_rows, F.percentile(x, F.lit(0.5)).over(w))
+    return F.when(F.count(x).over(w) >= min_rows, median_of(F.collect_list(x).over(w)))
 
 
 def skip_return(x: Column, skip: int, lookback: int, w: WindowSpec) -> Column:

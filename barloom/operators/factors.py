@@ -15,11 +15,14 @@ from barloom.functions.windows import (
     bars_window,
     one_series,
     pct_rank_avg,
+    rolling_median,
     running,
+    running_mean,
     skip_return,
     sma,
     sure,
     trailing,
+    with_frame_sums,
 )
 from barloom.operators.indicators import period_end, true_range
 
@@ -59,7 +62,7 @@ def macd(prices: DataFrame, keys: Sequence[str] = ("isin",), fast: int = 12, slo
 
 def wilder_average(df: DataFrame, x: Column, n: int, keys: Sequence[str] = ("isin",), out: str = "rma") -> DataFrame:
     df = recur.number_bars(df, keys).withColumn("_x", x)
-    df = df.withColumn("_seed", F.avg("_x").over(trailing(keys, n)))
+    df = df.withColumn("_seed", running_mean(c("_x"), keys))
     return recur.solve(df, [recur.wilder_of(out, c("_x"), n, c("_seed"))], keys).drop("_x", "_seed", recur.BAR)
 
 
@@ -82,21 +85,21 @@ def gate_panel(prices: DataFrame, cfg: FactorConfig = FactorConfig()) -> DataFra
     """200-bar EMA, 12-1 momentum and annualised volatility per bar."""
     w = bars_window("isin")
     df = recur.number_bars(prices, ["isin"]).withColumns(
-        {"_seed": F.avg("close").over(trailing(["isin"], 200)), "_ret": c("close") / F.lag("close").over(w) - 1}
+        {"_seed": running_mean(c("close"), ["isin"]), "_ret": c("close") / F.lag("close").over(w) - 1}
     )
     df = recur.solve(df, [recur.ema_of("ema200", c("close"), 200, sma_seed=c("_seed"))], ["isin"])
     total = cfg.mom_lookback + cfg.mom_skip
-    return df.withColumns(
-        {
-            "momentum_12_1": skip_return(c("close"), cfg.mom_skip, total, w),
-            "annualized_vol": _volatility(c("_ret"), cfg.vol_lookback),
-        }
-    ).drop("_seed", "_ret", recur.BAR)
+    df = with_volatility(df, cfg.vol_lookback, "annualized_vol")
+    return df.withColumn("momentum_12_1", skip_return(c("close"), cfg.mom_skip, total, w)).drop("_seed", "_ret", recur.BAR)
 
 
-def _volatility(ret: Column, n: int) -> Column:
-    w = trailing(["isin"], n)
-    return F.when(F.count(ret).over(w) >= max(n // 2, 1), F.stddev_samp(ret).over(w) * F.sqrt(F.lit(TRADING_DAYS)))
+def with_volatility(df: DataFrame, n: int, out: str) -> DataFrame:
+    """Annualised sample deviation of the last n ``_ret`` values, from half a frame on."""
+    df = with_frame_sums(df, {"_v1": (c("_ret"), n), "_v2": (c("_ret") * c("_ret"), n)}, ["isin"])
+    k = c("_v1_n")
+    var = F.greatest((c("_v2") - c("_v1") * c("_v1") / k) / (k - 1), F.lit(0.0))
+    vol = F.when((k >= max(n // 2, 2)), F.sqrt(var) * F.sqrt(F.lit(float(TRADING_DAYS))))
+    return df.withColumn(out, vol).drop("_v1", "_v2", "_v1_n", "_v2_n")
 
 
 def entry_gate(floor: float, momentum_active: bool = True) -> Column:
@@ -120,15 +123,16 @@ def price_factors(prices: DataFrame, cfg: FactorConfig = FactorConfig()) -> Data
     """All price factors as columns, one pass over each instrument."""
     w = bars_window("isin")
     df = prices.select("isin", "date", "close", (c("close") / F.lag("close").over(w) - 1).alias("_ret"))
+    df = with_volatility(df, cfg.vol_lookback, "_vol")
     up = F.when(c("_ret").isNotNull(), (c("_ret") > 0).cast("double"))
-    trend = trailing(["isin"], cfg.trend_lookback)
+    df = with_frame_sums(df, {"_up": (up, cfg.trend_lookback)}, ["isin"])
     return df.select(
         "isin",
         "date",
         skip_return(c("close"), cfg.mom_skip, cfg.mom_lookback + cfg.mom_skip, w).alias("mom_12_1"),
         skip_return(c("close"), cfg.mom6_skip, cfg.mom6_lookback + cfg.mom6_skip, w).alias("mom_6_1"),
-        (-_volatility(c("_ret"), cfg.vol_lookback)).alias("low_vol"),
-        F.when(F.count(up).over(trend) >= max(cfg.trend_lookback // 2, 1), F.avg(up).over(trend)).alias("trend_quality"),
+        (-c("_vol")).alias("low_vol"),
+        F.when(c("_up_n") >= max(cfg.trend_lookback // 2, 1), c("_up") / c("_up_n")).alias("trend_quality"),
         (-skip_return(c("close"), 0, cfg.reversal_lookback, w)).alias("reversal"),
     )
 
@@ -186,9 +190,8 @@ def value_rank(value_frames: DataFrame) -> DataFrame:
 
 def value_tilt(composite: DataFrame, ranks: DataFrame, lam: float) -> DataFrame:
     """Momentum rank plus lambda times the carried value rank; unknown value is neutral."""
-    seen = asof_join(composite, ranks.filter(c("value_rank").isNotNull()), ["isin"], "date", "date2", ["value_rank"], unique_left=True) \
-        if "date2" in ranks.columns else asof_join(
-            composite, ranks.filter(c("value_rank").isNotNull()).withColumn("_vd", c("date")), ["isin"], "date", "_vd", ["value_rank"], unique_left=True)
+    known = ranks.filter(c("value_rank").isNotNull()).withColumn("_vd", c("date"))
+    seen = asof_join(composite, known, ["isin"], "date", "_vd", ["value_rank"], unique_left=True)
     return seen.withColumn("tilted", c("composite") + lam * F.coalesce("value_rank", F.lit(0.5)))
 
 
@@ -238,12 +241,12 @@ def swing_signals(prices: DataFrame, selector_lookback: int = 126) -> DataFrame:
     close = c("close")
     df = macd(prices)
     df = recur.solve(recur.number_bars(df, k), [recur.ema_of("ema_exit", close, 50)], k).drop(recur.BAR)
-    df = atr(df, 20)
+    df = with_frame_sums(atr(df, 20), {"_s50": (close, 50), "_s200": (close, 200)}, k)
     df = df.withColumns(
         {
             "sma_short": sma(close, 20, k),
-            "sma_mid": sma(close, 50, k),
-            "sma_long": sma(close, 200, k),
+            "sma_mid": F.when(c("_s50_n") == 50, c("_s50") / 50),
+            "sma_long": F.when(c("_s200_n") == 200, c("_s200") / 200),
             "mom": close / F.lag("close", selector_lookback).over(w) - 1,
             "_pm": F.lag("macd").over(w),
             "_ps": F.lag("macd_signal").over(w),
@@ -261,7 +264,7 @@ def swing_signals(prices: DataFrame, selector_lookback: int = 126) -> DataFrame:
             "entry": F.when(known, entry),
             "exit_macd_cross_down": sure((c("macd") < c("macd_signal")) & (c("_pm") >= c("_ps"))),
         }
-    ).drop("_pm", "_ps")
+    ).drop("_pm", "_ps", "_s50", "_s200", "_s50_n", "_s200_n")
 
 
 def stable_universe(prices: DataFrame, reviews: DataFrame, size: int, buffer: float, lookback: int = 126) -> DataFrame:
@@ -270,10 +273,7 @@ def stable_universe(prices: DataFrame, reviews: DataFrame, size: int, buffer: fl
     A name without a full window at a review is out, so its state spans only unbroken
     runs of reviews: no names-by-reviews grid is built.
     """
-    liq = F.when(
-        F.count("adv_20").over(trailing(["isin"], lookback)) == lookback,
-        F.percentile("adv_20", F.lit(0.5)).over(trailing(["isin"], lookback)),
-    )
+    liq = rolling_median(c("adv_20"), lookback, ["isin"], min_rows=lookback)
     numbered = reviews.withColumn("_k", F.row_number().over(one_series()))
     snap = (
         prices.select("isin", "date", liq.alias("liq"))

@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import recur
-from barloom.functions.windows import bars_window, one_series, sma, sure, trailing
+from barloom.functions.windows import (
+    bars_window,
+    one_series,
+    running_mean,
+    sma,
+    sure,
+    trailing,
+    with_rolling_extremes,
+)
 
 KEYS = ("timeframe", "symbol")
 
@@ -88,8 +96,9 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
     w = bars_window(*keys)
     bar, close = F.col(recur.BAR), F.col("close")
 
-    def mean_of(x: Column, n: int) -> Column:
-        return F.avg(x).over(trailing(keys, n))
+    # At the bar where a recursion starts, all values so far are exactly its first n.
+    def seed_of(x: Column) -> Column:
+        return running_mean(x, keys)
 
     df = recur.number_bars(bars, keys)
     move = close - F.lag("close").over(w)
@@ -104,11 +113,11 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
             "_mdm": F.when(bar > 0, F.when((down > up) & (down > 0), down).otherwise(0.0)),
         }
     )
-    seeds = {f"_s{n}": mean_of(close, n) for n in (5, 12, 13, 21, 26, 200)}
-    seeds |= {f"_m{c}": mean_of(F.col(f"_{c}"), 14) for c in ("gain", "loss", "tr", "pdm", "mdm")}
+    seeds = {"_sclose": seed_of(close), "_mtr1": seed_of(F.when(bar > 0, F.col("_tr")))}
+    seeds |= {f"_m{c}": seed_of(F.col(f"_{c}")) for c in ("gain", "loss", "tr", "pdm", "mdm")}
     df = df.withColumns(seeds)
     emas = [
-        recur.ema_of(name, close, n, sma_seed=F.col(f"_s{n}"))
+        recur.ema_of(name, close, n, sma_seed=F.col("_sclose"))
         for name, n in (("ema5", 5), ("_e12", 12), ("ema13", 13), ("ema21", 21), ("_e26", 26), ("ema200", 200))
     ]
     wilders = [
@@ -117,7 +126,7 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
     ]
     wilders += [
         recur.wilder_of("atr", F.col("_tr"), 14, F.col("_mtr")),
-        recur.wilder_of("_wtr", F.col("_tr"), 14, F.col("_mtr"), first=1),
+        recur.wilder_of("_wtr", F.col("_tr"), 14, F.col("_mtr1"), first=1),
     ]
     df = recur.solve(df, emas + wilders, keys)
 
@@ -130,7 +139,7 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
             "_dx": F.when(bar >= 14, F.coalesce(F.try_divide(100.0 * F.abs(pdi - mdi), pdi + mdi), F.lit(0.0))),
         }
     )
-    df = df.withColumns({"_mmacd": mean_of(F.col("macd"), 9), "_mdx": mean_of(F.col("_dx"), 14)})
+    df = df.withColumns({"_mmacd": seed_of(F.col("macd")), "_mdx": seed_of(F.col("_dx"))})
     df = recur.solve(
         df,
         [
@@ -139,14 +148,16 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
         ],
         keys,
     )
-    year = trailing(keys, 252)
+    df = with_rolling_extremes(
+        df,
+        "close",
+        {"week52_high": ("max", 252, 0), "week52_low": ("min", 252, 0), "resistance_level": ("max", 240, 20)},
+        keys,
+    )
     df = df.withColumns(
         {
             "vol_sma20": sma(F.col("volume"), 20, keys),
             "ema_slope_21": (F.col("ema21") - F.lag("ema21", 5).over(w)) / 5.0,
-            "week52_high": F.max("close").over(year),
-            "week52_low": F.min("close").over(year),
-            "resistance_level": F.max("close").over(trailing(keys, 240, end=-20)),
         }
         | {
             f"momentum_{m}m": (close / F.lag("close", n).over(w) - 1) * 100

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import recur
 from barloom.functions.asof import asof_join
-from barloom.functions.windows import carry_forward, one_series, sure
+from barloom.functions.windows import carry_forward, one_series, running_mean, sure
 
 c = F.col
 
@@ -185,14 +186,11 @@ def three_state(panel: DataFrame, breadth: DataFrame, cfg: RegimeConfig = Regime
     return asked.groupBy("symbol").applyInPandas(walk, "symbol long, date date, regime int")
 
 
-def index_trend(panel: DataFrame, index: DataFrame) -> DataFrame:
+def index_trend(index: DataFrame) -> DataFrame:
     """Newest state of the index: above its 50 and 200 EMA with the 50 above the 200."""
-    from barloom.functions import recur
-    from barloom.functions.windows import trailing
-
     df = recur.number_bars(index.withColumn("k", F.lit(0)), ["k"])
-    df = df.withColumns({f"_s{n}": F.avg("level").over(trailing(["k"], n)) for n in (50, 200)})
-    df = recur.solve(df, [recur.ema_of(f"e{n}", c("level"), n, sma_seed=c(f"_s{n}")) for n in (50, 200)], ["k"])
+    df = df.withColumn("_seed", running_mean(c("level"), ["k"]))
+    df = recur.solve(df, [recur.ema_of(f"e{n}", c("level"), n, sma_seed=c("_seed")) for n in (50, 200)], ["k"])
     up = (c("level") > c("e50")) & (c("level") > c("e200")) & (c("e50") > c("e200"))
     return df.agg(F.coalesce(F.max_by(up, "date"), F.lit(True)).alias("bullish"))
 

@@ -185,7 +185,7 @@ SELECT CAST(-1 AS BIGINT) AS symbol, {DATE}, state AS regime FROM states JOIN as
 query("w56_index_trend", "idx", f"""
 SELECT level > e50 AND level > e200 AND e50 > e200 AS bullish FROM (SELECT *, {ema_sql('level', 50, seed='s50').replace('OVER w', 'OVER (ORDER BY date)')} AS e50, {ema_sql('level', 200, seed='s200').replace('OVER w', 'OVER (ORDER BY date)')} AS e200 FROM (
  SELECT *, row_number() OVER (ORDER BY date) - 1 AS bar, avg(level) OVER (ORDER BY date ROWS 49 PRECEDING) AS s50, avg(level) OVER (ORDER BY date ROWS 199 PRECEDING) AS s200 FROM idx)) ORDER BY date DESC LIMIT 1""")(
-    lambda v: regime.index_trend(None, v.index))
+    lambda v: regime.index_trend(v.index))
 
 
 def index_signals(v):
