@@ -48,27 +48,52 @@ def row_fields(order: Sequence[str], cols: Sequence[str]) -> list[Column]:
     return [F.col(x) for x in dict.fromkeys((*order, *cols))]
 
 
-def prefix_sums(df: DataFrame, value: str, sums: Sequence[str]) -> DataFrame:
-    """Sums of all rows before each value, over a table with one row per value.
+def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Sums of all rows with a smaller value, over a table with one row per (group, value).
 
     Values are cut into ranges by approximate quantiles; whatever the cut, the result
     is exact: totals of the ranges before, plus a window inside the range.
     """
     cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     bounds = df.agg(F.percentile_approx(value, cuts, 1_000)).scalar()
+    keys = [*by, "_b"]
     df = df.withColumn("_bounds", bounds).withColumn(
         "_b", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")
-    totals = df.groupBy("_b").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    lower = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{s}").over(lower), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(F.broadcast(offsets), "_b")  # at most BUCKETS rows
+    totals = df.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    group = [F.col(k) for k in by] or [F.lit(0)]
+    lower = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{s}").over(lower), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(offsets if by else F.broadcast(offsets), keys)  # ungrouped: at most BUCKETS rows
     for s in sums:
         out = out.withColumn(f"before_{s}", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
     return out.drop("_b", *[f"_o_{s}" for s in sums])
 
 
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles per group without one task seeing all its values."""
+    grouped = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = prefix_sums(grouped, "_v", ["_n"], by)
+    totals = grouped.groupBy(*by).agg(F.sum("_n").alias("_total")) if by else None
+    if totals is None:
+        ranked = ranked.withColumn("_total", grouped.agg(F.sum("_n")).scalar())
+    else:
+        ranked = ranked.join(totals, list(by))
+
+    def at(position: Column) -> Column:
+        inside = (F.col("before__n") <= position) & (position < F.col("before__n") + F.col("_n"))
+        return F.max(F.when(inside, F.col("_v")))
+
+    aggs = []
+    for name, p in probs.items():
+        pos = (F.col("_total") - 1) * p
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        share = F.max(pos - F.floor(pos))
+        aggs.append((low + (high - low) * share).alias(name))
+    return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
+
+
 def seeded_order(*parts: Column) -> Column:
     """Reproducible random key of a row for given seeds."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

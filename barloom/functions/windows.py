@@ -101,11 +101,9 @@ def with_rolling_extremes(
 
 def median_of(values: Column) -> Column:
     """Median of a small array: mean of its two middle values."""
-    a = F.array_sort(values)
+    a = F.sort_array(values)
     n = F.size(a)
-    low = F.try_element_at(a, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(a, F.floor((n + 2) / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
 
 
 def rolling_median(x: Column, n: int, keys: Sequence[str], min_rows: int = 1) -> Column:

@@ -93,6 +93,9 @@ def chain_roots(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         moved = step.filter("_moved").limit(1).count()
         state = step.drop("_moved")
         if not moved:
+            looped = state.join(parent.select(c("isin").alias("root")), "root", "left_semi").limit(1).count()
+            if looped:
+                break
             return state
     raise ValueError("succession edges contain a cycle")
 

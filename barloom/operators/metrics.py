@@ -181,9 +181,15 @@ def capacity(avg_trade: Column, adv_floor: float) -> Column:
 
 
 def period_metrics(nav: DataFrame, periods: DataFrame) -> DataFrame:
-    """NAV metrics inside each named period; periods (name, start, end) is a small table."""
-    tagged = nav.join(F.broadcast(periods), c("date").between(c("start"), c("end"))).select("name", "date", "equity")
-    return nav_metrics(tagged, by=["name"])
+    """NAV metrics inside each named period (name, start, end).
+
+    The periods travel as one array, so a day is matched to its periods without a
+    join that has no equal key.
+    """
+    table = periods.agg(F.collect_list(F.struct("name", "start", "end"))).scalar()
+    hit = F.filter("_periods", lambda p: c("date").between(p["start"], p["end"]))
+    tagged = nav.withColumn("_periods", table).select(F.explode(hit).alias("p"), "date", "equity")
+    return nav_metrics(tagged.select("p.name", "date", "equity"), by=["name"])
 
 
 def concentration_rule(period_calmars: DataFrame, limit: float = 5.0) -> DataFrame:

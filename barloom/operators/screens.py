@@ -205,8 +205,8 @@ def sector_rotation(signals: DataFrame, stocks: DataFrame, min_stocks: int = 3)
 
 
 def hot_sectors(signals: DataFrame, stocks: DataFrame, rotation: DataFrame, top: int = 3, min_rs: float = 60) -> DataFrame:
-    """Strong stocks of each date's leading sectors."""
-    order = Window.partitionBy("date").orderBy(c("avg_rs").desc(), "sector")
+    """Strong stocks of each date's leading sectors; averages equal to nine digits tie, the name decides."""
+    order = Window.partitionBy("date").orderBy(F.round("avg_rs", 9).desc(), "sector")
     lead = rotation.withColumn("_n", F.row_number().over(order)).filter(c("_n") <= top).select("date", "sector")
     return (
         signals.filter((c("timeframe") == "D") & (c("rs_score") >= min_rs))

@@ -45,7 +45,6 @@ def trade_metrics(trades: DataFrame, capital: float = 1e6, cost_pct: float = ROU
         F.count("*").alias("total_trades"),
         F.sum(win.cast("long")).alias("winning_trades"),
         F.avg(r).alias("avg_return_pct"),
-        F.percentile(r, F.lit(0.5)).alias("median_return_pct"),
         F.max(r).alias("best_trade_pct"),
         F.min(r).alias("worst_trade_pct"),
         (F.sum(r / 100 * p) / capital * 100).alias("total_return_pct"),
@@ -67,6 +66,7 @@ def trade_metrics(trades: DataFrame, capital: float = 1e6, cost_pct: float = ROU
             "total_cost_drag_pct": c("gross_return_pct") - c("total_return_pct"),
             "expectancy": rate * c("avg_win_pct") + (1 - rate) * c("avg_loss_pct"),
             "profit_factor": factor,
+            "median_return_pct": scan.quantiles(df, "_r", {"m": 0.5}).scalar(),
         }
     ).drop("_gain", "_lost")
 
@@ -78,14 +78,20 @@ def exit_breakdown(trades: DataFrame) -> DataFrame:
 
 
 def grouped_stats(trades: DataFrame) -> DataFrame:
-    """Return statistics by exit reason, regime and sector in one grouping-sets pass."""
+    """Return statistics by exit reason, regime and sector in one grouping-sets pass.
+
+    Medians come from value counts, so no group's returns meet in one task.
+    """
     dims = ("exit_reason", "regime", "sector")
-    return trades.groupingSets([[c(d)] for d in dims], *[c(d) for d in dims]).agg(
-        F.count("*").alias("n"),
-        F.avg("return_pct").alias("mean"),
-        F.percentile("return_pct", F.lit(0.5)).alias("median"),
-        F.stddev_samp("return_pct").alias("std"),
+    sets = [[c(d)] for d in dims]
+    stats = trades.groupingSets(sets, *[c(d) for d in dims]).agg(
+        F.count("*").alias("n"), F.avg("return_pct").alias("mean"), F.stddev_samp("return_pct").alias("std")
     )
+    tall = trades.select("return_pct", F.inline(F.array(*[F.struct(F.lit(d).alias("_d"), c(d).alias("_k")) for d in dims])))
+    medians = scan.quantiles(tall, "return_pct", {"median": 0.5}, ["_d", "_k"])
+    which = F.when(c("exit_reason").isNotNull(), "exit_reason").when(c("regime").isNotNull(), "regime").otherwise("sector")
+    keyed = stats.withColumns({"_d": which, "_k": F.coalesce(*dims)})
+    return keyed.join(medians, ["_d", "_k"]).select(*dims, "n", "mean", "median", "std")
 
 
 def year_month_returns(trades: DataFrame) -> DataFrame:

@@ -257,8 +257,8 @@ SELECT symbol, date, high, low, close, rsi, ema21, prev_low, bar FROM (
  FROM panel WHERE timeframe = 'D') WHERE n = 1""")
 cte("nav", "idx", """
 SELECT n.date, n.equity, i.level AS benchmark FROM (
- SELECT date, round(1e6 + sum((a - m)/10.0) OVER (ORDER BY date), 4) AS equity FROM (
-  SELECT date, a, avg(a) OVER () AS m FROM (SELECT CAST(o_orderdate AS DATE) AS date,
+ SELECT date, round(1e6 + sum((a - m)/10.0) OVER (ORDER BY date) + 1e-6::DOUBLE, 4) AS equity FROM (
+  SELECT date, a, round(avg(a) OVER (), 2) AS m FROM (SELECT CAST(o_orderdate AS DATE) AS date,
    CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS DOUBLE)/count(*)/100.0 AS a FROM orders GROUP BY 1))) n
 ASOF LEFT JOIN idx i ON n.date >= i.date""")
 cte("filings", "", f"""

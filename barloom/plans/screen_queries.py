@@ -154,7 +154,7 @@ query("a02_sector_rotation", "signals stocks", f"SELECT {DATE}, sector, stock_co
     lambda v: screens.sector_rotation(v.signals, v.stocks))
 query("j02_hot_sectors", "signals stocks", f"""
 SELECT {DATE}, sector, symbol, {rnd('rs_score')} AS score FROM signals JOIN stocks USING (symbol) WHERE {D} AND rs_score >= 60
- AND (date, sector) IN (SELECT (date, sector) FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY avg_rs DESC, sector) AS n FROM ({ROT})) WHERE n <= 3)""")(
+ AND (date, sector) IN (SELECT (date, sector) FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(avg_rs, 9) DESC, sector) AS n FROM ({ROT})) WHERE n <= 3)""")(
     lambda v: screens.hot_sectors(v.signals, v.stocks, screens.sector_rotation(v.signals, v.stocks)))
 query("j03_enriched_screen", "signals stocks", f"""
 SELECT CAST(r.computed_at AS VARCHAR) AS computed_at, r.symbol, sector, rank, CAST(signal_date AS VARCHAR) AS signal_date, ema_signal, is_bullish, {rounded('r.score')}

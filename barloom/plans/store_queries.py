@@ -182,10 +182,10 @@ query("s17_reparsed_items", "filings", f"SELECT {FKEY}, {rnd('net_income')} AS n
 
 
 def journal_sync(v):
-    pos = v.journal.withColumn("version", F.lit(2)).dropDuplicates(["trade_id"])
-    first = pos.filter("status = 'open'").withColumn("version", F.lit(1))
-    empty = storage.sync_positions(_no_journal(v), first)
-    return storage.sync_positions(empty, pos).groupBy("status").agg(
+    """Open positions first, then every position; a closed state is the later version."""
+    pos = v.journal.withColumn("version", F.when(c("status") == "closed", 2).otherwise(1))
+    first = storage.sync_positions(_no_journal(v), pos.filter("status = 'open'"))
+    return storage.sync_positions(first, pos).groupBy("status").agg(
         F.count("*").alias("n"), F.count("exit_date").alias("with_exit"), F.max("version").alias("version"))
 
 
@@ -195,7 +195,9 @@ def _no_journal(v):
         "exit_date", "exit_price", c("qty").alias("pnl"), F.lit(0).alias("version"))
 
 
-query("s19_journal_sync", "")(journal_sync)
+query("s19_journal_sync", "journal", """
+SELECT CASE WHEN k THEN 'closed' ELSE 'open' END AS status, count(*) AS n, count(*) FILTER (WHERE k) AS with_exit, CASE WHEN k THEN 2 ELSE 1 END AS version
+FROM (SELECT trade_id, bool_or(status = 'closed') AS k FROM journal GROUP BY 1) GROUP BY k""")(journal_sync)
 
 # --- corporate actions -----------------------------------------------------
 SUBJECT = """CASE o_orderkey % 9

@@ -262,9 +262,9 @@ class Views:
         daily = self.table("orders").groupBy(day("o_orderdate").alias("date")).agg(
             (F.sum(cents("o_totalprice")) / F.count("*") / 100.0).alias("day_avg")
         )
-        mean = daily.agg(F.avg("day_avg")).scalar()
+        mean = daily.agg(F.round(F.avg("day_avg"), 2)).scalar()
         w = one_series().rowsBetween(Window.unboundedPreceding, 0)
-        out = daily.withColumn("equity", F.round(1e6 + F.sum((F.col("day_avg") - mean) / 10.0).over(w), 4))
+        out = daily.withColumn("equity", F.round(1e6 + F.sum((F.col("day_avg") - mean) / 10.0).over(w) + 1e-6, 4))
         return asof_join(
             out.select("date", "equity"), self.index, [], "date", "date", ["level"], unique_left=True
         ).withColumnRenamed("level", "benchmark")

@@ -7,6 +7,7 @@ import math
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -74,17 +75,20 @@ def main(argv):
     con = duck(root)
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = []
-    for name, fn in qs.items():
-        if wanted and not any(name.startswith(w) for w in wanted):
-            continue
+
+    def one(name):
         try:
-            msg, spent, _ = check(spark, con, root, name, fn, sqls.get(name))
+            msg, spent, _ = check(spark, con.cursor(), root, name, qs[name], sqls.get(name))
         except Exception as e:  # noqa: BLE001
             msg, spent = f"ERROR {type(e).__name__}: {str(e)[:600]}", 0.0
         if not msg.startswith(("ok", "rows-only")):
             bad.append(name)
         print(f"{name:45s} {spent:6.1f}s {msg}", flush=True)
-    print(f"{len(bad)} bad of {len(qs)}: {bad}")
+
+    names = [n for n in qs if not wanted or any(n.startswith(w) for w in wanted)]
+    with ThreadPoolExecutor(int(os.environ.get("COMPARE_THREADS", "4"))) as pool:
+        list(pool.map(one, names))
+    print(f"{len(bad)} bad of {len(names)}: {bad}")
 
 
 if __name__ == "__main__":
