@@ -54,12 +54,11 @@ def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str
     Values are cut into ranges by approximate quantiles; whatever the cut, the result
     is exact: totals of the ranges before, plus a window inside the range.
     """
-    cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    bounds = df.agg(F.percentile_approx(value, cuts, 1_000)).scalar()
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = df.agg(F.percentile_approx(value, probs, 1_000).alias("cuts")).first()["cuts"]  # under BUCKETS numbers
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))])
     keys = [*by, "_b"]
-    df = df.withColumn("_bounds", bounds).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    df = df.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(value))))
     totals = df.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = [F.col(k) for k in by] or [F.lit(0)]
     lower = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
