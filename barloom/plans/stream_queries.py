@@ -29,14 +29,14 @@ def place(v: Views, name: str) -> str:
 
 def bars(v: Views):
     """Windows still open when the input ends are not emitted, hence the cut in the SQL."""
-    return jobs.drain(jobs.tumbling_bars(ticks(v)), "bars", place(v, "bars"))
+    return jobs.drain(jobs.tumbling_bars(ticks(v)), place(v, "bars"))
 
 
 query("r01_tumbling_bars", "alerts", f"""
 SELECT symbol, {DATE}, {rnd('arg_min(price, k)')} AS open, {rnd('max(price)')} AS high, {rnd('min(price)')} AS low, {rnd('arg_max(price, k)')} AS close, count(*) AS n
 FROM (SELECT *, {{'t': ts, 'e': event_id}} AS k FROM alerts) WHERE CAST(date + 1 AS TIMESTAMP) <= (SELECT max(ts) FROM alerts) - INTERVAL 1 DAY GROUP BY symbol, date""")(bars)
 query("r03_alerts_once", "alerts", f"SELECT DISTINCT symbol, {DATE}, alert_type FROM alerts")(
-    lambda v: jobs.drain(jobs.alerts_once(ticks(v)), "once", place(v, "once")))
+    lambda v: jobs.drain(jobs.alerts_once(ticks(v)), place(v, "once")))
 
 
 def positions(v: Views):
@@ -46,7 +46,7 @@ def positions(v: Views):
 query("r04_exit_alerts", "alerts", """
 SELECT event_id, symbol, alert_type FROM (SELECT event_id, symbol, CASE WHEN price <= symbol % 20 + 1 THEN 'stop_hit' WHEN (price - (symbol % 20 + 1))/50.0*100 < 2 THEN 'stop_approached'
  WHEN price >= 90 + symbol % 20 THEN 'target_hit' WHEN (90 + symbol % 20 - price)/50.0*100 < 2 THEN 'target_approached' END AS alert_type FROM alerts) WHERE alert_type IS NOT NULL""")(
-    lambda v: jobs.drain(jobs.exit_alerts(ticks(v), positions(v)), "exits", place(v, "exits")).drop("ts"))
+    lambda v: jobs.drain(jobs.exit_alerts(ticks(v), positions(v)), place(v, "exits")).drop("ts"))
 
 
 def appended(v: Views):
@@ -72,7 +72,7 @@ def expiry(v: Views):
     days.write.mode("overwrite").parquet(source)
     stream = v.spark.readStream.schema(days.schema).parquet(source)
     v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = jobs.drain(jobs.expired_watches(stream), f"expired_{abs(hash(source))}", place(v, "expiry"), mode="update")
+    out = jobs.drain(jobs.expired_watches(stream), place(v, "expiry"), mode="update")
     return out.select("symbol").distinct()
 
 

@@ -139,13 +139,20 @@ def staleness(progress: DataFrame, clock: Column, limit_seconds: int, by: str =
     return progress.groupBy(by).agg(lag.alias("lag_seconds")).withColumn("stale", c("lag_seconds") > limit_seconds)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a bounded source to its end and read what came out (tests and registered queries)."""
-    spark = stream.sparkSession
+def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a bounded source to its end and read what came out (tests and registered queries).
+
+    Update-mode output has no file sink, so each batch is written to its own folder;
+    a replayed batch overwrites itself.
+    """
+    spark, out = stream.sparkSession, f"{checkpoint}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True)
     if mode == "append":
-        out = f"{checkpoint}/out"
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    return storage.read_or_empty(spark, out, stream.schema).select(*stream.columns)

@@ -25,7 +25,7 @@ def source(spark, tmp_path):
 
 def test_bars_match_batch_for_closed_windows(source, tmp_path):
     stream, batch = source
-    got = {tuple(r) for r in jobs.drain(jobs.tumbling_bars(stream), "b", str(tmp_path / "c")).collect()}
+    got = {tuple(r) for r in jobs.drain(jobs.tumbling_bars(stream), str(tmp_path / "c")).collect()}
     want = {tuple(r) for r in jobs.tumbling_bars(batch).collect()}
     assert got and got < want and {r[1] for r in want - got} == {dt.date(2024, 1, 8), dt.date(2024, 1, 9)}
 
@@ -33,7 +33,7 @@ def test_bars_match_batch_for_closed_windows(source, tmp_path):
 def test_each_alert_once(source, tmp_path):
     stream, batch = source
     day = lambda df: df.withColumn("date", F.to_date("ts"))
-    got = sorted(tuple(r) for r in jobs.drain(jobs.alerts_once(day(stream)), "o", str(tmp_path / "c")).collect())
+    got = sorted(tuple(r) for r in jobs.drain(jobs.alerts_once(day(stream)), str(tmp_path / "c")).collect())
     assert got == sorted(tuple(r) for r in jobs.alerts_once(day(batch)).collect())
 
 
@@ -58,5 +58,5 @@ def test_watch_expiry(spark, tmp_path):
     spark.createDataFrame(days, "symbol long, date date").write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema("symbol long, date date").parquet(path)
-    got = {r.symbol for r in jobs.drain(jobs.expired_watches(stream), "expiry_test", str(tmp_path / "c"), mode="update").collect()}
+    got = {r.symbol for r in jobs.drain(jobs.expired_watches(stream), str(tmp_path / "c"), mode="update").collect()}
     assert got == {2, 3} == {r.symbol for r in jobs.expired_watches_batch(spark.read.parquet(path)).collect()}
