@@ -8,6 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from barloom.plans import registry
 from tests.compare import ROOT, check, duck
 
 SF = f"{ROOT}/sf0.001"
@@ -30,5 +31,5 @@ def test_query_equals_sql(spark, con, name):
     assert msg.startswith("ok"), msg
 
 
-def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(registry.QUERIES) == set(registry.oracles())
