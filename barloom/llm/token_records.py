@@ -35,7 +35,7 @@ MASK_DELTA = 0xA282EAD8
 HEAD, META, ENTRY = "<QI", "<qBQ", "<QQ"
 HEAD_SIZE, META_SIZE = struct.calcsize(HEAD), struct.calcsize(META)
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
-RECORDS = "part long, place long, doc_id long, start_in_part long, n_tokens long, ids binary"
+RECORDS = "part long, place long, doc_id long, start long, n_tokens long, ids binary"
 
 
 class RecordError(ValueError):
@@ -128,23 +128,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(manifest: DataFrame, path: str, shuffle_seed: int | None = None) -> DataFrame:
-    """All records of the parts; with a seed each part is read in a random order through its index."""
+    """All records of the parts; with a seed each part is read in a random order through its index.
+
+    ``start``: the ids of all documents before. The running sum is over parts, one small row each.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            for part, name in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist()):
+            for part, name, base in zip(*(batch.column(c).to_pylist() for c in ("part", "file", "base"))):
                 store, folder = open_store(path)
                 with store.open_input_stream(f"{folder}/{name}.idx", compression=None) as f:
                     entries = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
-                starts = np.cumsum(entries[:, 1]) - entries[:, 1]
+                starts = base + np.cumsum(entries[:, 1]) - entries[:, 1]
                 order = np.arange(len(entries))
                 if shuffle_seed is not None:
                     order = np.random.default_rng([shuffle_seed, part]).permutation(order)
                 with store.open_input_file(f"{folder}/{name}.rec") as f:
                     size = f.size()
                     edges = np.append(entries[:, 0], size).astype(np.int64)
-                    for group in np.array_split(order, max(1, size // 4_000_000)):
+                    for group in np.array_split(order, max(1, size // 2_000_000)):
                         rows = []
                         for k in group.tolist():
                             f.seek(int(edges[k]))
@@ -158,20 +161,13 @@ def read_records(manifest: DataFrame, path: str, shuffle_seed: int | None = None
                         cols = list(zip(*rows)) if rows else [()] * 6
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    spread = manifest.select("part", "file").repartition(F.col("part"))
-    return spread.mapInArrow(read, RECORDS)
-
-
-def with_starts(records: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before. The running sum is over parts, one row each."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return records.join(base, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base")
+    base = F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")
+    return manifest.select("part", "file", base).repartition(F.col("part")).mapInArrow(read, RECORDS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Write, read back, and describe each record: doc_id, start, n_tokens, ids_crc32."""
     path = shared_path(docs.sparkSession, "token-records")
     manifest = write_records(docs, path)
-    records = read_records(manifest, path)
-    return with_starts(records, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_records(manifest, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

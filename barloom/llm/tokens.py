@@ -10,6 +10,8 @@ a special token is encoded whole.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -17,6 +19,9 @@ import numpy as np
 
 from barloom.llm.common import CACHED_CHARS, CACHED_WORDS
 
+#: A word of letters that lower-case and split alike everywhere, and one mark that is always split off.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
+
 
 class Encoder:
     def __init__(self, vocabulary: str) -> None:
@@ -28,6 +33,9 @@ class Encoder:
         self.blank_stays = vocabulary.startswith("byte")
         self.known: dict[str, bytes | None] = {}
         self.chars = 0
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in set(printable)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         out = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -47,21 +55,53 @@ class Encoder:
         body = piece[1:] if piece[:1] in (" ", "\n") else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one split-off word of plain letters: the library's model alone, on its byte letters."""
+        body = word if self.blank_stays else word.lower()
+        tokens = self.library.model.tokenize(body.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def learn(self, cut: Sequence[list[str] | None]) -> None:
+        """Encode the pieces that are not known yet; None marks one that needs its whole text."""
+        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
+            self.known.clear()
+            self.chars = 0
+        known = self.known
+        new = {p for ps in cut if ps for p in ps} - known.keys()
+        self.chars += sum(map(len, new))
+        rest = []
+        for p in new:
+            if m := PLAIN.match(p):
+                stem, mark = m.groups()
+                ids = known.get(stem) or known.setdefault(stem, self.word(stem))
+                if mark:
+                    ids += known.get(mark) or known.setdefault(mark, self.whole([mark])[0])
+                known[p] = ids
+            elif self.blank_stays and not self.safe(p):
+                known[p] = None
+            else:
+                rest.append(p)
+        known.update(zip(rest, self.whole(rest)))
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [b"".join(parts) for _, parts in self.parts(texts)]
+        cut = [self.pieces(t) for t in texts]
+        self.learn(cut)
+        get, out, odd = self.known.__getitem__, [], []
+        for k, ps in enumerate(cut):
+            try:
+                out.append(b"".join(map(get, ps)))
+            except TypeError:  # not cut, or with a piece that must stay in its text
+                out.append(b"")
+                odd.append(k)
+        for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
+            out[k] = ids
+        return out
 
     def parts(self, texts: Sequence[str]) -> list[tuple[list[str], list[bytes]]]:
         """For each text its pieces and their ids; joined, they are the text's (``word_bpe``: without white space)."""
-        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self.known.clear()
-            self.chars = 0
         cut = [self.pieces(t) for t in texts]
-        new = list({p for ps in cut if ps for p in ps} - self.known.keys())
-        self.chars += sum(map(len, new))
-        good = [p for p in new if not self.blank_stays or self.safe(p)]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(good, self.whole(good)))
+        self.learn(cut)
         get, out, odd = self.known.__getitem__, [], []
         for k, ps in enumerate(cut):
             ids = list(map(get, ps)) if ps else [None]
