@@ -118,7 +118,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.js
                 "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64()),
             })
 
-    ordered = docs_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return read_manifest(docs.sparkSession, path)
 
@@ -163,7 +163,8 @@ def read_records(manifest: DataFrame, path: str, shuffle_seed: int | None = None
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")
-    return manifest.select("part", "file", base).repartition(F.col("part")).mapInArrow(read, RECORDS)
+    parts = max(1, manifest.count())
+    return manifest.select("part", "file", base).repartition(parts, "part").mapInArrow(read, RECORDS)
 
 
 def digest(docs: DataFrame) -> DataFrame:
