@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import token_counts, token_records
+from barloom.llm import packing, token_counts, token_records
 from barloom.llm.registry import query
 
 
@@ -20,3 +20,8 @@ def op1(spark, root):
 @query("op7_token_counts")
 def op7(spark, root):
     return token_counts.token_counts(table(spark, root, "documents"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark, root):
+    return packing.packed(table(spark, root, "documents"))
