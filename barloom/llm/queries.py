@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import packing, token_counts, token_records, topk
+from barloom.llm import language, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -45,3 +45,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 @query("op2_exact_top_k", TOP_K_SQL)
 def op2(spark, root):
     return topk.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_language_id")
+def op6(spark, root):
+    return language.digest(table(spark, root, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark, root):
+    return toxicity.digest(table(spark, root, "documents"), table(spark, root, "labels"))
