@@ -33,9 +33,9 @@ from barloom.llm.common import docs_of, fold, sigmoid, slices, texts_of
 
 DECAY = 0.6
 WINDOW, STEP = 20, 10  # characters of a unit's window
-LANDMARKS = 160
+LANDMARKS = 256
 SAMPLE_DOCS = 3000  # labelled documents of each label, at most, that training reads
-SAMPLE_UNITS = 60_000  # distinct clean units that the machine sees, at most
+SAMPLE_UNITS = 16_000  # distinct units that the machine sees of each label, at most
 ROUNDS = 4
 LETTERS = 64  # codes of characters
 SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
@@ -84,18 +84,17 @@ def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, DECAY ** (k - i - 2.0)
 
 
-def coded(unit: str) -> np.ndarray:
-    out = [62]
-    for ch in unit:
-        o = ord(ch)
-        out.append(o - 97 if 97 <= o <= 122 else 26 + o - 48 if 48 <= o <= 57 else 36 + o % 26)
-    out.append(63)
-    return np.array(out, np.int64)
+def coded(same_length: list[str]) -> np.ndarray:
+    """Character codes between word marks, a row for each unit: letters, digits, and others folded into 26."""
+    n = len(same_length[0])
+    o = np.frombuffer("".join(same_length).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.int64)
+    code = np.where((o >= 97) & (o <= 122), o - 97, np.where((o >= 48) & (o <= 57), o - 22, 36 + o % 26))
+    return np.pad(code, ((0, 0), (1, 1)), constant_values=((0, 0), (62, 63)))
 
 
 def features(same_length: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Subsequence codes (units x triples) and their weights, normalised, of units of one length."""
-    codes = np.stack([coded(u) for u in same_length])
+    codes = coded(same_length)
     i, j, k, w = triples(codes.shape[1])
     subs = (codes[:, i] * LETTERS + codes[:, j]) * LETTERS + codes[:, k]
     order = np.argsort(subs, axis=1, kind="stable")
@@ -163,96 +162,114 @@ def text_units(text: str) -> list[list[str]]:
     return [[w for u in units(s) for w in windows(u)] for s in sentences(text)]
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 60, c: float = 50.0) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty, by gradient steps with momentum on the whole (bounded) sample."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, v = np.zeros(x1.shape[1]), np.zeros(x1.shape[1])
+def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, c: float = 1e5) -> np.ndarray:
+    """Squared hinge loss with an L2 penalty, by Newton steps on the rows inside the margin."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     cost = weight / weight.sum()
-    limit = 2 * float(np.linalg.eigvalsh((x1 * cost[:, None]).T @ x1)[-1]) + 1 / c
-    for t in range(epochs * 5):
-        look = w + t / (t + 3) * v
-        slack = np.maximum(0, 1 - y * (x1 @ look))
-        grad = look / c - 2 * x1.T @ (cost * y * slack)
-        new = look - grad / limit
-        v, w = new - w, new
-    return w[:-1], float(w[-1])
-
-
-def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
-    """Units of the sentences of each sampled text; all choices are by counts and names, not at random."""
-    if not toxic or not clean:
-        return None
-    in_toxic = Counter(u for t in toxic for u in set(t))
-    in_clean = Counter(u for t in clean for u in set(t))
-    lift = {u: (n + 0.1) / len(toxic) / ((in_clean[u] + 0.1) / len(clean)) for u, n in in_toxic.items() if n > 1 or len(toxic) < 200}
-    loud = sorted(lift, key=lambda u: (-np.log(lift[u]) * np.sqrt(in_toxic[u]), u))[:LANDMARKS // 2]
-    common = sorted(in_clean, key=lambda u: (-in_clean[u], u))
-    rare = sorted(common, key=lambda u: hash_order(u))
-    negatives = list(dict.fromkeys([*common[:SAMPLE_UNITS // 3], *rare[:SAMPLE_UNITS * 2 // 3]]))
-    landmarks = list(dict.fromkeys([*loud, *common[:LANDMARKS // 4], *rare[:LANDMARKS // 4]]))
-    positives = sorted(in_toxic, key=lambda u: (-lift.get(u, 0), -in_toxic[u], u))
-    positives = [u for u in positives if in_clean[u] == 0]
-    vocabulary = list(dict.fromkeys([*positives, *negatives]))
-    row = {u: i for i, u in enumerate(vocabulary)}
-    # Kernels with the landmarks: a weight for each (subsequence, landmark), summed over a unit.
+    w = start
+    active = np.ones(len(x), bool) if start is None else y * (x @ start) < 1
+    for _ in range(12):
+        xa = x[active].astype(np.float64)
+        ca = cost[active]
+        new = np.linalg.solve(2 * (xa * ca[:, None]).T @ xa + np.eye(x.shape[1]) / c, 2 * xa.T @ (ca * y[active]))
+        w = new
+        inside = y * (x @ w) < 1
+        if (inside == active).all():
+            break
+        active = inside
+    return w
+
+
+def kernels(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernels of words with landmarks, and the landmarks' own weights: codes and codes x landmarks."""
     columns: dict[int, int] = {}
-    cells = defaultdict(float)
+    cells: dict[tuple[int, int], float] = defaultdict(float)
     for m, u in enumerate(landmarks):
         subs, w = features([u])
         for code, x in zip(subs[0].tolist(), w[0].tolist()):
             cells[columns.setdefault(code, len(columns) + 1), m] += x
-    dense = np.zeros((len(columns) + 1, len(landmarks)))
+    dense = np.zeros((len(columns) + 1, len(landmarks)), np.float32)  # row 0: codes of no landmark
     for (i, m), x in cells.items():
         dense[i, m] = x
     index = np.zeros(LETTERS**3, np.int32)
     index[list(columns)] = list(columns.values())
-    kernel = np.zeros((len(vocabulary), len(landmarks)), np.float32)
-    for at, part in by_length(vocabulary):
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for at, part in by_length(words):
         subs, w = features(part)
-        where = index[subs]
-        for t in range(subs.shape[1]):
-            hit = where[:, t] > 0
-            if hit.any():
-                kernel[at[hit]] += dense[where[hit, t]] * w[hit] if w.shape[1] == 1 else dense[where[hit, t]] * w[hit, t][:, None]
-    among = np.zeros((len(landmarks), len(landmarks)))
-    for at, part in by_length(landmarks):
-        subs, w = features(part)
-        among[at] = (dense[index[subs]] * w[:, :, None]).sum(axis=1)
-    values, vectors = np.linalg.eigh((among + among.T) / 2 + 1e-6 * np.eye(len(landmarks)))
-    whiten = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+        where, w = index[subs], w.astype(np.float32)
+        total = np.zeros((len(part), len(landmarks)), np.float32)
+        for t in np.flatnonzero(where.any(axis=0)):
+            total += dense[where[:, t]] * w[:, t, None]
+        out[at] = total
+    return out, np.array(list(columns)), dense[1:]
+
+
+def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
+    """Units of the sampled texts' sentences; all choices are by counts and names, not at random."""
+    if not toxic or not clean:
+        return None
+    in_toxic = Counter(u for t in toxic for u in set(t))
+    in_clean = Counter(u for t in clean for u in set(t))
+    share = len(toxic) / (len(toxic) + len(clean))
+    only = {u: n for u, n in in_toxic.items() if not in_clean[u]}
+    # Sure of being loud: so many toxic texts and no clean one would by chance befall no unit.
+    sure = sorted((u for u, n in only.items() if n * np.log(share) < -np.log(len(in_toxic))), key=lambda u: (-only[u], u))
+    if not sure:
+        sure = sorted(only, key=lambda u: (-only[u], u))[:5]
+    if not sure:
+        return None
+    common = sorted(in_clean, key=lambda u: (-in_clean[u], u))[:SAMPLE_UNITS // 4]
+    rare = sorted(in_clean, key=lambda u: hash_order(u))[:SAMPLE_UNITS * 3 // 4]
+    negatives = list(dict.fromkeys([*common, *rare]))
+    landmarks = list(dict.fromkeys([*sure[:LANDMARKS // 2], *common[:LANDMARKS // 8], *rare[:LANDMARKS // 8]]))
+    rest = LANDMARKS - len(landmarks)
+    near = kernels(negatives, sure[:LANDMARKS // 2])[0].max(axis=1)  # clean units most like a loud one
+    landmarks = list(dict.fromkeys([*landmarks, *(negatives[i] for i in np.argsort(-near, kind="stable")[:rest])]))
+    maybe = sorted(only, key=lambda u: (-only[u], u))[:SAMPLE_UNITS // 2]  # a bounded sample of possible witnesses
+    vocabulary = [*maybe, *negatives]
+    row = {u: i for i, u in enumerate(vocabulary)}
+    kernel, codes, dense = kernels(vocabulary, landmarks)
+    among, _, _ = kernels(landmarks, landmarks)
+    values, vectors = np.linalg.eigh((among + among.T).astype(np.float64) / 2)
+    whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
     phi = kernel @ whiten
-    witness = []
-    for t in toxic:
-        found = [u for u in set(t) if u in row and in_clean[u] == 0]
-        if found:
-            witness.append(max(found, key=lambda u: (lift.get(u, 0) * in_toxic[u], u)))
-    bags = [sorted({row[u] for u in t if u in row and in_clean[u] == 0}) for t in toxic]
-    bags = [b for b in bags if b]
-    chosen = np.array([row[u] for u in witness])
-    no = np.array([row[u] for u in negatives])
-    w, b = np.zeros(len(landmarks)), 0.0
-    for _ in range(ROUNDS):
-        yes = np.unique(chosen)
+    bags = [np.array([row[u] for u in set(t) if u in row and u in only], np.int64) for t in toxic]
+    bags = [b for b in bags if len(b)]
+    certain = np.array([row[u] for u in sure])
+    held = np.sqrt(np.array([only[u] for u in maybe], float))
+    yes, no, w = certain, np.arange(len(maybe), len(vocabulary)), None
+    for turn in range(ROUNDS):
         x = np.vstack([phi[yes], phi[no]])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(no))])
-        weight = np.concatenate([np.full(len(yes), 1 / len(yes)), np.full(len(no), 3 / len(no))])
-        w, b = linear_machine(x, y, weight)
-        margin = phi @ w + b
-        hard = no[margin[no] > -0.5]
-        if len(hard):  # clean units that look toxic count more in the next round
-            no = np.concatenate([no, np.repeat(hard, max(1, len(no) // (6 * len(hard))))])
-        chosen = np.array([x for bag in bags for x in [i for i in bag if margin[i] > 0] or [max(bag, key=lambda i: margin[i])]])
-    alpha = whiten @ w
-    table = np.zeros(LETTERS**3)
-    table[list(columns)] = dense[list(columns.values())] @ alpha
-    model = Model(table.astype(np.float32), b, 1.0, 0.0)
-    scorer = Scorer(model)
-    top = lambda texts: np.array([max(model.margins(sorted(set(t))), default=NOTHING) if t else NOTHING for t in texts])
-    calibrate(model, top(toxic), top(clean))
-    del scorer
+        weight = np.concatenate([held[yes] / held[yes].sum(), np.full(len(no), 4 / len(no))])
+        w = linear_machine(x, y, weight, w)
+        if turn == 0:  # all other sampled clean units that look loud
+            first = folded(codes, dense, whiten, w)
+            others = sorted(in_clean.keys() - row.keys())
+            loud = [others[i] for i in np.flatnonzero(first.margins(others) > -0.8)]
+            vocabulary += loud
+            phi = np.vstack([phi, kernels(loud, landmarks)[0] @ whiten]) if loud else phi
+        margin = phi @ w[:-1] + w[-1]
+        no = np.arange(len(maybe), len(vocabulary))
+        hard = no[margin[no] > -0.6]
+        if len(hard):  # clean units that look loud count more in the next round
+            no = np.concatenate([no, np.repeat(hard, max(1, len(no) // (2 * len(hard))))])
+        witness = np.array([bag[margin[bag].argmax()] for bag in bags])
+        yes = np.concatenate([certain, np.unique(witness[margin[witness] > 0])])
+    model = folded(codes, dense, whiten, w)
+    every = sorted({u for t in (*toxic, *clean) for u in t})
+    margin_of = dict(zip(every, model.margins(every).tolist()))
+    calibrate(model, *(np.array([max((margin_of[u] for u in t), default=NOTHING) for t in x]) for x in (toxic, clean)))
     return model
 
 
+def folded(codes: np.ndarray, dense: np.ndarray, whiten: np.ndarray, w: np.ndarray) -> Model:
+    """The machine's function as one weight for each subsequence."""
+    table = np.zeros(LETTERS**3, np.float32)
+    table[codes] = dense @ (whiten @ w[:-1])
+    return Model(table, float(w[-1]), 1.0, 0.0)
+
+
 def calibrate(model: Model, toxic: np.ndarray, clean: np.ndarray) -> None:
     """A logistic curve through the best threshold of the sampled texts, where the score is CUT."""
     edges = np.unique(np.concatenate([toxic, clean]))
@@ -260,7 +277,7 @@ def calibrate(model: Model, toxic: np.ndarray, clean: np.ndarray) -> None:
     toxic, clean = np.sort(toxic), np.sort(clean)
     missed = np.searchsorted(toxic, mids) / len(toxic)
     wrong = 1 - np.searchsorted(clean, mids) / len(clean)
-    cost = missed + wrong
+    cost = missed + 3 * wrong
     best = mids[cost <= cost.min() + 1e-12]
     model.slope = 6.0
     model.shift = float(np.log(CUT / (1 - CUT)) - model.slope * (best[0] + best[-1]) / 2)
