@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, packing, token_counts, token_records, topk, toxicity
+from barloom.llm import language, near_duplicates, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -55,3 +55,8 @@ def op6(spark, root):
 @query("op8_toxicity")
 def op8(spark, root):
     return toxicity.digest(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op9_near_duplicates")
+def op9(spark, root):
+    return near_duplicates.joined(table(spark, root, "documents"))
