@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, near_duplicates, packing, token_counts, token_records, topk, toxicity
+from barloom.llm import hidden_markov, language, near_duplicates, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -60,3 +60,8 @@ def op8(spark, root):
 @query("op9_near_duplicates")
 def op9(spark, root):
     return near_duplicates.joined(table(spark, root, "documents"))
+
+
+@query("op5_hidden_markov")
+def op5(spark, root):
+    return hidden_markov.digest(table(spark, root, "documents"))
