@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import hidden_markov, language, near_duplicates, packing, token_counts, token_records, topk, toxicity
+from barloom.llm import decontamination, hidden_markov, language, near_duplicates, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -65,3 +65,8 @@ def op9(spark, root):
 @query("op5_hidden_markov")
 def op5(spark, root):
     return hidden_markov.digest(table(spark, root, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark, root):
+    return decontamination.found(table(spark, root, "documents"), table(spark, root, "benchmark"))
