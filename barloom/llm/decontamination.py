@@ -32,9 +32,9 @@ from barloom.llm.common import CACHED_CHARS, CACHED_WORDS, docs_of, partition_id
 
 SEGMENT = 16
 TERMS = 1 << 13
-SKETCH, RANK = 192, 96
+SKETCH, RANK = 192, 128
 POWER = 3  # of the inverse document frequency in a term's weight: common words fade
-COSINE = 0.45
+COSINE = 0.4
 LEAK, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEM_BLOCK = 2000
 FOUND = "doc_id long, contaminated boolean, item_id long, share double, n_items int"

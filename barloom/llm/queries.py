@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontamination, hidden_markov, language, near_duplicates, packing, token_counts, token_records, topk, toxicity
+from barloom.llm import decontamination, hidden_markov, language, licences, near_duplicates, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -70,3 +70,9 @@ def op5(spark, root):
 @query("op4_decontamination")
 def op4(spark, root):
     return decontamination.found(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op10_licences")
+def op10(spark, root):
+    docs = table(spark, root, "documents")
+    return licences.licences(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
