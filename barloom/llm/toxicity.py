@@ -34,7 +34,7 @@ from barloom.llm.common import docs_of, fold, sigmoid, slices, texts_of
 DECAY = 0.6
 WINDOW, STEP = 20, 10  # characters of a unit's window
 LANDMARKS = 256
-SAMPLE_DOCS = 3000  # labelled documents of each label, at most, that training reads
+SAMPLE_DOCS = 2000  # labelled documents of each label, at most, that training reads
 SAMPLE_UNITS = 16_000  # distinct units that the machine sees of each label, at most
 ROUNDS = 4
 LETTERS = 64  # codes of characters
@@ -113,8 +113,8 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for a in range(0, len(at), 4000):
-            part = at[a:a + 4000]
+        for a in range(0, len(at), 1000):
+            part = at[a:a + 1000]
             yield part, [words[x] for x in part]
 
 
@@ -309,8 +309,11 @@ def fit(docs: DataFrame, labels: DataFrame, training) -> Model | None:
                 "units": pa.array([sorted({u for s in text_units(texts[i]) for u in s})[:5000] for i in at], pa.list_(pa.string())),
             })
 
-    rows = docs_of(docs).mapInArrow(split, "toxic int, units array<string>").collect()
-    return train([r["units"] for r in rows if r["toxic"] == 1], [r["units"] for r in rows if r["toxic"] == 0])
+    texts: tuple[list, list] = [], []
+    same: dict[str, str] = {}  # one object for each distinct unit
+    for r in docs_of(docs).mapInArrow(split, "toxic int, units array<string>").toLocalIterator():
+        texts[r["toxic"]].append([same.setdefault(u, u) for u in r["units"]])
+    return train(texts[1], texts[0])
 
 
 def scores_of(model: Model | None, texts: list[str], scorer: Scorer | None) -> np.ndarray:
