@@ -32,12 +32,14 @@ from barloom.llm.common import CACHED_CHARS, CACHED_WORDS, docs_of, partition_id
 
 SEGMENT = 16
 TERMS = 1 << 13
-SKETCH, RANK = 192, 128
+SKETCH, RANK = 192, 96
 POWER = 3  # of the inverse document frequency in a term's weight: common words fade
-COSINE = 0.4
+FAINT = 0.03  # of the largest weight: terms below it, in more than about 2 % of passages, add nothing
+COSINE = 0.36
 LEAK, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEM_BLOCK = 2000
 FOUND = "doc_id long, contaminated boolean, item_id long, share double, n_items int"
+BORDER = "\x00"  # between texts
 MARKS = ".,;:!?()[]{}\"'«»“”"
 
 
@@ -49,16 +51,19 @@ class Words:
         self.chars = 0
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.lower().split() for t in texts]
+        """Numbers of all words of all texts, and each text's bounds in them."""
+        words = f" {BORDER} ".join(t.replace(BORDER, " ") for t in texts).lower().split()
         if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.known.clear()
             self.chars = 0
-        new = {w for s in split for w in s} - self.known.keys()
+        new = set(words) - self.known.keys()
         self.chars += sum(map(len, new))
         self.known.update({w: xxhash.xxh3_64_intdigest((w.strip(MARKS) or w).encode("utf-8", "surrogatepass")) for w in new})
-        ends = np.cumsum([0, *map(len, split)])
-        get = self.known.__getitem__
-        return np.fromiter((get(w) for s in split for w in s), np.uint64, int(ends[-1])), ends
+        found = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        if len(texts) < 2:
+            return found, np.array([0, len(found)])
+        cuts = np.flatnonzero(found == np.uint64(self.known[BORDER]))
+        return np.delete(found, cuts), np.concatenate([[0], cuts - np.arange(len(cuts)), [len(found) - len(cuts)]])
 
 
 def segments_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +95,8 @@ def latent_space(docs: DataFrame) -> Space:
             n = len(starts) - 1
             segment = np.repeat(np.arange(n), np.diff(starts))
             term = (hashes % np.uint64(TERMS)).astype(np.int64)
-            df += np.bincount(np.unique(segment * TERMS + term) % TERMS, minlength=TERMS)
+            cells = np.sort((segment * TERMS + term).astype(np.int32 if n * TERMS < 2**31 else np.int64))
+            df += np.bincount(cells[np.flatnonzero(np.diff(cells, prepend=-1))] % TERMS, minlength=TERMS)
             row = rng.integers(0, SKETCH, n)
             sign = rng.integers(0, 2, n) * 2.0 - 1
             sketch += np.bincount(row[segment] * TERMS + term, sign[segment], SKETCH * TERMS).astype(np.float32)
@@ -121,7 +127,9 @@ def latent_space(docs: DataFrame) -> Space:
     _, size, vt = np.linalg.svd(np.stack([np.frombuffer(rows[k]["sums"]) for k in range(SKETCH)]) * weight, full_matrices=False)
     use = vt[:RANK] / np.maximum(size[:RANK], size[0] * 1e-9 + 1e-30)[:, None]  # latent axes of equal spread
     scale = 1 / max(float(np.abs(use * weight).max()), 1e-30)
-    return Space(idf, (use.T * weight[:, None] * scale).astype(np.float32))
+    basis = (use.T * weight[:, None] * scale).astype(np.float32)
+    basis[weight < FAINT * weight.max()] = 0
+    return Space(idf, basis)
 
 
 @dataclass
@@ -183,10 +191,14 @@ def leaks(texts: list[str], items: Items, space: Space, words: Words) -> list[di
         return out
     starts, bounds = segments_of(ends)
     term = (hashes % np.uint64(TERMS)).astype(np.int64)
+    telling = space.basis.any(axis=1)[term]
+    inside, term = np.append(0, np.cumsum(telling))[starts], term[telling]
     segment = np.zeros((len(starts) - 1, RANK), np.float32)
     for a in range(0, len(segment), 4000):
         b = min(a + 4000, len(segment))
-        segment[a:b] = np.add.reduceat(space.basis[term[starts[a]:starts[b]]], starts[a:b] - starts[a], axis=0)
+        full = a + np.flatnonzero(inside[a + 1:b + 1] > inside[a:b])
+        if len(full):
+            segment[full] = np.add.reduceat(space.basis[term[inside[a]:inside[b]]], inside[full] - inside[a], axis=0)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     last = bounds[1:][owner]
     at = np.arange(len(owner))
