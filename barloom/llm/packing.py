@@ -175,7 +175,10 @@ def packed_groups(pieces: DataFrame, groups: int, salt: int, size: int) -> DataF
 
     best = None
     for turn in range(EPOCHS):
-        found = written(state.groupBy("part_no", "island").applyInArrow(epoch, schema), "islands")
+        # Seconds of work in few bytes: dealt out to tasks by number, not by size.
+        tasks = min(groups * ISLANDS, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt_out = state.repartition(tasks, "part_no", "island").groupBy("part_no", "island")
+        found = written(dealt_out.applyInArrow(epoch, schema), "islands")
         rank = F.struct((-F.col("n_bins")).alias("n"), F.col("square"), (-F.col("island")).alias("i"))
         winner = found.groupBy("part_no").agg((-F.max(rank)["i"]).cast("int").alias("island"))
         best = found.join(winner, ["part_no", "island"]).select("part_no", "uid", "length", "bin")

@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 
-from barloom.llm.common import CACHED_CHARS, CACHED_WORDS
+
+CACHED_PIECES, CACHED_CHARS = 600_000, 12_000_000
 
 #: A word of letters that lower-case and split alike everywhere, and one mark that is always split off.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
 
 
 class Encoder:
@@ -33,6 +34,7 @@ class Encoder:
         self.blank_stays = vocabulary.startswith("byte")
         self.known: dict[str, bytes | None] = {}
         self.chars = 0
+        self.marks: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -47,23 +49,23 @@ class Encoder:
             return None
         if not self.blank_stays:
             return [p for p in text.replace("\n", " ").split(" ") if p]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *(p if p[:1] == "\n" else " " + p for p in rest)]
+        # "\0" marks the first piece; all others stand for themselves after a blank or as a line's begin
+        return ("\0" + text.replace("\n", " \n")).split(" ") if "\0" not in text else None
 
     def safe(self, piece: str) -> bool:
         """Whether a piece of ``byte_bpe`` begins and ends as a cut piece must."""
-        body = piece[1:] if piece[:1] in (" ", "\n") else piece
+        body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
     def word(self, word: str) -> bytes:
         """Ids of one split-off word of plain letters: the library's model alone, on its byte letters."""
-        body = word if self.blank_stays else word.lower()
+        body = " " + word if self.blank_stays else word.lower()
         tokens = self.library.model.tokenize(body.encode().decode("latin-1").translate(self.letters))
         return array("I", [t.id for t in tokens]).tobytes()
 
     def learn(self, cut: Sequence[list[str] | None]) -> None:
         """Encode the pieces that are not known yet; None marks one that needs its whole text."""
-        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
+        if len(self.known) > CACHED_PIECES or self.chars > CACHED_CHARS:
             self.known.clear()
             self.chars = 0
         known = self.known
@@ -74,14 +76,23 @@ class Encoder:
             if m := PLAIN.match(p):
                 stem, mark = m.groups()
                 ids = known.get(stem) or known.setdefault(stem, self.word(stem))
-                if mark:
-                    ids += known.get(mark) or known.setdefault(mark, self.whole([mark])[0])
-                known[p] = ids
-            elif self.blank_stays and not self.safe(p):
+                known[p] = ids + self.mark(mark) if mark else ids
+            elif self.blank_stays and not self.safe(p.removeprefix("\0")):
                 known[p] = None
             else:
                 rest.append(p)
-        known.update(zip(rest, self.whole(rest)))
+        known.update(zip(rest, self.whole([self.shown(p) for p in rest])))
+
+    def shown(self, piece: str) -> str:
+        """The characters that a piece stands for."""
+        if not self.blank_stays or piece[:1] == "\n":
+            return piece
+        return piece[1:] if piece[:1] == "\0" else " " + piece
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.whole([mark])[0]
+        return self.marks[mark]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -107,7 +118,7 @@ class Encoder:
             ids = list(map(get, ps)) if ps else [None]
             if None in ids:
                 odd.append(k)
-            out.append((ps or [], ids))
+            out.append(([self.shown(p) for p in ps or []], ids))
         for k, ids in zip(odd, self.whole([texts[k] for k in odd])):
             out[k] = ([texts[k]], [ids])
         return out
