@@ -162,18 +162,22 @@ def text_units(text: str) -> list[list[str]]:
     return [[w for u in units(s) for w in windows(u)] for s in sentences(text)]
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, c: float = 1e5) -> np.ndarray:
-    """Squared hinge loss with an L2 penalty, by Newton steps on the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    cost = weight / weight.sum()
-    w = start
-    active = np.ones(len(x), bool) if start is None else y * (x @ start) < 1
+def linear_machine(phi: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, c: float = 1e5) -> np.ndarray:
+    """Squared hinge loss with an L2 penalty on rows of ``phi``, by Newton steps over those inside the margin."""
+    d, cost, w = phi.shape[1] + 1, weight / weight.sum(), start
+    blocks = range(0, len(rows), 2000)
+    with_bias = lambda a: np.hstack([phi[rows[a:a + 2000]], np.ones((len(rows[a:a + 2000]), 1), phi.dtype)]).astype(np.float64)
+    margins = lambda v: np.concatenate([y[a:a + 2000] * (with_bias(a) @ v) for a in blocks])
+    active = np.ones(len(rows), bool) if w is None else margins(w) < 1
     for _ in range(12):
-        xa = x[active].astype(np.float64)
-        ca = cost[active]
-        new = np.linalg.solve(2 * (xa * ca[:, None]).T @ xa + np.eye(x.shape[1]) / c, 2 * xa.T @ (ca * y[active]))
-        w = new
-        inside = y * (x @ w) < 1
+        left, right = np.eye(d) / c, np.zeros(d)
+        for a in blocks:
+            use = active[a:a + 2000]
+            x, k = with_bias(a)[use], cost[a:a + 2000][use]
+            left += 2 * (x * k[:, None]).T @ x
+            right += 2 * x.T @ (k * y[a:a + 2000][use])
+        w = np.linalg.solve(left, right)
+        inside = margins(w) < 1
         if (inside == active).all():
             break
         active = inside
@@ -232,6 +236,7 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     among, _, _ = kernels(landmarks, landmarks)
     values, vectors = np.linalg.eigh((among + among.T).astype(np.float64) / 2)
     whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    whiten = whiten.astype(np.float32)
     phi = kernel @ whiten
     bags = [np.array([row[u] for u in set(t) if u in row and u in only], np.int64) for t in toxic]
     bags = [b for b in bags if len(b)]
@@ -239,17 +244,18 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     held = np.sqrt(np.array([only[u] for u in maybe], float))
     yes, no, w = certain, np.arange(len(maybe), len(vocabulary)), None
     for turn in range(ROUNDS):
-        x = np.vstack([phi[yes], phi[no]])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(no))])
         weight = np.concatenate([held[yes] / held[yes].sum(), np.full(len(no), 4 / len(no))])
-        w = linear_machine(x, y, weight, w)
+        w = linear_machine(phi, np.concatenate([yes, no]), y, weight, w)
         if turn == 0:  # all other sampled clean units that look loud
             first = folded(codes, dense, whiten, w)
             others = sorted(in_clean.keys() - row.keys())
-            loud = [others[i] for i in np.flatnonzero(first.margins(others) > -0.8)]
+            high = first.margins(others)
+            loud = [others[i] for i in np.argsort(-high, kind="stable")[:SAMPLE_UNITS // 2] if high[i] > -0.8]
+            del others, high
             vocabulary += loud
             phi = np.vstack([phi, kernels(loud, landmarks)[0] @ whiten]) if loud else phi
-        margin = phi @ w[:-1] + w[-1]
+        margin = phi @ w[:-1].astype(np.float32) + w[-1]
         no = np.arange(len(maybe), len(vocabulary))
         hard = no[margin[no] > -0.6]
         if len(hard):  # clean units that look loud count more in the next round
