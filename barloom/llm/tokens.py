@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 
 
-CACHED_PIECES, CACHED_CHARS = 600_000, 12_000_000
+CACHED_PIECES, CACHED_CHARS = 900_000, 20_000_000
 
 #: A word of letters that lower-case and split alike everywhere, and one mark that is always split off.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
