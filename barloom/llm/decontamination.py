@@ -123,11 +123,14 @@ def latent_space(docs: DataFrame) -> Space:
     if not rows:
         return Space(np.ones(TERMS), np.zeros((TERMS, RANK), np.float32))
     idf = np.log((1 + rows[0]["n"]) / (1 + np.frombuffer(rows[SKETCH]["sums"])))
-    weight = idf**POWER
+    seen = np.frombuffer(rows[SKETCH]["sums"]) > 0
+    weight = np.where(seen, idf, 0) ** POWER
     _, size, vt = np.linalg.svd(np.stack([np.frombuffer(rows[k]["sums"]) for k in range(SKETCH)]) * weight, full_matrices=False)
-    use = vt[:RANK] / np.maximum(size[:RANK], size[0] * 1e-9 + 1e-30)[:, None]  # latent axes of equal spread
-    scale = 1 / max(float(np.abs(use * weight).max()), 1e-30)
-    basis = (use.T * weight[:, None] * scale).astype(np.float32)
+    axes = np.flatnonzero(size[:RANK] > 1e-6 * max(size[0], 1e-30))  # fewer where the corpus has fewer
+    use = np.zeros((RANK, TERMS))
+    use[axes] = vt[axes] / size[axes, None]  # latent axes of equal spread
+    basis = use.T * weight[:, None]
+    basis = (basis / max(float(np.abs(basis).max()), 1e-30)).astype(np.float32)
     basis[weight < FAINT * weight.max()] = 0
     return Space(idf, basis)
 
