@@ -35,10 +35,9 @@ class Recurrence:
 
     @property
     def block(self) -> int:
-        rate = abs(math.log(self.decay))
-        if rate >= 0.07:
-            return 500
-        return 2_000 if rate >= 0.018 else 0
+        """Bars after which the exponent restarts: the smallest multiple of 500 or 2,000 whose decay is below 1e-15."""
+        needed = math.log(1e-15) / math.log(self.decay)
+        return 500 if needed <= 500 else 2_000 * math.ceil(needed / 2_000)
 
 
 def number_bars(df: DataFrame, keys: Sequence[str], order: str = "date") -> DataFrame:
@@ -64,7 +63,7 @@ def solve(df: DataFrame, items: Sequence[Recurrence], keys: Sequence[str], order
     bar = F.col(BAR)
 
     def offset(r: Recurrence) -> Column:
-        return bar % r.block if r.block else bar
+        return bar % r.block
 
     local: dict[str, Column] = {}
     for r in items:
@@ -73,7 +72,7 @@ def solve(df: DataFrame, items: Sequence[Recurrence], keys: Sequence[str], order
             .when(bar == r.start, r.seed)
             .otherwise((1.0 - r.decay) * r.x)
         )
-        parts = list(keys) + ([F.floor(bar / r.block)] if r.block else [])
+        parts = [*keys, F.floor(bar / r.block)]
         w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         scaled = F.sum(term * F.pow(F.lit(r.decay), -offset(r))).over(w)
         local[f"_{r.out}"] = scaled * F.pow(F.lit(r.decay), offset(r))
@@ -83,9 +82,7 @@ def solve(df: DataFrame, items: Sequence[Recurrence], keys: Sequence[str], order
     final: dict[str, Column] = {}
     for r in items:
         value = F.col(f"_{r.out}")
-        if r.block:
-            block_end = F.when(offset(r) == r.block - 1, value)
-            carried = F.coalesce(F.last(block_end, ignorenulls=True).over(before), F.lit(0.0))
-            value = value + carried * F.pow(F.lit(r.decay), offset(r) + 1)
-        final[r.out] = F.when(bar >= r.start, value)
+        block_end = F.when(offset(r) == r.block - 1, value)
+        carried = F.coalesce(F.last(block_end, ignorenulls=True).over(before), F.lit(0.0))
+        final[r.out] = F.when(bar >= r.start, value + carried * F.pow(F.lit(r.decay), offset(r) + 1))
     return out.withColumns(final).drop(*local)

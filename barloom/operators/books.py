@@ -234,9 +234,10 @@ def most_liquid(prices: DataFrame, on: Column, floor: float, n: int) -> DataFram
     return prices.filter((c("date") == on) & (c("adv_20") >= floor)).orderBy(c("adv_20").desc(), "isin").limit(n).select("isin", "adv_20")
 
 
-def newest(events: DataFrame, time: str, tie: str, kind: str | None = None, kind_column: str = "alert_type", n: int = 50) -> DataFrame:
+def newest(events: DataFrame, time: str, tie: str, kind: str | None = None, kind_column: str = "alert_type", n: int | None = None) -> DataFrame:
     df = events if kind is None else events.filter(c(kind_column) == kind)
-    return df.orderBy(c(time).desc(), c(tie).desc()).limit(n)
+    df = df.orderBy(c(time).desc(), c(tie).desc())
+    return df if n is None else df.limit(n)
 
 
 def clean_clock(checks: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def missing_days(calendar: DataFrame, processed: DataFrame, start: Column, end:
 
 
 def scorecard(clock: DataFrame, missing: DataFrame, ledger_total: DataFrame, stops: DataFrame, drawdown: DataFrame,
-              max_stops: int = 3, max_dd_pct: float = 23.1, months_needed: int = 6) -> DataFrame:
+              max_stops: int = 5, max_dd_pct: float = 23.1, months_needed: int = 6) -> DataFrame:
     """Gates and kill rules folded into one verdict row."""
     gaps = missing.agg(F.count("*")).scalar()
     band = ledger_total.select("within_band").scalar()

@@ -141,11 +141,13 @@ def latest_per_timeframe(signals: DataFrame) -> DataFrame:
     )
 
 
-def score_history(signals: DataFrame, n: int = 250) -> DataFrame:
-    """First n daily scores of each symbol, oldest first."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    df = signals.filter(c("timeframe") == "D").withColumn("_n", F.row_number().over(w))
-    return df.filter(c("_n") <= n).select("symbol", "date", "entry_score")
+def score_history(signals: DataFrame, n: int | None = None) -> DataFrame:
+    """Daily scores of each symbol: all, or the newest ``n``."""
+    df = signals.filter(c("timeframe") == "D")
+    if n is not None:
+        w = Window.partitionBy("symbol").orderBy(c("date").desc())
+        df = df.withColumn("_n", F.row_number().over(w)).filter(c("_n") <= n)
+    return df.select("symbol", "date", "entry_score")
 
 
 def day_change(bars: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def last_state(prices: DataFrame) -> DataFrame:
 
 
 def terminations(prices: DataFrame, pairs: DataFrame, fates: DataFrame | None = None, *, liquidity_floor: float,
-                 cutoff_days: int = 30, near_edge_days: int = 60, min_cluster: int = 4,
+                 cutoff_days: int = 15, near_edge_days: int = 60, min_cluster: int = 5,
                  insolvent_ratio: float = 0.5) -> DataFrame:
     """Ids that stopped trading without a successor, liquid at the end, with their kind."""
     edge = prices.agg(F.max("date")).scalar()

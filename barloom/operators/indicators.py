@@ -131,7 +131,7 @@ def indicator_panel(bars: DataFrame, keys=KEYS) -> DataFrame:
     df = recur.solve(df, emas + wilders, keys)
 
     gain, loss = F.col("_wgain"), F.col("_wloss")
-    pdi, mdi = F.col("_wpdm") / F.col("_wtr"), F.col("_wmdm") / F.col("_wtr")
+    pdi, mdi = F.try_divide("_wpdm", "_wtr"), F.try_divide("_wmdm", "_wtr")  # null for a flat name
     df = df.withColumns(
         {
             "macd": F.col("_e12") - F.col("_e26"),

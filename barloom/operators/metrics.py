@@ -6,11 +6,8 @@ import itertools
 from collections.abc import Sequence
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from barloom.functions import scan
 from barloom.functions.windows import TRADING_DAYS, one_series
@@ -232,24 +229,17 @@ def top_configs(scores: DataFrame, n: int) -> DataFrame:
     return scores.orderBy(c("robustness").desc(), "config").limit(n)
 
 
-@pandas_udf(DoubleType())
-def inverse_normal(p: pd.Series) -> pd.Series:
-    """Standard normal quantile; Spark has no such function."""
-    q = NormalDist().inv_cdf
-    return p.map(q)
-
-
 def deflated_sharpe(returns: DataFrame, trials: int, by: Sequence[str] = ("config",)) -> DataFrame:
     """Sharpe less the maximum expected from that many skill-less trials."""
     mean_sd = returns.groupBy(*by).agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"), F.count("ret").alias("n"))
     df = returns.join(mean_sd, list(by))
-    z = (c("ret") - c("mu")) / c("sd")
+    z = F.try_divide(c("ret") - c("mu"), c("sd"))  # null without variance
     m = df.groupBy(*by, "mu", "sd", "n").agg(F.avg(F.pow(z, 3)).alias("skew"), (F.avg(F.pow(z, 4)) - 3).alias("kurt"))
-    sr = c("mu") / c("sd")
-    var = (1 - c("skew") * sr + c("kurt") / 4 * sr * sr) / (c("n") - 1)
-    k = F.lit(float(trials))
-    m = m.withColumns({"_z1": inverse_normal(1 - 1 / k), "_z2": inverse_normal(1 - 1 / (k * F.lit(2.718281828459045)))})
-    noise = ((1 - EULER) * c("_z1") + EULER * c("_z2")) * F.sqrt(F.greatest(var, F.lit(1e-12)))
+    sr = F.try_divide("mu", "sd")
+    var = F.try_divide(1 - c("skew") * sr + c("kurt") / 4 * sr * sr, c("n") - 1)
+    quantile = NormalDist().inv_cdf
+    most = (1 - EULER) * quantile(1 - 1 / trials) + EULER * quantile(1 - 1 / (trials * 2.718281828459045))
+    noise = F.lit(most) * F.sqrt(F.greatest(var, F.lit(1e-12)))
     return m.select(*by, ((sr - noise) * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("deflated_sharpe"), (sr * F.sqrt(F.lit(float(TRADING_DAYS)))).alias("sharpe"))
 
 

@@ -312,10 +312,10 @@ def search_stocks(stocks: DataFrame, text: str, limit: int = 15) -> DataFrame:
     )
 
 
-def list_stocks(stocks: DataFrame, sector: str | None = None, industry: str | None = None, limit: int = 100) -> DataFrame:
+def list_stocks(stocks: DataFrame, sector: str | None = None, industry: str | None = None) -> DataFrame:
     df = stocks
     if sector is not None:
         df = df.filter(c("sector") == sector)
     if industry is not None:
         df = df.filter(c("industry") == industry)
-    return df.orderBy("symbol").limit(limit)
+    return df.orderBy("symbol")

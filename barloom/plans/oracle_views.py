@@ -207,14 +207,14 @@ SELECT *, round(CASE WHEN ok THEN CAST(row_number() OVER (PARTITION BY timeframe
 FROM (SELECT *, momentum_12m IS NOT NULL AND timeframe = 'D' AS ok FROM sig_d)""")
 
 cte("events_ca", "", """
-SELECT 'INE' || lpad(CAST(isin AS VARCHAR), 6, '0') || '010' AS isin, isin AS symbol, e.d AS ex_date, e.p AS pri,
+SELECT 'INE' || lpad(CAST(isin AS VARCHAR), greatest(6, length(CAST(isin AS VARCHAR)))::INTEGER, '0') || '010' AS isin, isin AS symbol, e.d AS ex_date, e.p AS pri,
  CASE e.p WHEN '1-URGENT' THEN 'split' WHEN '2-HIGH' THEN 'bonus' ELSE 'dividend' END AS type,
  CASE WHEN e.p IN ('1-URGENT', '2-HIGH') THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS ratio,
  CASE WHEN e.p NOT IN ('1-URGENT', '2-HIGH') THEN 1.0::DOUBLE END AS dividend
 FROM (SELECT o_custkey % (SELECT count(*) FROM supplier) AS isin, year(o_orderdate) AS y,
  min({'d': CAST(o_orderdate AS DATE), 'k': o_orderkey, 'p': o_orderpriority}) AS e FROM orders GROUP BY 1, 2)""")
 cte("legs", "bars", """
-SELECT * EXCLUDE (rn, cnt), 'INE' || lpad(CAST(symbol AS VARCHAR), 6, '0') || '0' ||
+SELECT * EXCLUDE (rn, cnt), 'INE' || lpad(CAST(symbol AS VARCHAR), greatest(6, length(CAST(symbol AS VARCHAR)))::INTEGER, '0') || '0' ||
  CASE WHEN symbol % 10 = 0 AND rn*2 > cnt THEN '2' ELSE '1' END || '0' AS isin
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY symbol) AS cnt FROM bars)""")
 cte("lifetimes", "legs", """

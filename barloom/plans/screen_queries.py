@@ -136,7 +136,7 @@ SELECT {DATE}, symbol, sector, {rnd('entry_score')} AS entry_score, tier, array_
    CASE WHEN entry_score >= 30 THEN 'trend_continuation' END), lambda x: x IS NOT NULL) AS tags
  FROM signals JOIN stocks USING (symbol) WHERE {ALERT_WHERE} AND rsi BETWEEN 35 AND 65) WHERE len(tags) > 0""")(
     lambda v: alerts.signal_digest(v.signals, v.stocks, CONFIGS).withColumn("strategy_tags", F.array_join("strategy_tags", ",")))
-query("p26_list_stocks", "stocks", "SELECT symbol, name, sector, industry FROM stocks WHERE sector = 'ASIA' ORDER BY symbol LIMIT 100")(
+query("p26_list_stocks", "stocks", "SELECT symbol, name, sector, industry FROM stocks WHERE sector = 'ASIA' ORDER BY symbol")(
     lambda v: screens.list_stocks(v.stocks, sector="ASIA").select("symbol", "name", "sector", "industry"))
 
 CONF = f"""SELECT d.date, d.symbol, d.entry_score FROM signals d JOIN (
@@ -212,7 +212,7 @@ query("w45_latest_per_timeframe", "signals", f"""
 SELECT symbol, timeframe, {DATE}, ema_signal, rsi_signal, {rounded('entry_score rsi adx rs_score')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY date DESC) AS n FROM signals) WHERE n = 1""")(
     lambda v: dashboard.latest_per_timeframe(v.signals))
 query("w45_score_history", "signals", f"""
-SELECT symbol, {DATE}, {rnd('entry_score')} AS entry_score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM signals WHERE {D}) WHERE n <= 250""")(
+SELECT symbol, {DATE}, {rnd('entry_score')} AS entry_score FROM signals WHERE {D}""")(
     lambda v: dashboard.score_history(v.signals))
 query("j28_watch_metrics", "journal last_bars panel", f"""
 SELECT j.symbol, trade_id, b.bar - p.bar AS days_elapsed, {rnd('b.close')} AS current_price, {rnd('coalesce((b.close - b.ema21)/b.ema21*100, 0)')} AS vs_ema21_pct,

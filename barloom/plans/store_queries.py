@@ -9,7 +9,7 @@ from barloom.operators import adjust, calendar, fundamentals, identity, quality
 from barloom.plans.oracle_views import cte, rnd, rounded
 from barloom.plans.registry import query
 from barloom.sources import storage
-from barloom.sources.views import LIQUIDITY_FLOOR
+from barloom.sources.views import LIQUIDITY_FLOOR, padded
 
 c = F.col
 DATE = "CAST(date AS VARCHAR) AS date"
@@ -330,13 +330,13 @@ query("s18_rederived_ids", "legs pairs", "SELECT (SELECT count(*) FROM legs) AS
 cte("ident", "adjusted pairs", """SELECT a.*, coalesce(p.root_isin, a.isin) AS instrument_id FROM adjusted a LEFT JOIN (
  SELECT old_isin AS isin, root_isin FROM pairs WHERE asserted UNION SELECT new_isin, root_isin FROM pairs WHERE asserted) p USING (isin)""")
 cte("termset", "ident pairs", f"""
-SELECT *, CASE WHEN days_before_edge <= 60 AND cluster_size >= 4 THEN 'data_gap_suspect' WHEN upper(CAST(symbol AS VARCHAR)) LIKE '%DVR' THEN 'cancellation'
+SELECT *, CASE WHEN days_before_edge <= 60 AND cluster_size >= 5 THEN 'data_gap_suspect' WHEN upper(CAST(symbol AS VARCHAR)) LIKE '%DVR' THEN 'cancellation'
  WHEN last_peak_ratio < 0.5 THEN 'delisting_insolvency' ELSE 'merger' END AS subtype FROM (
  SELECT *, count(*) OVER (PARTITION BY last_date) AS cluster_size, edge - last_date AS days_before_edge FROM (
   SELECT isin, arg_max(symbol, date) AS symbol, max(date) AS last_date, arg_max(instrument_id, date) AS instrument_id, arg_max(adv_20, date) AS adv_last,
-   arg_max(close_raw, date)/max(close_raw) AS last_peak_ratio, (SELECT max(date) FROM ident) AS edge FROM ident GROUP BY isin) WHERE last_date < edge - 30)
+   arg_max(close_raw, date)/max(close_raw) AS last_peak_ratio, (SELECT max(date) FROM ident) AS edge FROM ident GROUP BY isin) WHERE last_date < edge - 15)
 WHERE isin NOT IN (SELECT old_isin FROM pairs WHERE asserted) AND adv_last >= {LIQUIDITY_FLOOR / 4}
- AND instrument_id NOT IN (SELECT instrument_id FROM ident WHERE date >= (SELECT max(date) FROM ident) - 30)""")
+ AND instrument_id NOT IN (SELECT instrument_id FROM ident WHERE date >= (SELECT max(date) FROM ident) - 15)""")
 KW = dict(liquidity_floor=LIQUIDITY_FLOOR / 4)
 
 
@@ -456,8 +456,8 @@ query("u03_unknown_ids", "", "SELECT DISTINCT o_custkey % 130 AS id FROM orders
         v.table("supplier").select(c("s_suppkey").alias("id")), "id", "left_anti"))
 query("u04_missing_days", "bars", f"SELECT {DATE} FROM (SELECT DISTINCT date FROM bars) WHERE date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")(
     lambda v: cals(v).join(v.nav.select("date"), "date", "left_anti"))
-query("u07_known_delistings", "lifetimes", "SELECT DISTINCT 'INE' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '020' AS isin FROM supplier WHERE s_suppkey % 10 <> 0")(
+query("u07_known_delistings", "lifetimes", "SELECT DISTINCT 'INE' || lpad(CAST(s_suppkey AS VARCHAR), greatest(6, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0') || '020' AS isin FROM supplier WHERE s_suppkey % 10 <> 0")(
     lambda v: fundamentals.missing_delistings(
-        v.stocks.select(F.concat(F.lit("INE"), F.lpad(c("symbol").cast("string"), 6, "0"), F.lit("020")).alias("isin")), v.lifetimes))
+        v.stocks.select(F.concat(F.lit("INE"), padded(c("symbol")), F.lit("020")).alias("isin")), v.lifetimes))
 query("u09_common_days", "bars nav", f"SELECT {DATE} FROM (SELECT date FROM bars INTERSECT SELECT date FROM nav)")(
     lambda v: cals(v).intersect(v.nav.select("date")))

@@ -42,9 +42,13 @@ class ContractError(ValueError):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only where the session names none."""
+    """Folder every executor can reach; a machine-local one only on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/") if base else tempfile.mkdtemp(prefix="spark-barloom-", dir="/tmp")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-barloom-", dir="/tmp")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

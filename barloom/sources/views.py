@@ -24,10 +24,16 @@ def day(name: str):
     return F.to_date(F.col(name))
 
 
+def padded(symbol):
+    """At least six digits; longer numbers keep all of theirs."""
+    digits = symbol.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))
+
+
 def isin_code(symbol, leg):
-    """12-character id: issuer prefix, two-digit leg, check digit."""
+    """Id of 12 characters (more beyond six digits): issuer prefix, number, two-digit leg, check digit."""
     return F.concat(
-        F.lit("INE"), F.lpad(symbol.cast("string"), 6, "0"), F.lit("0"), leg.cast("string"), F.lit("0")
+        F.lit("INE"), padded(symbol), F.lit("0"), leg.cast("string"), F.lit("0")
     )
 
 
