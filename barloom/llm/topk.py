@@ -24,6 +24,7 @@ from barloom.llm.common import written
 
 BINS = 256
 QUERY_BLOCK = 8192  # queries of a block: what is broadcast is at most so many vectors
+CANDIDATE_BLOCK = 4096  # vectors of a task, about: the work is theirs times the queries
 SCORED = 4_000_000  # scores a task holds at once
 HISTOGRAM = "qno int, bin int, n long"
 HITS = "qno int, vec_id long, score long"
@@ -85,7 +86,8 @@ def blocks_of(rows) -> dict:
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best candidates of each query row."""
     spark = vectors.sparkSession
-    data = written(quantised(vectors, scale), "vectors")
+    blocks = max(1, -(-vectors.count() // CANDIDATE_BLOCK))
+    data = written(quantised(vectors, scale).repartition(blocks), "vectors")
     asked = data.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-2 * data.where(is_query).count() // query_block)))))
     blocks = sorted(r["block"] for r in asked.groupBy("block").count().collect())
     out = None
