@@ -59,8 +59,10 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """Ids of one split-off word of plain letters: the library's model alone, on its byte letters."""
-        body = " " + word if self.blank_stays else word.lower()
-        tokens = self.library.model.tokenize(body.encode().decode("latin-1").translate(self.letters))
+        body = word if self.blank_stays else word.lower()
+        if not body.isascii():  # plain ASCII letters stand for their bytes
+            body = body.encode().decode("latin-1").translate(self.letters)
+        tokens = self.library.model.tokenize(self.letters[32] + body if self.blank_stays else body)
         return array("I", [t.id for t in tokens]).tobytes()
 
     def learn(self, cut: Sequence[list[str] | None]) -> None:
