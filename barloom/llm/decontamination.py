@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import CACHED_CHARS, CACHED_WORDS, docs_of, partition_id, slices, texts_of
+from barloom.llm.common import docs_of, partition_id, slices, texts_of
 
 SEGMENT = 16
 TERMS = 1 << 13
@@ -39,31 +39,39 @@ COSINE = 0.36
 LEAK, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEM_BLOCK = 2000
 FOUND = "doc_id long, contaminated boolean, item_id long, share double, n_items int"
-BORDER = "\x00"  # between texts
 MARKS = ".,;:!?()[]{}\"'«»“”"
 
 
-class Words:
-    """Numbers of words: their hash, whose low bits are the term."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.chars = 0
-
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words of all texts, and each text's bounds in them."""
-        words = f" {BORDER} ".join(t.replace(BORDER, " ") for t in texts).lower().split()
-        if len(self.known) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self.known.clear()
-            self.chars = 0
-        new = set(words) - self.known.keys()
-        self.chars += sum(map(len, new))
-        self.known.update({w: xxhash.xxh3_64_intdigest((w.strip(MARKS) or w).encode("utf-8", "surrogatepass")) for w in new})
-        found = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        if len(texts) < 2:
-            return found, np.array([0, len(found)])
-        cuts = np.flatnonzero(found == np.uint64(self.known[BORDER]))
-        return np.delete(found, cuts), np.concatenate([[0], cuts - np.arange(len(cuts)), [len(found) - len(cuts)]])
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts (the low bits are the term), and each text's bounds in them."""
+    split = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+    words = split.flatten().dictionary_encode()
+    spelled, number = words.dictionary, words.indices.to_numpy()
+    bare = pc.utf8_trim(spelled, MARKS)
+    hashed = string_hashes(pc.if_else(pc.equal(bare, ""), spelled, bare))
+    real = (pc.binary_length(spelled).to_numpy() > 0)[number]  # white space at a text's end splits off nothing
+    ends = np.append(0, np.cumsum(real))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return hashed[number[real]], ends
+
+
+def string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes: a polynomial in the bytes, mixed."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset:strings.offset + len(strings) + 1]
+    codes = np.frombuffer(data or b"", np.uint8)[at[0]:at[-1]].astype(np.uint64) + np.uint64(1)
+    sizes = np.diff(at)
+    powers = np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    place = np.arange(len(codes)) - np.repeat(at[:-1] - at[0], sizes)
+    sums = np.zeros(len(strings), np.uint64)
+    full = sizes > 0
+    if full.any():
+        sums[full] = np.add.reduceat(codes * powers[place], (at[:-1] - at[0])[full])
+    sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return sums ^ (sums >> np.uint64(29))
 
 
 def segments_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +93,10 @@ def latent_space(docs: DataFrame) -> Space:
     """IDF and the latent basis of all passages (segments) of all documents."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rng = Words(), np.random.default_rng([5, partition_id()])
+        rng = np.random.default_rng([5, partition_id()])
         df, sketch, total = np.zeros(TERMS), np.zeros(SKETCH * TERMS, np.float32), 0
         for batch in slices(batches):
-            hashes, ends = words.of(texts_of(batch))
+            hashes, ends = word_hashes(texts_of(batch))
             if not len(hashes):
                 continue
             starts, _ = segments_of(ends)
@@ -140,30 +148,33 @@ class Items:
     ids: list[int | None]
     words: list[np.ndarray]
     sorted_words: list[np.ndarray]
+    terms: np.ndarray  # items x TERMS: whether a word of the item has the term
     answers: list[np.ndarray]
     widths: np.ndarray  # segments of a passage that covers the item
     latent: np.ndarray  # normalised
 
 
 def items_of(rows: list[dict], space: Space) -> Items:
-    words = Words()
     ids, own, answers = [], [], []
     for r in rows:
-        hashes, _ = words.of([r["text"] or ""])
+        hashes, _ = word_hashes([r["text"] or ""])
         if not len(hashes):
             continue
         answer = r.get("answer")
         if answer is None:
             parts = [p for p in re.split(r"(?<=[.!?])\s+", (r["text"] or "").strip()) if p]
             answer = parts[-1] if len(parts) > 1 else ""
-        found, _ = words.of([answer])
+        found, _ = word_hashes([answer])
         ids.append(r["item_id"])
         own.append(hashes)
         answers.append(found if len(found) >= 3 else found[:0])
     latent = np.array([space.basis[(w % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for w in own]).reshape(len(own), RANK)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    terms = np.zeros((len(own), TERMS), bool)
+    for k, w in enumerate(own):
+        terms[k, (w % np.uint64(TERMS)).astype(np.int64)] = True
     widths = np.array([-(-(len(w) - 1) // SEGMENT) + 1 for w in own], np.int64)
-    return Items(ids, own, [np.sort(w) for w in own], answers, widths, latent.astype(np.float32))
+    return Items(ids, own, [np.sort(w) for w in own], terms, answers, widths, latent.astype(np.float32))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -186,15 +197,16 @@ def enough_in_common(sorted_item: np.ndarray, passage: np.ndarray, least: float)
     return int(np.minimum(n, m).sum()) >= least
 
 
-def leaks(texts: list[str], items: Items, space: Space, words: Words) -> list[dict[int, float]]:
+def leaks(texts: list[str], items: Items, space: Space) -> list[dict[int, float]]:
     """For each text its leaked items with the share of the item's words that come in order."""
-    hashes, ends = words.of(texts)
+    hashes, ends = word_hashes(texts)
     out: list[dict[int, float]] = [{} for _ in texts]
     if not len(hashes) or not items.ids:
         return out
     starts, bounds = segments_of(ends)
     term = (hashes % np.uint64(TERMS)).astype(np.int64)
     telling = space.basis.any(axis=1)[term]
+    all_terms = term
     inside, term = np.append(0, np.cumsum(telling))[starts], term[telling]
     segment = np.zeros((len(starts) - 1, RANK), np.float32)
     for a in range(0, len(segment), 4000):
@@ -220,8 +232,11 @@ def leaks(texts: list[str], items: Items, space: Space, words: Words) -> list[di
             for i, j in zip(*np.nonzero(near)):
                 k, s = int(which[j]), a + int(i)
                 text, item = int(owner[s]), items.words[k]
-                passage = hashes[starts[s]:starts[min(s + width, last[s])]]
-                if out[text].get(k) == 1.0 or not enough_in_common(items.sorted_words[k], passage, PARAPHRASE * len(item)):
+                span, least_words = slice(starts[s], starts[min(s + width, last[s])]), PARAPHRASE * len(item)
+                passage = hashes[span]
+                if out[text].get(k) == 1.0 or np.count_nonzero(items.terms[k][all_terms[span]]) < least_words:
+                    continue
+                if not enough_in_common(items.sorted_words[k], passage, least_words):
                     continue
                 share = common_subsequence(item, passage) / len(item)
                 answer = items.answers[k]
@@ -247,13 +262,13 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((space, list(blocks_of_items(benchmark, space))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (space, blocks), words = shared.value, Words()
+        space, blocks = shared.value
         for batch in slices(batches):
             texts = texts_of(batch)
             best = [(0.0, None)] * len(texts)
             n = [0] * len(texts)
             for items in blocks:
-                for i, hits in enumerate(leaks(texts, items, space, words)):
+                for i, hits in enumerate(leaks(texts, items, space)):
                     n[i] += len(hits)
                     for k, share in sorted(hits.items()):
                         if share > best[i][0]:
@@ -272,12 +287,12 @@ def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((space, list(blocks_of_items(benchmark, space))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (space, blocks), words = shared.value, Words()
+        space, blocks = shared.value
         for batch in slices(batches):
             texts = texts_of(batch)
             hit = np.zeros(len(texts), bool)
             for items in blocks:
-                hit |= np.array([len(h) > 0 for h in leaks(texts, items, space, words)])
+                hit |= np.array([len(h) > 0 for h in leaks(texts, items, space)])
             yield batch.filter(pa.array(~hit))
 
     return docs.mapInArrow(keep, docs.schema)
