@@ -284,3 +284,13 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
 
 def test_fold_of_null_ids(spark):
     assert spark.range(1).select(fold(F.lit(None).cast("long"), 3)).first()[0] == 0
+
+
+def test_word_hashes_split_as_text_does():
+    texts = ["", "  Ab c. ", "a\nb\té  c", "...", " ", "x" * 5000 + " (ab)", "ab, c"]
+    hashes, ends = decontamination.word_hashes(texts)
+    words = [[w.strip(decontamination.MARKS) or w for w in t.lower().split()] for t in texts]
+    assert np.diff(ends).tolist() == [len(w) for w in words]
+    pairs = set(zip([w for ws in words for w in ws], hashes.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert decontamination.word_hashes([])[1].tolist() == [0]
