@@ -5,11 +5,15 @@ many as cover a benchmark item wherever it begins. One pass over all documents c
 document frequencies and, for the randomised SVD, projects the term-frequency rows of all segments
 with a sparse random sign matrix onto SKETCH rows; both are summed in Spark. Weighted by inverse
 document frequency, the sketch's right singular vectors span the latent space of the TF-IDF matrix
-(terms are hashed into TERMS). A second pass sums the latent vectors of every passage's words, takes
-the cosine with every item, and for pairs of at least COSINE bounds the longest common subsequence of
-words by the words in common, then computes it. A passage leaks an item if LEAK of the item's words
-come in order, or PARAPHRASE of them and ANSWER of its answer (the column ``answer``, else the item's
-last sentence if it has several, of three words or more).
+(terms are hashed into TERMS). A second pass sums the latent vectors of every passage's words and
+takes the cosine with every item. A passage is longer than its item, which dilutes the cosine, so
+pairs under COSINE are candidates too wherever the words allow a leak: a common subsequence of the
+least length that counts needs so many of the item's words, all but the commonest of which are
+counted in every passage (``word_candidates``). This loses no leak; the cosine adds none. For
+candidates the longest common subsequence of words is bounded by the words in common, then computed.
+A passage leaks an item if LEAK of the item's words come in order, or PARAPHRASE of them and ANSWER
+of its answer (the column ``answer``, else the item's last sentence if it has several, of three words
+or more).
 
 Items are compared in blocks of ITEM_BLOCK, which bounds what is broadcast. Words are white-space
 separated, lower case, without marks at their ends. Null and empty texts leak nothing; items without
@@ -38,6 +42,8 @@ FAINT = 0.03  # of the largest weight: terms below it, in more than about 2 % of
 COSINE = 0.36
 LEAK, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 ITEM_BLOCK = 2000
+TELLING_WORDS = 4  # of an item's rarer words that a candidate has at least: more or fewer change the time only
+ITEM_COLUMNS = 256  # items whose words are counted at once
 FOUND = "doc_id long, contaminated boolean, item_id long, share double, n_items int"
 MARKS = ".,;:!?()[]{}\"'«»“”"
 
@@ -147,9 +153,10 @@ def latent_space(docs: DataFrame) -> Space:
 class Items:
     ids: list[int | None]
     words: list[np.ndarray]
-    sorted_words: list[np.ndarray]
-    terms: np.ndarray  # items x TERMS: whether a word of the item has the term
     answers: list[np.ndarray]
+    least: np.ndarray  # words in order without which nothing leaks
+    vocabulary: np.ndarray  # sorted words of all items
+    distinct: list[tuple[np.ndarray, np.ndarray]]  # places in the vocabulary of an item's words, and how often it has them
     widths: np.ndarray  # segments of a passage that covers the item
     latent: np.ndarray  # normalised
 
@@ -170,11 +177,14 @@ def items_of(rows: list[dict], space: Space) -> Items:
         answers.append(found if len(found) >= 3 else found[:0])
     latent = np.array([space.basis[(w % np.uint64(TERMS)).astype(np.int64)].sum(axis=0) for w in own]).reshape(len(own), RANK)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    terms = np.zeros((len(own), TERMS), bool)
-    for k, w in enumerate(own):
-        terms[k, (w % np.uint64(TERMS)).astype(np.int64)] = True
+    vocabulary = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+    distinct = []
+    for w in own:
+        words, times = np.unique(w, return_counts=True)
+        distinct.append((np.searchsorted(vocabulary, words), times))
+    least = [np.flatnonzero(np.arange(len(w) + 1) / len(w) >= (PARAPHRASE if len(a) else LEAK))[0] for w, a in zip(own, answers)]
     widths = np.array([-(-(len(w) - 1) // SEGMENT) + 1 for w in own], np.int64)
-    return Items(ids, own, [np.sort(w) for w in own], terms, answers, widths, latent.astype(np.float32))
+    return Items(ids, own, answers, np.array(least, np.int64), vocabulary, distinct, widths, latent.astype(np.float32))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -187,14 +197,83 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
-def enough_in_common(sorted_item: np.ndarray, passage: np.ndarray, least: float) -> bool:
-    """Whether the multisets share ``least`` words; no common subsequence is longer than what they share."""
-    inside = passage[sorted_item[np.minimum(np.searchsorted(sorted_item, passage), len(sorted_item) - 1)] == passage]
-    if len(inside) < least:
-        return False
-    x, n = np.unique(inside, return_counts=True)
-    m = np.searchsorted(sorted_item, x, "right") - np.searchsorted(sorted_item, x, "left")
-    return int(np.minimum(n, m).sum()) >= least
+def enough_in_common(item: tuple[np.ndarray, np.ndarray], least: int, place: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each passage shares ``least`` words with the item; no common subsequence is longer than what they share."""
+    words, times = item
+    out = np.zeros(len(begin), bool)
+    step = max(1, 2_000_000 // max(int((end - begin).max(initial=1)), len(words)))
+    for a in range(0, len(begin), step):
+        size = end[a:a + step] - begin[a:a + step]
+        row = np.repeat(np.arange(len(size)), size)
+        found = place[np.arange(len(row)) + np.repeat(begin[a:a + step] - np.append(0, np.cumsum(size)[:-1]), size)]
+        nth = np.minimum(np.searchsorted(words, found), len(words) - 1)
+        same = words[nth] == found
+        counts = np.bincount(row[same] * len(words) + nth[same], minlength=len(size) * len(words)).reshape(len(size), -1)
+        out[a:a + step] = np.minimum(counts, times).sum(axis=1) >= least
+    return out
+
+
+def segment_totals(rows: np.ndarray, place: np.ndarray, use: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums over each segment of the rows of its words; only words in ``use`` have a row."""
+    inside, place = np.append(0, np.cumsum(use))[starts], place[use]
+    out = np.zeros((len(starts) - 1, rows.shape[1]), rows.dtype)
+    for a in range(0, len(out), 4000):
+        b = min(a + 4000, len(out))
+        full = a + np.flatnonzero(inside[a + 1:b + 1] > inside[a:b])
+        if len(full):
+            out[full] = np.add.reduceat(rows[place[inside[a]:inside[b]]], inside[full] - inside[a], axis=0, dtype=rows.dtype)
+    return out
+
+
+def passage_totals(segment: np.ndarray, last: np.ndarray, width: int, total: np.ndarray, done: int = 1) -> None:
+    """Makes ``total``, the sums of passages of ``done`` segments, those of ``width`` segments, as far as the text has them."""
+    at = np.arange(len(segment))
+    for w in range(done, width):
+        more = np.flatnonzero(at + w < last)
+        if len(more):
+            total[more] += segment[more + w]
+
+
+def latent_candidates(term: np.ndarray, starts: np.ndarray, last: np.ndarray, items: Items, space: Space) -> Iterator[np.ndarray]:
+    """Passages (by first segment) and items of a latent cosine of COSINE at least, as passage * items + item."""
+    segment = segment_totals(space.basis, term, space.basis.any(axis=1)[term], starts)
+    total, done = segment.copy(), 1
+    for width in np.unique(items.widths).tolist():
+        passage_totals(segment, last, width, total, done)
+        which, done = np.flatnonzero(items.widths == width), width
+        least = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", total, total)), 1e-12)
+        for a in range(0, len(total), 20_000):
+            i, j = np.nonzero(total[a:a + 20_000] @ items.latent[which].T >= least[a:a + 20_000, None])
+            yield (a + i) * len(items.ids) + which[j]
+
+
+def word_candidates(place: np.ndarray, starts: np.ndarray, last: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """Passages and items, as above, that may have ``least`` words in common: no leaking pair is left out.
+
+    An item's words that are commonest in these texts count as present, as long as TELLING_WORDS are
+    then still wanting; of its other words a passage must hold what is wanting.
+    """
+    often = np.bincount(place, minlength=len(items.vocabulary) + 1)
+    by_width = np.argsort(items.widths, kind="stable")
+    for first in range(0, len(by_width), ITEM_COLUMNS):
+        group = by_width[first:first + ITEM_COLUMNS]
+        counted, wanting = np.zeros((len(items.vocabulary) + 1, len(group)), np.uint8), items.least[group]
+        for j, k in enumerate(group):
+            words, times = items.distinct[k]
+            order = np.argsort(-often[words], kind="stable")
+            granted = np.cumsum(times[order])
+            n = int(np.searchsorted(granted, wanting[j] - TELLING_WORDS, "right"))
+            wanting[j] -= granted[n - 1] if n else 0
+            counted[words[order[n:]], j] = 1
+        segment = segment_totals(counted, place, counted.any(axis=1)[place], starts)  # SEGMENT at most
+        widths = items.widths[group]
+        for width in np.unique(widths).tolist():
+            a, b = np.searchsorted(widths, [width, width + 1])
+            part = segment[:, a:b]
+            total = part.astype(np.min_scalar_type(width * SEGMENT))
+            passage_totals(part, last, width, total)
+            i, j = np.nonzero(total >= wanting[a:b].astype(total.dtype))  # an item wants no more words than it has
+            yield i * len(items.ids) + group[a + j]
 
 
 def leaks(texts: list[str], items: Items, space: Space) -> list[dict[int, float]]:
@@ -205,43 +284,25 @@ def leaks(texts: list[str], items: Items, space: Space) -> list[dict[int, float]
         return out
     starts, bounds = segments_of(ends)
     term = (hashes % np.uint64(TERMS)).astype(np.int64)
-    telling = space.basis.any(axis=1)[term]
-    all_terms = term
-    inside, term = np.append(0, np.cumsum(telling))[starts], term[telling]
-    segment = np.zeros((len(starts) - 1, RANK), np.float32)
-    for a in range(0, len(segment), 4000):
-        b = min(a + 4000, len(segment))
-        full = a + np.flatnonzero(inside[a + 1:b + 1] > inside[a:b])
-        if len(full):
-            segment[full] = np.add.reduceat(space.basis[term[inside[a]:inside[b]]], inside[full] - inside[a], axis=0)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     last = bounds[1:][owner]
-    at = np.arange(len(owner))
-    passage_sum = segment.copy()
-    for width in range(1, int(items.widths.max()) + 1):
-        if width > 1:  # one more segment, where the text has it
-            more = np.flatnonzero(at + width - 1 < last)
-            if len(more):
-                passage_sum[more] += segment[more + width - 1]
-        which = np.flatnonzero(items.widths == width)
-        if not len(which):
-            continue
-        least = COSINE * np.maximum(np.sqrt(np.einsum("ij,ij->i", passage_sum, passage_sum)), 1e-12)
-        for a in range(0, len(owner), 20_000):
-            near = passage_sum[a:a + 20_000] @ items.latent[which].T >= least[a:a + 20_000, None]
-            for i, j in zip(*np.nonzero(near)):
-                k, s = int(which[j]), a + int(i)
-                text, item = int(owner[s]), items.words[k]
-                span, least_words = slice(starts[s], starts[min(s + width, last[s])]), PARAPHRASE * len(item)
-                passage = hashes[span]
-                if out[text].get(k) == 1.0 or np.count_nonzero(items.terms[k][all_terms[span]]) < least_words:
-                    continue
-                if not enough_in_common(items.sorted_words[k], passage, least_words):
-                    continue
-                share = common_subsequence(item, passage) / len(item)
-                answer = items.answers[k]
-                if share >= LEAK or share >= PARAPHRASE and len(answer) and common_subsequence(answer, passage) >= ANSWER * len(answer):
-                    out[text][k] = max(share, out[text].get(k, 0.0))
+    place = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
+    place[items.vocabulary[place] != hashes] = len(items.vocabulary)  # no item's word
+    pairs = [*latent_candidates(term, starts, last, items, space), *word_candidates(place, starts, last, items)]
+    at, of = np.divmod(np.unique(np.concatenate(pairs)), len(items.ids))
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        k, near = int(of[order[a]]), at[order[a:b]]
+        begin, end = starts[near], starts[np.minimum(near + items.widths[k], last[near])]
+        item, answer = items.words[k], items.answers[k]
+        for n in np.flatnonzero(enough_in_common(items.distinct[k], items.least[k], place, begin, end)).tolist():
+            text, passage = int(owner[near[n]]), hashes[begin[n]:end[n]]
+            if out[text].get(k) == 1.0:
+                continue
+            share = common_subsequence(item, passage) / len(item)
+            if share >= LEAK or share >= PARAPHRASE and len(answer) and common_subsequence(answer, passage) >= ANSWER * len(answer):
+                out[text][k] = max(share, out[text].get(k, 0.0))
     return out
 
 

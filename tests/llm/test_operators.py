@@ -243,6 +243,33 @@ def test_leaks_are_found_exact_and_paraphrased(spark, docs, empty):
     assert decontamination.found(empty, bench).count() == 0 and decontamination.found(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_of_short_and_long_items_equal_brute_force(spark):
+    rng = random.Random(12)
+    other = [f"{w}{k}" for w in WORDS for k in range(20)]
+    pick = lambda n: [rng.choice(WORDS[:6] if rng.random() < 0.4 else other) for _ in range(n)]
+    items, rows = [], []
+    for i, n in enumerate([8, 18, 18, 24, 33, 34, 59, 120] * 2):
+        said = [f"{w}." if k == n - 5 else w for k, w in enumerate(pick(n))]  # the last four words are the answer
+        items.append(said)
+        for part in (1.0, 0.75, 0.6, 0.45):
+            words = pick(130)
+            kept = [w for k, w in enumerate(said) if k >= n - 4 or rng.random() < part]
+            at = rng.randint(0, 120)
+            words[at:at] = [x for w in kept for x in ([w] if rng.random() < 0.8 else [w, *pick(1)])]
+            rows.append((len(rows), " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["share"]) for r in decontamination.found(prepared(spark).createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    hashed = [decontamination.word_hashes([" ".join(w)])[0] for w in items]
+    for doc_id, text in rows:
+        words, shares = decontamination.word_hashes([text])[0], []
+        for item in hashed:
+            width = decontamination.SEGMENT * (-(-(len(item) - 1) // decontamination.SEGMENT) + 1)
+            passages = [words[a:a + width] for a in range(0, len(words), decontamination.SEGMENT)]
+            n = [decontamination.common_subsequence(item, p) / len(item) for p in passages]
+            shares.append(max((x for x, p in zip(n, passages) if x >= 0.7 or x >= 0.5 and decontamination.common_subsequence(item[-4:], p) == 4), default=0))
+        assert got[doc_id] == (sum(x > 0 for x in shares), max(shares))
+
+
 def test_common_subsequence_equals_the_plain_table():
     rng = np.random.default_rng(1)
     for _ in range(30):
