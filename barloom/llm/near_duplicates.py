@@ -3,9 +3,10 @@
 Equal texts form one class; only one of each goes on. Every text has ``TREES`` labels of up to
 ``DEPTH`` MinHash values. A tree is the sorted list of its labels, and texts that agree on the first k
 values of a label lie together. The prefix k is shortened from DEPTH until a pair at the threshold
-agrees in some tree with probability ``RECALL`` at least (4 values of 16 trees: 0.9998). Runs of equal
+agrees in some tree with probability ``RECALL`` at least (4 values of 16 trees: 0.9998; the depth
+follows from the threshold alone, not from the data). Runs of equal
 prefixes give candidates; a pair is dropped where its whole signatures agree far less than the
-threshold allows (under 0.6 of 64 values: about 1 in 30,000 pairs of similarity 0.8). Connected
+threshold allows (under 0.45 of 64 values: 2 in 10 billion pairs of similarity 0.8). Connected
 candidates are a group, and all pairs inside a group are verified on whole shingle sets, in blocks:
 a group of n texts sends each text n / BLOCK times, and only counts and a spanning forest come back.
 
@@ -29,7 +30,7 @@ from barloom.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.999
 VALUES = 64  # MinHash values; tree t has values t, t + TREES, ... (DEPTH of them wrap around)
-LEAST_AGREEMENT = 0.6
+LEAST_AGREEMENT = 0.45
 BLOCK = 2048  # texts of a block; runs beyond it are linked without a look at signatures
 BUNDLE_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000  # class hashes that may be broadcast: 16 bytes each

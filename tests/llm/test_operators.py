@@ -215,6 +215,18 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty, monkeypatch):
     assert near_duplicates.joined(docs).count() == docs.count()
 
 
+def test_candidates_keep_pairs_of_unlucky_signatures(spark):
+    a = np.arange(near_duplicates.VALUES, dtype=np.uint32)
+    rows = [(0, a.tobytes())]
+    for rid, agree in ((1, 30), (2, 38), (3, 20)):  # one tree's four values among them; 20 of 64 is no near copy
+        b = a + np.uint32(1000 * rid)
+        same = [*range(0, 64, 16), *(k for k in range(64) if k % 16)][:agree]
+        b[same] = a[same]
+        rows.append((rid, b.tobytes()))
+    edges = near_duplicates.candidate_edges(spark.createDataFrame(rows, "rid long, sig binary"), 4).collect()
+    assert {r["a"] for r in edges} | {r["b"] for r in edges} == {0, 1, 2}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 120)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
