@@ -1,11 +1,13 @@
 """Toxicity of whole texts by a support vector machine with a subsequence string kernel.
 
 A text is cut into sentences, a sentence into units: words between word marks, runs of single
-characters joined (``i d i o t``), long words cut into overlapping windows. The kernel of two units
-sums, over all subsequences of three characters that both hold, ``DECAY`` to the power of the length
-they span in each; it is normalised. So letters between an insult's letters lower it but little.
+characters joined (``i d i o t``), long words cut into overlapping windows. Words of two characters
+are no units, nor are single ones outside a run of three or more. The kernel of two units sums, over
+all subsequences of three characters that both hold and that span at most 8 characters in each,
+``DECAY`` to the power of the length they span; it is normalised. So letters between an insult's
+letters lower it but little, up to two in each gap; three or more in every gap leave no weight.
 
-Training takes a bounded sample of labelled sentences. Landmarks are units that stand out in toxic
+Training takes a bounded sample of labelled texts, with all units of each. Landmarks are units that stand out in toxic
 texts and clean units, among them the most similar ones. Nystroem features of a unit are its kernels
 with the landmarks, whitened. A linear machine learns from witnesses: the highest unit of each toxic
 text against all units of clean ones, chosen again in each round (multiple-instance learning). A
@@ -312,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, training) -> Model | None:
             texts = texts_of(batch)
             yield pa.RecordBatch.from_pydict({
                 "toxic": pa.array([ids.value[ids_here[i]] for i in at], pa.int32()),
-                "units": pa.array([sorted({u for s in text_units(texts[i]) for u in s})[:5000] for i in at], pa.list_(pa.string())),
+                "units": pa.array([sorted({u for s in text_units(texts[i]) for u in s}) for i in at], pa.list_(pa.string())),
             })
 
     texts: tuple[list, list] = [], []

@@ -189,6 +189,16 @@ def test_toxic_words_are_found_also_with_gaps(spark, docs, empty):
     assert toxicity.digest(docs, marks.limit(0)).agg(F.max("score")).first()[0] == 0 and toxicity.digest(empty, marks).count() == 0
 
 
+def test_training_reads_all_units_of_long_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda toxic, clean: seen.append((toxic, clean)))
+    long_text = " ".join(f"a{k:05d}" for k in range(6000))
+    table = prepared(spark).createDataFrame([(1, f"zorvil {long_text}"), (2, f"{long_text} zwick")], "doc_id long, text string")
+    toxicity.fit(table, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True))
+    (toxic,), (clean,) = seen[0]
+    assert len(toxic) == len(clean) == 6001 and "zorvil" in toxic and "zwick" in clean
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)  # groups take several blocks
     rng = random.Random(5)
