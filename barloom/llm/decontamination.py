@@ -15,8 +15,8 @@ A passage leaks an item if LEAK of the item's words come in order, or PARAPHRASE
 of its answer (the column ``answer``, else the item's last sentence if it has several, of three words
 or more).
 
-Items are compared in blocks of ITEM_BLOCK, which bounds what is broadcast. Words are white-space
-separated, lower case, without marks at their ends. Null and empty texts leak nothing; items without
+Items are compared in blocks of ITEM_BLOCK; all blocks are collected to the driver and broadcast
+together, so the benchmark must fit there. Words are white-space separated, lower case, without marks at their ends. Null and empty texts leak nothing; items without
 words are left out, equal items are compared each. Rows with equal ids are judged alone.
 """
 
