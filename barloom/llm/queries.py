@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontamination, hidden_markov, language, licences, near_duplicates, packing, token_counts, token_records, topk, toxicity
+from barloom.llm import byte_bpe, collocations, decontamination, hidden_markov, language, licences, near_duplicates, packing, token_counts, token_records, topk, toxicity
 from barloom.llm.registry import query
 
 
@@ -76,3 +76,57 @@ def op4(spark, root):
 def op10(spark, root):
     docs = table(spark, root, "documents")
     return licences.licences(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+@query("op13_byte_bpe")
+def op13(spark, root):
+    return byte_bpe.digest(table(spark, root, "documents"))
+
+
+PHRASES_SQL = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, [w for w in string_split_regex(piece, '[ \\t]+') if w <> ''] AS w FROM piece
+), places AS (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0
+), gram AS (
+  SELECT lang, 1 AS size, w[i] AS phrase FROM places
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM places WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM places WHERE i + 2 <= len(w)
+), f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS n FROM gram GROUP BY ALL
+), total AS (
+  SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang
+), often AS MATERIALIZED (
+  SELECT lang, size, phrase, n, string_split(phrase, ' ') AS w FROM f WHERE n >= 10
+), part AS (
+  SELECT lang, w[1] || ' ' || w[2] AS phrase, n FROM often WHERE size = 3
+  UNION ALL SELECT lang, w[2] || ' ' || w[3], n FROM often WHERE size = 3
+), above AS (
+  SELECT lang, phrase, max(n) AS m FROM part GROUP BY ALL
+), kept AS (
+  SELECT o.* FROM often o LEFT JOIN above b ON o.lang = b.lang AND o.phrase = b.phrase AND o.size = 2
+  WHERE o.size >= 2 AND (b.m IS NULL OR 100 * b.m < 50 * o.n)
+), cut AS (
+  SELECT lang, phrase, n AS a, 1 AS k, w[1] AS p, CASE size WHEN 2 THEN w[2] ELSE w[2] || ' ' || w[3] END AS q FROM kept
+  UNION ALL SELECT lang, phrase, n, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE size = 3
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r,
+    (1000000 * c.a::HUGEINT * c.a::HUGEINT) // (x.n::HUGEINT * y.n::HUGEINT) AS score
+  FROM cut c JOIN often x ON c.lang = x.lang AND c.p = x.phrase JOIN often y ON c.lang = y.lang AND c.q = y.phrase
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT r.lang, CAST(r.rank AS BIGINT) AS rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r,
+  CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN total t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASES_SQL)
+def op12(spark, root):
+    return collocations.collocations(table(spark, root, "documents"))
