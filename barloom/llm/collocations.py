@@ -76,8 +76,8 @@ def grams(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         last = codes[k : n + k]
         key = np.where((key < 0) | (last < 0), -1, key * top + last)
         if k < size - 1:
-            _, key = np.unique(key, return_inverse=True)
-            key = key - 1 if (codes[:n] < 0).any() or (codes[1 : n + 1] < 0).any() else key
+            seen, key = np.unique(key, return_inverse=True)
+            key = key - int(len(seen) > 0 and seen[0] == -1)
     got, first, number = np.unique(key, return_index=True, return_inverse=True)
     none = len(got) > 0 and got[0] == -1
     rows = codes[first[int(none) :, None] + np.arange(size)] if len(got) > none else np.empty((0, size), np.int64)
@@ -185,7 +185,8 @@ def scan(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterato
         count = np.add.reduceat(n, begin)
         lang, node = lang.take(pa.array(begin)), node.take(pa.array(begin))
         hot = np.logical_or.reduceat(heavy.to_numpy(zero_copy_only=False), begin)
-        keep = np.flatnonzero((count >= least) | hot)  # parts of a heavy node are summed later
+        hot[[0, -1]] = True  # may go on in another block
+        keep = np.flatnonzero((count >= least) | hot)  # parts of a node are summed later
         if longest > 2 and len(keep):
             yield out(lang.take(pa.array(keep)), longest - 1, node.take(pa.array(keep)), count[keep])
         if longest == 2:  # nodes are words, whose total is wanted too
@@ -203,21 +204,17 @@ def scan(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterato
         held = part if held is None else pa.concat_tables([held, part])
         if held.num_rows >= SCAN_ROWS:
             held = held.combine_chunks()
-            begin = runs(held.column("lang").combine_chunks(), held.column("node").combine_chunks())[-1]
-            if begin:  # the last node may go on
-                yield from summed(held.slice(0, begin))
-                held = held.slice(begin)
-            elif held.num_rows >= 8 * SCAN_ROWS:
-                held = merged(held)
+            begin = runs(*(held.column(c).combine_chunks() for c in ("lang", "node", "last")))[-1]
+            if begin:  # the last edge may go on
+                yield from summed(held.slice(0, begin).combine_chunks())
+                held = held.slice(begin).combine_chunks()
+            else:
+                total = pa.array([pc.sum(held.column("n")).as_py()], pa.int64())
+                held = held.slice(0, 1).combine_chunks().set_column(held.schema.get_field_index("n"), "n", total)
     if held is not None:
         yield from summed(held.combine_chunks())
 
 
-def merged(table: pa.Table) -> pa.Table:
-    """The rows of one node with those of the same last word added up, still in order."""
-    return table.group_by(["lang", "node", "last", "heavy"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "node", "last", "heavy", "n"]).select(["lang", "node", "last", "n", "heavy"])
-
-
 def counts(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words with ``least`` occurrences (lang, size, phrase, n), and all words' (lang, n)."""
     if longest < 2:
