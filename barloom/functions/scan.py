@@ -1,8 +1,8 @@
 """Ordered scans that no hot key can funnel into one task.
 
 A key may own a third of all rows, so nothing here sorts a whole key's raw rows.
-Rows are combined per (key, day) first; only that table - one row per day and key -
-is scanned in order, and the answer returns to the rows by an equi-join.
+Rows are combined per (key, day), and a large day per range of its rows; only that
+table is scanned in order, and the answer returns to the rows by an equi-join.
 """
 
 from __future__ import annotations
@@ -13,34 +13,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 200
+RANGE_ROWS = 200_000  # rows of one key and day that a task may sort
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], day: str, order: Sequence, out: str) -> DataFrame:
-    """Exact row number within a key by (day, order), counted per day and offset."""
-    by_day = df.groupBy(*keys, day).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    offset = by_day.select(*keys, day, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*keys, day).orderBy(*order)
+def day_ranges(df: DataFrame, keys: Sequence[str], day: str, first: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``_r``: the number of a row's range in its (key, day), in the order of the numeric column ``first``.
+
+    A day of more than ``rows`` rows is cut between its least and greatest value into ranges of
+    equal width, about ``rows`` rows each where the values are spread evenly (hashed ids are).
+    Count, least and greatest value are the same however often they are computed, so ranges are.
+    """
+    stats = df.groupBy(*keys, day).agg(F.count("*").alias("_rows"), F.min(first).alias("_lo"), F.max(first).alias("_hi"))
+    big = stats.filter(F.col("_rows") > rows)
+    share = (F.col(first) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1)
+    number = F.floor(share * F.ceil(F.col("_rows") / rows)).cast("int")
+    return df.join(big, [*keys, day], "left").withColumn("_r", F.coalesce(number, F.lit(0))).drop("_rows", "_lo", "_hi")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Exact row number within a key by (day, order): counted per range of a day, offset by all ranges before.
+
+    ``order`` starts with a numeric column; no task sorts more than one range.
+    """
+    unit = [*keys, day, "_r"]
+    df = day_ranges(df, keys, day, order[0], rows)
+    counts = df.groupBy(*unit).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(day, "_r").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select(*unit, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(*unit).orderBy(*order)
     return (
         df.withColumn("_i", F.row_number().over(inside))
-        .join(offset, [*keys, day])
+        .join(offset, unit)
         .withColumn(out, F.col("_o") + F.col("_i"))
-        .drop("_o", "_i")
+        .drop("_o", "_i", "_r")
     )
 
 
-def next_row(df: DataFrame, keys: Sequence[str], day: str, order: Sequence, cols: Sequence[str], out: str) -> DataFrame:
-    """Struct of the following row of the key; crosses days through the next day's first row."""
-    firsts = df.groupBy(*keys, day).agg(F.min(F.struct(F.col(day), *row_fields(order, cols))).alias("_first"))
-    w = Window.partitionBy(*keys).orderBy(day)
-    nxt = firsts.select(*keys, day, F.lead("_first").over(w).alias("_next_day"))
-    inside = Window.partitionBy(*keys, day).orderBy(*order)
-    here = F.lead(F.struct(F.col(day), *row_fields(order, cols))).over(inside)
+def next_row(
+    df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], cols: Sequence[str], out: str, rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Struct of the following row of the key; the last row of a range meets the first of the next range or day."""
+    unit = [*keys, day, "_r"]
+    df = day_ranges(df, keys, day, order[0], rows)
+    here = F.struct(F.col(day), *row_fields(order, cols))
+    firsts = df.groupBy(*unit).agg(F.min(here).alias("_first"))
+    w = Window.partitionBy(*keys).orderBy(day, "_r")
+    nxt = firsts.select(*unit, F.lead("_first").over(w).alias("_next"))
+    inside = Window.partitionBy(*unit).orderBy(*order)
     return (
-        df.withColumn("_here", here)
-        .join(nxt, [*keys, day])
-        .withColumn(out, F.coalesce("_here", "_next_day"))
-        .drop("_here", "_next_day")
+        df.withColumn("_here", F.lead(here).over(inside))
+        .join(nxt, unit)
+        .withColumn(out, F.coalesce("_here", "_next"))
+        .drop("_here", "_next", "_r")
     )
 
 

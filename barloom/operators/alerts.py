@@ -123,32 +123,33 @@ def best_alert_per_symbol(alerts: DataFrame) -> DataFrame:
 
 
 def signal_digest(signals: DataFrame, stocks: DataFrame, configs: dict[str, SignalConfig]) -> DataFrame:
-    """Per symbol and date, the configs it satisfies; one pass with one flag per config."""
-    tags = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    sure(
-                        c("rsi").between(cfg.rsi_min, cfg.rsi_max)
-                        & (c("entry_score") >= cfg.score_threshold)
-                        & (c("is_consolidating") if cfg.require_consolidation else F.lit(True))
-                    ),
-                    F.lit(name),
-                )
-                for name, cfg in configs.items()
-            ]
-        )
-    )
-    first = next(iter(configs.values()))
-    tier = F.when(c("volume_breakout") & (F.coalesce(c("adx"), F.lit(0.0)) >= first.min_adx), 1).otherwise(2)
+    """Per symbol and date, the configs it satisfies, with the tier of the first of them.
+
+    A config that asks for consolidation looks at its own number of bars and its own range: the highest
+    high of the bars before, over the lowest low.  One window serves each distinct number of bars.
+    """
+    daily = signals.filter(c("timeframe") == "D")
+    base = Window.partitionBy("symbol").orderBy("date")
+    looked = sorted({cfg.consolidation_bars for cfg in configs.values() if cfg.require_consolidation})
+    for n in looked:
+        w = base.rowsBetween(-n, -1)
+        full = F.count("low").over(w) == n
+        swing = F.try_divide(F.max("high").over(w) - F.min("low").over(w), F.min("low").over(w)) * 100
+        daily = daily.withColumn(f"_range{n}", F.when(full & (F.min("low").over(w) > 0), swing))
+
+    def met(cfg: SignalConfig) -> Column:
+        hit = c("rsi").between(cfg.rsi_min, cfg.rsi_max) & (c("entry_score") >= cfg.score_threshold)
+        return sure(hit & (c(f"_range{cfg.consolidation_bars}") <= cfg.consolidation_pct) if cfg.require_consolidation else hit)
+
+    flags = {name: met(cfg) for name, cfg in configs.items()}
+    tags = F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
+    floor = F.coalesce(*[F.when(flags[name], F.lit(cfg.min_adx)) for name, cfg in configs.items()])
+    tier = F.when(sure(c("volume_breakout")) & (F.coalesce(c("adx"), F.lit(0.0)) >= floor), 1).otherwise(2)
     return (
-        signals.filter(
-            (c("timeframe") == "D") & c("above_200ema") & c("ema_signal").isin("bullish_cross", "bullish_pullback")
-        )
-        .withColumn("strategy_tags", tags)
-        .filter(F.size("strategy_tags") > 0)
+        daily.withColumns({"strategy_tags": tags, "tier": tier})
+        .filter(c("above_200ema") & c("ema_signal").isin("bullish_cross", "bullish_pullback") & (F.size("strategy_tags") > 0))
         .join(stocks.select("symbol", "sector"), "symbol")
-        .select("date", "symbol", "sector", "entry_score", tier.alias("tier"), "strategy_tags")
+        .select("date", "symbol", "sector", "entry_score", "tier", "strategy_tags")
     )
 
 
@@ -158,8 +159,8 @@ def exit_alerts(positions: DataFrame, bars: DataFrame) -> DataFrame:
     ``bars`` has one row per symbol: (symbol, date, high, low, close, rsi, prev_low).
     """
     now, entry = c("close"), c("entry_price")
-    to_stop = F.coalesce((now - c("stop_loss")) / entry * 100, F.lit(999.0))
-    to_target = F.coalesce((c("target") - now) / entry * 100, F.lit(999.0))
+    to_stop = F.coalesce(F.try_divide(now - c("stop_loss"), entry) * 100, F.lit(999.0))
+    to_target = F.coalesce(F.try_divide(c("target") - now, entry) * 100, F.lit(999.0))
     kind = (
         F.when(sure(c("low") <= c("stop_loss")), "stop_hit")
         .when(to_stop < 2, "stop_approached")
@@ -178,15 +179,24 @@ def exit_alerts(positions: DataFrame, bars: DataFrame) -> DataFrame:
         .select(
             "symbol",
             "trade_id",
+            "date",
             kind.alias("alert_type"),
             urgency.alias("urgency"),
-            ((now - entry) / entry * 100).alias("unrealised_pct"),
+            (F.try_divide(now - entry, entry) * 100).alias("unrealised_pct"),
             F.datediff("date", "entry_date").alias("holding_days"),
         )
         .filter(c("alert_type").isNotNull())
     )
 
 
+def unsent(alerts: DataFrame, log: DataFrame, day: str = "date") -> DataFrame:
+    """One alert of each (symbol, day, type), of the position with the least id, where the log has none yet."""
+    keys = ["symbol", day, "alert_type"]
+    rest = [x for x in alerts.columns if x not in keys and x != "trade_id"]
+    first = alerts.groupBy(*keys).agg(F.min_by(F.struct("trade_id", *rest), "trade_id").alias("_r")).select(*keys, "_r.*")
+    return first.join(log.select(*keys).distinct(), keys, "left_anti").select(*alerts.columns)
+
+
 def action_centre(positions: DataFrame, watch: DataFrame, prices: DataFrame) -> DataFrame:
     """Watch rows inside their zone and open trades within 1% of stop or target."""
     live = prices.select("symbol", c("close").alias("price"))

@@ -91,7 +91,7 @@ def cost_ledger(fills: DataFrame) -> DataFrame:
             "_p": modelled_cost(c("side"), q, p, CostConfig.pessimistic()),
         }
     )
-    bps = lambda x: F.sum(x) / F.sum("_v") * 10_000
+    bps = lambda x: F.try_divide(F.sum(x), F.sum("_v")) * 10_000
     return df.rollup("decision_date").agg(
         headline(c("reason")).alias("reason"),
         F.sum("_v").alias("notional"),
@@ -130,7 +130,7 @@ def live_turnover(fills: DataFrame, nav: DataFrame, expected_pct: float = 581.0)
     traded = fills.agg(F.sum(F.abs(c("qty") * c("fill_price")))).scalar()
     return (
         nav.agg(F.avg("equity").alias("_nav"), F.count("*").alias("n_days"))
-        .select("n_days", (traded / c("_nav") * (float(TRADING_DAYS) / c("n_days")) * 100).alias("live_annualized_pct"))
+        .select("n_days", (F.try_divide(traded, c("_nav")) * F.try_divide(F.lit(float(TRADING_DAYS)), c("n_days")) * 100).alias("live_annualized_pct"))
         .withColumn("ratio", c("live_annualized_pct") / expected_pct)
     )
 
@@ -152,7 +152,7 @@ def execution_cost(fills: DataFrame, opens: DataFrame) -> DataFrame:
     out = df.agg(
         F.sum("cost").alias("statutory"), F.sum(slip).alias("slippage"), F.sum(c("qty") * c("price")).alias("notional")
     )
-    return out.withColumn("total_bps", (c("statutory") + c("slippage")) / c("notional") * 10_000)
+    return out.withColumn("total_bps", F.try_divide(c("statutory") + c("slippage"), c("notional")) * 10_000)
 
 
 def concentration(positions: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def concentration(positions: DataFrame) -> DataFrame:
     w = positions.select((c("mv") / total).alias("w"))
     top5 = w.orderBy(c("w").desc()).limit(5).agg(F.sum("w")).scalar()
     return w.agg(F.sum(c("w") * c("w")).alias("hhi"), F.max("w").alias("top1")).withColumns(
-        {"effective_n": 1 / c("hhi"), "top5": top5}
+        {"effective_n": F.try_divide(F.lit(1.0), c("hhi")), "top5": top5}
     )
 
 
@@ -170,7 +170,7 @@ def book_positions(positions: DataFrame, prices: DataFrame, cash: float) -> Data
     df = positions.join(prices.select("isin", c("close").alias("price")), "isin").withColumn("mv", c("shares") * c("price"))
     nav = df.agg(F.sum("mv")).scalar() + cash
     return df.select(
-        "isin", "mv", ((c("price") / c("cost_basis") - 1) * 100).alias("unrealised_pct"), (c("mv") / nav).alias("weight")
+        "isin", "mv", ((F.try_divide("price", "cost_basis") - 1) * 100).alias("unrealised_pct"), F.try_divide(c("mv"), nav).alias("weight")
     ).orderBy(c("mv").desc(), "isin")
 
 

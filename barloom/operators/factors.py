@@ -273,13 +273,8 @@ def stable_universe(prices: DataFrame, reviews: DataFrame, size: int, buffer: fl
     A name without a full window at a review is out, so its state spans only unbroken
     runs of reviews: no names-by-reviews grid is built.
     """
-    liq = rolling_median(c("adv_20"), lookback, ["isin"], min_rows=lookback)
     numbered = reviews.withColumn("_k", F.row_number().over(one_series()))
-    snap = (
-        prices.select("isin", "date", liq.alias("liq"))
-        .join(F.broadcast(numbered), "date")
-        .filter(c("liq").isNotNull())
-    )
+    snap = review_medians(prices, reviews, lookback).join(F.broadcast(numbered), "date")
     snap = snap.withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(c("liq").desc(), "isin")))
     run = c("_k") - F.row_number().over(bars_window("isin"))
     mark = F.when(c("rank") <= size, 1).when(c("rank") > buffer * size, 0)
@@ -291,6 +286,26 @@ def stable_universe(prices: DataFrame, reviews: DataFrame, size: int, buffer: fl
     )
 
 
+def review_medians(prices: DataFrame, reviews: DataFrame, lookback: int) -> DataFrame:
+    """Median of ``adv_20`` over a name's last ``lookback`` bars, at its review days with a full window only.
+
+    Bars are numbered per name and meet the reviews through number blocks of ``lookback`` bars: a window
+    lies in two blocks at most, so each bar goes only to the windows that hold it.
+    """
+    bars = prices.select("isin", "date", "adv_20", F.row_number().over(bars_window("isin")).alias("_bar"))
+    at = bars.join(F.broadcast(reviews.select("date")), "date", "left_semi").filter(c("_bar") >= lookback)
+    low = c("_bar") - lookback + 1
+    blocks = F.array_distinct(F.array(F.floor(low / lookback), F.floor(c("_bar") / lookback)))
+    windows = at.select("isin", c("date").alias("_review"), low.alias("_low"), c("_bar").alias("_high"), F.explode(blocks).alias("_block"))
+    inside = (
+        bars.select("isin", "adv_20", "_bar", F.floor(c("_bar") / lookback).alias("_block"))
+        .join(windows, ["isin", "_block"])
+        .filter(c("_bar").between(c("_low"), c("_high")) & c("adv_20").isNotNull())
+    )
+    out = inside.groupBy("isin", c("_review").alias("date")).agg(F.median("adv_20").alias("liq"), F.count("*").alias("_n"))
+    return out.filter(c("_n") == lookback).select("isin", "date", "liq")
+
+
 def universe_days(prices: DataFrame, reviews: DataFrame, members: DataFrame) -> DataFrame:
     """Price rows of names that were members at the last review on or before the day."""
     days = prices.select("date").distinct()

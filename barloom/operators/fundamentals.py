@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import insort
+from collections.abc import Iterator, Sequence
+from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.functions import text
 from barloom.functions.asof import asof_join
@@ -62,9 +66,23 @@ def filing_items(doc: Column) -> dict[str, Column]:
     }
 
 
+# The prefix of the standard items, what its address holds, and where it must be declared.
+STANDARD_PREFIX, STANDARD_ADDRESS, DECLARED_WITHIN = "in-bse-fin", "in-bse-fin", 8000
+
+
+def declares_standard(doc: Column) -> Column:
+    """Whether the first declaration of the standard prefix names the standard's address."""
+    address = F.regexp_extract(F.substring(doc, 1, DECLARED_WITHIN), f'xmlns:{STANDARD_PREFIX}="([^"]+)"', 1)
+    return sure(address.contains(STANDARD_ADDRESS))
+
+
 def parse_filings(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Items of each text and the list of those it does not give; whole texts are searched."""
-    out = docs.withColumns(filing_items(c(column)))
+    """Items of each text and the list of those it does not give; whole texts are searched.
+
+    A text that does not declare the standard's namespace gives no item.
+    """
+    known = declares_standard(c(column))
+    out = docs.withColumns({name: F.when(known, item) for name, item in filing_items(c(column)).items()})
     gaps = F.array_compact(F.array(*[F.when(c(i).isNull(), F.lit(i)) for i in ITEMS]))
     return out.withColumn("unmapped_items", gaps)
 
@@ -131,6 +149,104 @@ def item_state(seen: DataFrame, keys: Sequence[str] = ("isin",)) -> DataFrame:
     )
 
 
+STOCKS = ("total_equity", "total_assets", "total_debt", "shares_outstanding", "debt_equity_ratio")
+STATE = ("ttm_net_income", "ttm_cfo", *STOCKS, "avg_equity")
+
+
+class PeriodTable:
+    """The visible version of each period of one name, newest period first when read."""
+
+    def __init__(self) -> None:
+        self.ends: list[date] = []
+        self.rows: dict[date, dict] = {}
+
+    def put(self, row: dict) -> None:
+        end = row["period_end"]
+        if end not in self.rows:
+            insort(self.ends, end)
+        self.rows[end] = row
+
+    def state(self) -> dict:
+        """Trailing-year flows, latest stocks and mean annual equity; stops at the last period they need."""
+        quarters: list[dict] = []
+        annual: dict | None = None
+        equities: list[float] = []
+        stocks: dict[str, float] = {}
+        for end in reversed(self.ends):
+            row = self.rows[end]
+            for item in STOCKS:
+                if item not in stocks and row[item] is not None:
+                    stocks[item] = row[item]
+            if row["statement_type"] == "Quarterly" and len(quarters) < 4:
+                quarters.append(row)
+            elif row["statement_type"] == "Annual":
+                annual = annual or row
+                if len(equities) < 2 and row["total_equity"] is not None:
+                    equities.append(row["total_equity"])
+            if len(quarters) == 4 and annual and len(equities) == 2 and len(stocks) == len(STOCKS):
+                break
+        out: dict = {item: stocks.get(item) for item in STOCKS}
+        near = len(quarters) == 4 and (quarters[0]["period_end"] - quarters[3]["period_end"]).days <= TTM_SPAN_DAYS
+        for item in ("net_income", "cfo"):
+            flows = [q[item] for q in quarters]
+            out[f"ttm_{item}"] = sum(flows) if near and None not in flows else annual[item] if annual else None
+        out["avg_equity"] = sum(equities) / len(equities) if equities else out["total_equity"]
+        return out
+
+
+def filing_states(versions: DataFrame) -> DataFrame:
+    """State of each name after each day with filings (isin, since, items), by one pass over its versions.
+
+    Versions meet by name in the order they became available; a task holds the periods of the name it
+    is at, and nothing of the days between filings.  Annual wins over quarterly on the same day.
+    """
+    columns = ["isin", "available_date", "period_end", "statement_type", "net_income", "cfo", *STOCKS]
+    ordered = one_version(versions, ["isin"]).select(*columns).repartition("isin").sortWithinPartitions("isin", "available_date")
+    kind = ordered.schema["isin"].dataType.simpleString()
+    names = ("isin", "since", *STATE)
+    schema = f"isin {kind}, since date, " + ", ".join(f"{n} double" for n in STATE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple | None = None  # name and day of the rows last read
+        table = PeriodTable()
+        out: list[tuple] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = (row["isin"], row["available_date"])
+                if here is not None and at != here:
+                    state = table.state()
+                    out.append((*here, *[state[n] for n in STATE]))
+                    if at[0] != here[0]:
+                        table = PeriodTable()
+                here = at
+                table.put(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+                out = []
+        if here is not None:
+            state = table.state()
+            out.append((*here, *[state[n] for n in STATE]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
+
+    types = [to_arrow_type(ordered.schema["isin"].dataType), pa.date32(), *[pa.float64()] * len(STATE)]
+    items = [c(x).cast("double").alias(x) for x in columns[4:]]
+    return ordered.select(*columns[:4], *items).filter(c("isin").isNotNull()).mapInArrow(run, schema)
+
+
+def states_on_days(states: DataFrame, days: DataFrame) -> DataFrame:
+    """State of each name on each day from its first visible filing on: (as_of, isin, items).
+
+    A state holds until the next one; its days are a slice of one small calendar array, so every row
+    made is a row of the result.
+    """
+    pairs = days.select(F.struct(minus_two_business_days(c("date")).alias("cutoff"), c("date").alias("date")).alias("p"))
+    calendar = pairs.agg(F.array_sort(F.collect_list("p"))).scalar()
+    until = F.lead("since").over(Window.partitionBy("isin").orderBy("since"))
+    hit = F.filter("_days", lambda p: (p["cutoff"] >= c("since")) & (c("_until").isNull() | (p["cutoff"] < c("_until"))))
+    spans = states.withColumns({"_until": until, "_days": calendar})
+    return spans.withColumn("_p", F.explode(hit)).select(c("_p.date").alias("as_of"), "isin", *STATE)
+
+
 def market_cap(close_raw: Column, shares: Column) -> Column:
     return close_raw * shares
 
@@ -185,11 +301,10 @@ def factor_frame(versions: DataFrame, prices: DataFrame, days: DataFrame, financ
 
     ``prices`` has (isin, date, close_raw); ``days`` the rebalance weekdays.
     """
-    state = item_state(as_of(versions, days))
     on_day = prices.join(F.broadcast(days.select("date")), "date", "left_semi").select(
-        "isin", c("date").alias("as_of"), "close_raw"
+        "isin", c("date").alias("as_of"), "close_raw", minus_two_business_days(c("date")).alias("_cutoff")
     )
-    df = on_day.join(state, ["isin", "as_of"], "left")
+    df = asof_join(on_day, filing_states(versions), ["isin"], "_cutoff", "since", STATE, unique_left=True).drop("_cutoff")
     if financial is None:
         df = df.withColumn("is_financial", F.lit(False))
     else:
@@ -217,7 +332,7 @@ def coverage(eligible: DataFrame, versions: DataFrame, good: DataFrame, name_flo
     filers = eligible.join(first_filed(versions), "isin").filter(c("first_filed") <= minus_two_business_days(c("date")))
     df = filers.join(good.select("date", "isin", F.lit(1).alias("_ok")), ["date", "isin"], "left")
     hit = F.coalesce("_ok", F.lit(0))
-    out = df.groupBy("date").agg(F.avg(hit).alias("name_pct"), (F.sum(hit * c("weight")) / F.sum("weight")).alias("weight_pct"))
+    out = df.groupBy("date").agg(F.avg(hit).alias("name_pct"), F.try_divide(F.sum(hit * c("weight")), F.sum("weight")).alias("weight_pct"))
     return out.withColumn("failed", (c("name_pct") < name_floor) | (c("weight_pct") < weight_floor))
 
 
@@ -254,7 +369,7 @@ def share_reconciliation(steps: DataFrame, versions: DataFrame, tol: float = 0.0
     df = df.filter((c("p_after") > c("p_before")) & (c("s_before") != 0))
     observed = c("s_after") / c("s_before")
     return df.select(
-        "isin", "date", "step", observed.alias("observed"), (F.abs(observed - c("step")) / c("step") > tol).alias("failed")
+        "isin", "date", "step", observed.alias("observed"), (F.try_divide(F.abs(observed - c("step")), c("step")) > tol).alias("failed")
     )
 
 

@@ -63,14 +63,32 @@ def nav_metrics(nav: DataFrame, column: str = "equity", by: Sequence[str] = ())
     return out.withColumn("calmar", F.when(c("max_drawdown") > 0, c("cagr") / c("max_drawdown")))
 
 
+def exposure_stats(snapshots: DataFrame, exposure: str = "exposure") -> DataFrame:
+    """Mean and exact median of the invested share over all days, and the share of days not fully invested."""
+    days = snapshots.filter(c(exposure).isNotNull())
+    return days.agg(
+        F.avg(exposure).alias("avg_exposure"),
+        F.median(exposure).alias("median_exposure"),
+        F.avg((c(exposure) < 1.0).cast("double")).alias("time_in_cash_pct"),
+    )
+
+
+def overlay_metrics(nav: DataFrame) -> DataFrame:
+    """Metrics of an overlay's own NAV (date, w, nav): growth, drawdown, Sharpe, share invested, switches."""
+    base = nav_metrics(nav.select("date", c("nav").alias("equity"))).select("cagr", c("max_drawdown").alias("max_dd"), c("dd_days").alias("max_dd_days"), "calmar", "sharpe")
+    moved = nav.select("w", (c("w") != F.lag("w").over(one_series())).cast("long").alias("_m"))
+    extra = moved.agg(F.avg("w").alias("realized_avg_fraction"), F.coalesce(F.sum("_m"), F.lit(0)).alias("n_rebalances"))
+    return base.withColumns({k: extra.select(k).scalar() for k in ("realized_avg_fraction", "n_rebalances")})
+
+
 def relative_metrics(nav: DataFrame, strategy: str = "equity", benchmark: str = "benchmark") -> DataFrame:
     """Ratios, excess growth, information ratio, captures, correlation and beta on common days."""
     both = nav.filter(c(strategy).isNotNull() & c(benchmark).isNotNull())
     w = one_series()
     df = both.select(
         "date",
-        (c(strategy) / F.lag(strategy).over(w) - 1).alias("s"),
-        (c(benchmark) / F.lag(benchmark).over(w) - 1).alias("b"),
+        (F.try_divide(c(strategy), F.lag(strategy).over(w)) - 1).alias("s"),
+        (F.try_divide(c(benchmark), F.lag(benchmark).over(w)) - 1).alias("b"),
     )
     x = c("s") - c("b")
     up, down = c("b") > 0, c("b") < 0
@@ -78,10 +96,10 @@ def relative_metrics(nav: DataFrame, strategy: str = "equity", benchmark: str =
     stats = df.agg(
         F.count("*").alias("n_overlap"),
         F.when(sd > 0, F.avg(x) / sd * F.sqrt(F.lit(float(TRADING_DAYS)))).otherwise(0.0).alias("information_ratio"),
-        (F.avg(F.when(up, c("s"))) / F.avg(F.when(up, c("b")))).alias("up_capture"),
-        (F.avg(F.when(down, c("s"))) / F.avg(F.when(down, c("b")))).alias("down_capture"),
+        F.try_divide(F.avg(F.when(up, c("s"))), F.avg(F.when(up, c("b")))).alias("up_capture"),
+        F.try_divide(F.avg(F.when(down, c("s"))), F.avg(F.when(down, c("b")))).alias("down_capture"),
         F.corr("s", "b").alias("correlation"),
-        (F.covar_samp("s", "b") / F.var_samp("b")).alias("beta"),
+        F.try_divide(F.covar_samp("s", "b"), F.var_samp("b")).alias("beta"),
     )
     for tag, column in (("strategy", strategy), ("benchmark", benchmark)):
         m = nav_metrics(both, column)
@@ -89,8 +107,8 @@ def relative_metrics(nav: DataFrame, strategy: str = "equity", benchmark: str =
     return stats.withColumns(
         {
             "excess_cagr": c("strategy_cagr") - c("benchmark_cagr"),
-            "calmar_ratio": c("strategy_calmar") / c("benchmark_calmar"),
-            "max_dd_ratio": c("strategy_max_drawdown") / c("benchmark_max_drawdown"),
+            "calmar_ratio": F.try_divide("strategy_calmar", "benchmark_calmar"),
+            "max_dd_ratio": F.try_divide("strategy_max_drawdown", "benchmark_max_drawdown"),
         }
     )
 
@@ -153,7 +171,7 @@ def cumulative_excess(nav: DataFrame) -> DataFrame:
 def tracking_error(nav: DataFrame) -> DataFrame:
     """Daily return difference, its running sum and the annualised deviation."""
     w = one_series()
-    diff = (c("equity") / F.lag("equity").over(w)) - (c("benchmark") / F.lag("benchmark").over(w))
+    diff = F.try_divide(c("equity"), F.lag("equity").over(w)) - F.try_divide(c("benchmark"), F.lag("benchmark").over(w))
     df = nav.select("date", diff.alias("diff"))
     te = df.agg(F.stddev_samp("diff") * F.sqrt(F.lit(float(TRADING_DAYS)))).scalar()
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -220,7 +238,7 @@ def robustness(folds: DataFrame) -> DataFrame:
     w = c("weight")
     return folds.groupBy("config").agg(
         (
-            (F.sum(w * c("sharpe")) / F.sum(w) - F.stddev_pop("sharpe")) * 0.7 + F.sum(w * c("calmar")) / F.sum(w) * 0.3
+            (F.try_divide(F.sum(w * c("sharpe")), F.sum(w)) - F.stddev_pop("sharpe")) * 0.7 + F.try_divide(F.sum(w * c("calmar")), F.sum(w)) * 0.3
         ).alias("robustness")
     )
 
@@ -299,6 +317,6 @@ def subset_retention(contributions: DataFrame, draws: int, drop: int, seed: int)
     each = contributions.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     order = Window.partitionBy("draw").orderBy(scan.seeded_order(F.lit(seed), c("draw"), c("isin")), "isin")
     gone = each.withColumn("_n", F.row_number().over(order)).filter(c("_n") <= drop).groupBy("draw").agg(F.sum("pnl").alias("lost"))
-    left = gone.select("draw", ((total - c("lost")) / total).alias("retained"))
+    left = gone.select("draw", F.try_divide(total - c("lost"), total).alias("retained"))
     p = F.percentile("retained", F.array(F.lit(0.5), F.lit(0.05)))
     return left.agg(p.alias("p"), F.count("*").alias("draws")).select("draws", c("p")[0].alias("median"), c("p")[1].alias("p5"))

@@ -12,8 +12,13 @@ c = F.col
 WARMUP_BARS = 260
 
 
-def entry_candidates(signals: DataFrame, cfg: SignalConfig = SignalConfig(), date_from=None, date_to=None) -> DataFrame:
-    """Bars that pass the hard filters after warm-up, damped when not consolidating."""
+def entry_candidates(
+    signals: DataFrame, cfg: SignalConfig = SignalConfig(), date_from=None, date_to=None, max_pct_from_52w_high: float = 0.0
+) -> DataFrame:
+    """Bars that pass the hard filters after warm-up, damped when not consolidating.
+
+    A negative ``max_pct_from_52w_high`` keeps bars no further below their 52-week high than that.
+    """
     keep = (
         (c("timeframe") == "D")
         & (c("bar") >= WARMUP_BARS if "bar" in signals.columns else c("_bar") >= WARMUP_BARS)
@@ -25,6 +30,10 @@ def entry_candidates(signals: DataFrame, cfg: SignalConfig = SignalConfig(), dat
         & c("rsi").between(cfg.rsi_min, cfg.rsi_max)
         & (c("entry_score") > 0)
     )
+    if max_pct_from_52w_high < 0:
+        high = c("week52_high")
+        away = F.when(high > 0, F.try_divide(c("close"), high) * 100 - 100).when(high.isNotNull(), 0.0)
+        keep = keep & (away >= max_pct_from_52w_high)
     if date_from is not None:
         keep = keep & (c("date") >= date_from)
     if date_to is not None:

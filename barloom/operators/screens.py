@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.functions.asof import asof_join
 from barloom.functions.windows import sure
+from barloom.sources import storage
 
 c = F.col
 
@@ -205,14 +207,17 @@ def sector_rotation(signals: DataFrame, stocks: DataFrame, min_stocks: int = 3)
 
 
 def hot_sectors(signals: DataFrame, stocks: DataFrame, rotation: DataFrame, top: int = 3, min_rs: float = 60) -> DataFrame:
-    """Strong stocks of each date's leading sectors; averages equal to nine digits tie, the name decides."""
+    """Bullish strong stocks of each date's leading sectors, by strength; the score is the entry score.
+
+    Averages equal to nine digits tie, the name decides.
+    """
     order = Window.partitionBy("date").orderBy(F.round("avg_rs", 9).desc(), "sector")
     lead = rotation.withColumn("_n", F.row_number().over(order)).filter(c("_n") <= top).select("date", "sector")
     return (
-        signals.filter((c("timeframe") == "D") & (c("rs_score") >= min_rs))
+        signals.filter((c("timeframe") == "D") & (c("rs_score") >= min_rs) & c("above_200ema") & c("is_bullish"))
         .join(stocks.select("symbol", "sector"), "symbol")
         .join(lead, ["date", "sector"], "left_semi")
-        .select("date", "sector", "symbol", c("rs_score").alias("score"))
+        .select("date", "sector", "symbol", "rs_score", c("entry_score").alias("score"))
     )
 
 
@@ -248,6 +253,56 @@ def materialise(signals: DataFrame, stocks: DataFrame) -> DataFrame:
     )
 
 
+def materialise_all(signals: DataFrame, stocks: DataFrame, rotation: DataFrame | None = None) -> DataFrame:
+    """All twelve screens for every date: the single-row ones, and those that look at other rows.
+
+    Confluence is ranked by entry score, sector leaders by sector and strength, hot sectors by strength;
+    the symbol settles ties.
+    """
+    rotation = rotation if rotation is not None else sector_rotation(signals, stocks)
+    out = materialise(signals, stocks)
+
+    def ranked(slug: str, rows: DataFrame, *order: Column) -> DataFrame:
+        place = Window.partitionBy("date").orderBy(*order, "symbol")
+        return rows.select(F.lit(slug).alias("screen_slug"), c("date").alias("computed_at"), "symbol", "score", F.row_number().over(place).alias("rank"))
+
+    both = ranked("mtf_confluence", mtf_confluence(signals, stocks), c("score").desc())
+    leaders = ranked("sector_leaders", sector_leaders(signals, stocks), c("sector"), c("score").desc())
+    hot = ranked("hot_sectors", hot_sectors(signals, stocks, rotation), c("rs_score").desc())
+    return out.unionByName(both).unionByName(leaders).unionByName(hot)
+
+
+RESULT = "screen_slug string, computed_at date, symbol long, score double, rank int, month string"
+
+
+def store_results(results: DataFrame, days: DataFrame, path: str) -> None:
+    """Replace the stored results of ``days`` (computed_at) by ``results``, one partition overwrite for all.
+
+    The table is partitioned by month; the other days of a touched month are written again as they were.
+    Every touched month gets one row without a screen, so days on which nothing passes any more are
+    emptied too.  The overwrite takes effect when the job commits: a run that fails leaves the old days.
+    """
+    spark = results.sparkSession
+    month = F.date_format("computed_at", "yyyy-MM").alias("month")
+    days = F.broadcast(days.select("computed_at").distinct())  # one row a day
+    names = ["screen_slug", "computed_at", "symbol", "score", "rank"]
+    months = days.select(month).distinct()
+    stored = read_results(spark, path).join(F.broadcast(months), "month", "left_semi")
+    others = stored.join(days, "computed_at", "left_anti").select(*names, "month")
+    new = results.join(days, "computed_at", "left_semi").select(*names, month)
+    blank = months.select(*[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in RESULT.split(", ")[:-1])], "month")
+    rows = new.unionByName(others).unionByName(blank).repartition("month")
+    storage.write_partitions(storage.cut_lineage(rows), path, ["month"])
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return storage.read_or_empty(spark, path, StructType.fromDDL(RESULT)).filter(c("screen_slug").isNotNull())
+
+
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    return read_results(spark, path).drop("month")
+
+
 def enrich(results: DataFrame, signals: DataFrame, stocks: DataFrame, ratios: DataFrame) -> DataFrame:
     """Screen rows with stock, ratios and the newest daily signal of each symbol."""
     newest = (

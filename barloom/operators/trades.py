@@ -54,23 +54,44 @@ def trade_metrics(trades: DataFrame, capital: float = 1e6, cost_pct: float = ROU
         part(r * p, win).alias("_gain"),
         part(r * p, ~win).alias("_lost"),
     )
-    rate = c("winning_trades") / c("total_trades")
+    rate = F.coalesce(F.try_divide("winning_trades", "total_trades"), F.lit(0.0))
     factor = (
         F.when(F.coalesce("_lost", F.lit(0.0)) != 0, F.round(F.coalesce("_gain", F.lit(0.0)) / F.abs("_lost"), 4))
         .when(c("_gain").isNotNull(), 99.0)
         .otherwise(0.0)
     )
+    out = out.withColumns({x: F.coalesce(c(x), F.lit(0).cast(t)) for x, t in out.dtypes if not x.startswith("_")})  # an empty run has zeros
     return out.withColumns(
         {
             "win_rate": rate * 100,
             "total_cost_drag_pct": c("gross_return_pct") - c("total_return_pct"),
             "expectancy": rate * c("avg_win_pct") + (1 - rate) * c("avg_loss_pct"),
             "profit_factor": factor,
-            "median_return_pct": scan.quantiles(df, "_r", {"m": 0.5}).scalar(),
+            "median_return_pct": F.coalesce(scan.quantiles(df, "_r", {"m": 0.5}).scalar(), F.lit(0.0)),
         }
     ).drop("_gain", "_lost")
 
 
+def adverse_excursion(trades: DataFrame, bars: DataFrame, block: int = 32) -> DataFrame:
+    """``trades`` with ``mae_pct``: the deepest low from entry to exit day, in percent of the entry price, 0 at most.
+
+    Trades (trade_id, symbol, entry_date, exit_date, entry_price) meet the lows of blocks of days: whole
+    blocks inside a hold through one row a block, the days at its two ends through the bars themselves.
+    """
+    number = lambda d: F.datediff(d, F.lit("1970-01-01"))
+    days = bars.select("symbol", number(c("date")).alias("_d"), "low").withColumn("_b", F.floor(c("_d") / block))
+    blocks = days.groupBy("symbol", "_b").agg(F.min("low").alias("low"))
+    span = trades.select("trade_id", "symbol", number(c("entry_date")).alias("_from"), number(c("exit_date")).alias("_to"))
+    span = span.withColumns({"_bf": F.floor(c("_from") / block), "_bt": F.floor(c("_to") / block)})
+    inner = span.filter(c("_bt") - c("_bf") >= 2).withColumn("_b", F.explode(F.sequence(c("_bf") + 1, c("_bt") - 1)))
+    whole = inner.join(blocks, ["symbol", "_b"]).select("trade_id", "low")
+    ends = span.withColumn("_b", F.explode(F.array_distinct(F.array("_bf", "_bt"))))
+    edge = ends.join(days, ["symbol", "_b"]).filter(c("_d").between(c("_from"), c("_to"))).select("trade_id", "low")
+    worst = whole.unionByName(edge).groupBy("trade_id").agg(F.min("low").alias("_low"))
+    fall = F.try_divide(c("_low"), c("entry_price")) * 100 - 100
+    return trades.join(worst, "trade_id", "left").withColumn("mae_pct", F.least(F.coalesce(fall, F.lit(0.0)), F.lit(0.0))).drop("_low")
+
+
 def exit_breakdown(trades: DataFrame) -> DataFrame:
     """Map of exit reason to trade count, one row."""
     n = trades.groupBy("exit_reason").agg(F.count("*").alias("n"))
@@ -324,7 +345,7 @@ def trip_forensic(trips: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         (F.avg(win.cast("double")) * 100).alias("win_rate"),
         F.avg("pnl").alias("expectancy"),
-        (F.avg(F.when(win, c("pnl"))) / F.abs(F.avg(F.when(~win, c("pnl"))))).alias("payoff"),
+        F.try_divide(F.avg(F.when(win, c("pnl"))), F.abs(F.avg(F.when(~win, c("pnl"))))).alias("payoff"),
         q.alias("_q"),
     )
     return out.select(
@@ -333,31 +354,32 @@ def trip_forensic(trips: DataFrame) -> DataFrame:
     )
 
 
-def end_of_day_holdings(fills: DataFrame) -> DataFrame:
+def end_of_day_holdings(fills: DataFrame, rows: int = scan.RANGE_ROWS) -> DataFrame:
     """Quantity held per (isin, day with fills), at its start and end.
 
-    Buys add, trims subtract down to zero, a sell clears.  A day maps the holding h to
-    max(a, h + b), or to a constant once it contains a sell; such maps compose, so the
-    days of a name are chained by running sums and a running maximum.
+    Buys add, trims subtract down to zero, a sell clears.  A range of a day's fills maps the
+    holding h to max(a, h + b), or to a constant once it contains a sell; such maps compose, so
+    the ranges of a name are chained by running sums and a running maximum.
     """
     order = ["fill_id", "side", "qty", "price"]
-    day = ["isin", "date"]
-    w = Window.partitionBy(*day).orderBy(*order)
-    df = fills.withColumn("_cut", F.sum((c("side") == "sell").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    unit = ["isin", "date", "_r"]
+    w = Window.partitionBy(*unit).orderBy(*order)
+    df = scan.day_ranges(fills, ["isin"], "date", "fill_id", rows)
+    df = df.withColumn("_cut", F.sum((c("side") == "sell").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     step = F.when(c("side") == "buy", c("qty")).when(c("side") == "trim", -c("qty")).otherwise(0.0)
-    part = Window.partitionBy(*day, "_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = Window.partitionBy(*unit, "_cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_s", F.sum(step).over(part))
-    per_part = df.groupBy(*day, "_cut").agg(F.sum(step).alias("_b"), F.min("_s").alias("_m"))
-    last = per_part.groupBy(*day).agg(F.max(F.struct("_cut", "_b", "_m")).alias("_l"))
-    days = last.select(*day, (c("_l._cut") > 0).alias("_sold"), c("_l._b").alias("_b"), (c("_l._b") - F.least(c("_l._m"), F.lit(0.0))).alias("_a"))
-    by_name = bars_window("isin")
-    days = days.withColumn("_isle", F.sum(c("_sold").cast("int")).over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
-    isle = Window.partitionBy("isin", "_isle").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("_p", F.sum(F.when(c("_sold"), 0.0).otherwise(c("_b"))).over(isle))
+    per_part = df.groupBy(*unit, "_cut").agg(F.sum(step).alias("_b"), F.min("_s").alias("_m"))
+    last = per_part.groupBy(*unit).agg(F.max(F.struct("_cut", "_b", "_m")).alias("_l"))
+    parts = last.select(*unit, (c("_l._cut") > 0).alias("_sold"), c("_l._b").alias("_b"), (c("_l._b") - F.least(c("_l._m"), F.lit(0.0))).alias("_a"))
+    by_name = Window.partitionBy("isin").orderBy("date", "_r")
+    parts = parts.withColumn("_isle", F.sum(c("_sold").cast("int")).over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
+    isle = Window.partitionBy("isin", "_isle").orderBy("date", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_p", F.sum(F.when(c("_sold"), 0.0).otherwise(c("_b"))).over(isle))
     best = F.max(c("_a") - c("_p")).over(isle)
     before_any = F.when(c("_isle") == 0, F.greatest(best, F.lit(0.0))).otherwise(best)
-    days = days.withColumn("held_end", before_any + c("_p"))
-    return days.select(*day, F.coalesce(F.lag("held_end").over(by_name), F.lit(0.0)).alias("held_start"), "held_end")
+    parts = parts.withColumn("_end", before_any + c("_p")).withColumn("_start", F.coalesce(F.lag("_end").over(by_name), F.lit(0.0)))
+    return parts.groupBy("isin", "date").agg(F.min_by("_start", "_r").alias("held_start"), F.max_by("_end", "_r").alias("held_end"))
 
 
 def turnover_split(fills: DataFrame, nav: DataFrame, eps: float = 1e-9) -> DataFrame:
@@ -378,7 +400,7 @@ def turnover_split(fills: DataFrame, nav: DataFrame, eps: float = 1e-9) -> DataF
 
 
 def churn(split: DataFrame, turnover: float) -> DataFrame:
-    return split.select(((c("entry") + c("exit")) / c("total") * turnover).alias("churn"))
+    return split.select((F.try_divide(c("entry") + c("exit"), c("total")) * turnover).alias("churn"))
 
 
 def holdings_timeline(fills: DataFrame, rebalance: DataFrame) -> DataFrame:
@@ -412,7 +434,7 @@ def matched_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = ["isin", "entry_date"]
     left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
     n = left.join(right, keys).agg(F.count("*")).scalar()
-    return left.agg(F.count("*").alias("trades")).withColumn("matched", n).withColumn("fraction", c("matched") / c("trades"))
+    return left.agg(F.count("*").alias("trades")).withColumn("matched", n).withColumn("fraction", F.try_divide("matched", "trades"))
 
 
 def held_gaps(windows: DataFrame, bars: DataFrame) -> DataFrame:

@@ -230,6 +230,7 @@ cte("seen", "onever rdays", f"""
 SELECT * EXCLUDE (n) FROM (SELECT r.date AS as_of, o.*, row_number() OVER (PARTITION BY r.date, isin, period_end ORDER BY available_date DESC) AS n FROM rdays r JOIN onever o ON o.available_date <= {CUT.format('r.date')}) WHERE n = 1""")
 rdays = lambda v: fundamentals.rebalance_days(calendar.trading_days(v.bars))
 seen = lambda v: fundamentals.as_of(v.filings, rdays(v))
+state = lambda v: fundamentals.states_on_days(fundamentals.filing_states(v.filings), rdays(v))
 query("j16_fundamentals_as_of", "seen", f"SELECT CAST(as_of AS VARCHAR) AS as_of, isin, CAST(period_end AS VARCHAR) AS period_end, CAST(available_date AS VARCHAR) AS available_date, statement_type, {rounded('net_income cfo')} FROM seen")(
     lambda v: seen(v).select("as_of", "isin", "period_end", "available_date", "statement_type", "net_income", "cfo"))
 TTM = "CASE WHEN count({0}) FILTER (WHERE q4) = 4 AND max(period_end) FILTER (WHERE q4) - min(period_end) FILTER (WHERE q4) <= 456 THEN sum({0}) FILTER (WHERE q4) ELSE max({0}) FILTER (WHERE statement_type = 'Annual' AND n = 1) END"
@@ -240,11 +241,11 @@ SELECT as_of, isin, {TTM.format('net_income')} AS ttm_net_income, {TTM.format('c
 FROM (SELECT *, n <= 4 AND statement_type = 'Quarterly' AS q4 FROM (SELECT *, row_number() OVER (PARTITION BY as_of, isin, statement_type ORDER BY period_end DESC) AS n FROM seen)) GROUP BY as_of, isin""")
 ASOF = "CAST(as_of AS VARCHAR) AS as_of"
 query("w50_ttm_flow", "fstate", f"SELECT {ASOF}, isin, {rounded('ttm_net_income ttm_cfo')} FROM fstate")(
-    lambda v: fundamentals.item_state(seen(v)).select("as_of", "isin", "ttm_net_income", "ttm_cfo"))
+    lambda v: state(v).select("as_of", "isin", "ttm_net_income", "ttm_cfo"))
 query("w51_latest_items", "fstate", f"SELECT {ASOF}, isin, {rounded('total_assets total_debt debt_equity_ratio')} FROM fstate")(
-    lambda v: fundamentals.item_state(seen(v)).select("as_of", "isin", "total_assets", "total_debt", "debt_equity_ratio"))
+    lambda v: state(v).select("as_of", "isin", "total_assets", "total_debt", "debt_equity_ratio"))
 query("w52_average_equity", "fstate", f"SELECT {ASOF}, isin, {rounded('avg_equity')} FROM fstate")(
-    lambda v: fundamentals.item_state(seen(v)).select("as_of", "isin", "avg_equity"))
+    lambda v: state(v).select("as_of", "isin", "avg_equity"))
 cte("fframe", "fstate prices", """
 SELECT p.isin, p.date, CASE WHEN shares_outstanding > 0 AND close*shares_outstanding > 0 THEN ttm_net_income/(close*shares_outstanding) END AS earnings_yield,
  CASE WHEN total_equity > 0 AND shares_outstanding > 0 THEN total_equity/(close*shares_outstanding) END AS book_to_price, CASE WHEN avg_equity > 0 THEN ttm_net_income/avg_equity END AS roe,
@@ -318,7 +319,7 @@ SELECT isin, CAST(period_end AS VARCHAR) AS period_end, item, {rnd('abs(o - t)/a
  SELECT isin, period_end, 'net_income' AS item, r.a AS o, i2 AS t FROM n UNION ALL SELECT isin, period_end, 'total_equity', r.b, e2 FROM n)""")(
     lambda v: fundamentals.reconciliation(v.filings.filter("statement_type = 'Quarterly'"), v.filings.filter("statement_type = 'Quarterly'").groupBy("isin", "period_end").agg(
         F.min("net_income").alias("net_income"), F.min("total_equity").alias("total_equity")), ["net_income", "total_equity"]))
-DOC = """concat('<doc><in-bse-fin:RevenueFromOperations contextRef="a"> ', CAST(c AS STRING), ' </in-bse-fin:RevenueFromOperations>',
+DOC = """concat('<doc', CASE WHEN k % 7 = 0 THEN '' WHEN k % 7 = 1 THEN ' xmlns:in-bse-fin="urn:other"' ELSE ' xmlns:in-bse-fin="http://x/in-bse-fin/2020"' END, '><in-bse-fin:RevenueFromOperations contextRef="a"> ', CAST(c AS STRING), ' </in-bse-fin:RevenueFromOperations>',
  CASE WHEN k % 3 = 0 THEN concat('<in-bse-fin:Revenue unit="x">', CAST(c % 1000 AS STRING), '</in-bse-fin:Revenue>') ELSE '' END,
  CASE WHEN k % 2 = 0 THEN concat('<in-bse-fin:ProfitLossBeforeTax>', CAST(c AS STRING), '.5</in-bse-fin:ProfitLossBeforeTax><in-bse-fin:FinanceCosts>1,250</in-bse-fin:FinanceCosts>') ELSE '' END,
  CASE WHEN k % 5 = 0 THEN '<in-bse-fin:BorrowingsCurrent>700</in-bse-fin:BorrowingsCurrent>' ELSE '<in-bse-fin:Borrowings>n/a</in-bse-fin:Borrowings>' END,
@@ -333,11 +334,11 @@ def filing_texts(v):
     return docs.join(orders, c("k") == c("doc_id")).select("doc_id", F.expr(DOC.replace(", t,", ", text,")).alias("text"))
 
 
-cte("parsed", "", """SELECT doc_id, CASE WHEN k % 3 = 0 THEN CAST(c % 1000 AS DOUBLE) ELSE CAST(c AS DOUBLE) END AS revenue, CASE WHEN k % 2 = 0 THEN c + 0.5 + 1250 END AS ebit,
- CASE WHEN k % 5 = 0 THEN 700.0 END AS total_debt, (k % 900 + 100)/10.0 AS shares_outstanding
+cte("parsed", "", """SELECT doc_id, k % 7 > 1 AS known, CASE WHEN k % 7 <= 1 THEN NULL WHEN k % 3 = 0 THEN CAST(c % 1000 AS DOUBLE) ELSE CAST(c AS DOUBLE) END AS revenue,
+ CASE WHEN k % 7 > 1 AND k % 2 = 0 THEN c + 0.5 + 1250 END AS ebit, CASE WHEN k % 7 > 1 AND k % 5 = 0 THEN 700.0 END AS total_debt, CASE WHEN k % 7 > 1 THEN (k % 900 + 100)/10.0 END AS shares_outstanding
 FROM (SELECT doc_id, o_orderkey AS k, CAST(round(o_totalprice) AS BIGINT) AS c FROM documents JOIN orders ON o_orderkey = doc_id)""")
 query("f13_filing_numbers", "parsed", f"SELECT doc_id, {rnd('revenue')} AS revenue FROM parsed")(
     lambda v: fundamentals.parse_filings(filing_texts(v)).select("doc_id", "revenue"))
 query("f14_derived_items", "parsed", f"""
-SELECT doc_id, {rounded('ebit total_debt shares_outstanding')}, 'net_income,' || CASE WHEN ebit IS NULL THEN 'ebit,' ELSE '' END || 'total_equity,total_assets,' || CASE WHEN total_debt IS NULL THEN 'total_debt,' ELSE '' END || 'cfo' AS unmapped FROM parsed""")(
+SELECT doc_id, {rounded('ebit total_debt shares_outstanding')}, CASE WHEN known THEN '' ELSE 'revenue,' END || 'net_income,' || CASE WHEN ebit IS NULL THEN 'ebit,' ELSE '' END || 'total_equity,total_assets,' || CASE WHEN total_debt IS NULL THEN 'total_debt,' ELSE '' END || CASE WHEN known THEN '' ELSE 'shares_outstanding,' END || 'cfo' AS unmapped FROM parsed""")(
     lambda v: fundamentals.parse_filings(filing_texts(v)).select("doc_id", "ebit", "total_debt", "shares_outstanding", F.array_join("unmapped_items", ",").alias("unmapped")))

@@ -234,19 +234,24 @@ SELECT l.isin, l.symbol, l.date, open*f.adj AS open, high*f.adj AS high, low*f.a
  median(traded_value) OVER (PARTITION BY l.isin ORDER BY l.date ROWS 19 PRECEDING) AS adv_20
 FROM legs l JOIN (SELECT b.isin, b.date, coalesce(product(m.cap), 1.0) AS adj, coalesce(product(m.tot), 1.0) AS tr
  FROM legs b LEFT JOIN ev_mult m ON m.isin = b.isin AND m.ex_date > b.date GROUP BY 1, 2) f ON f.isin = l.isin AND f.date = l.date""")
-cte("fills", "", """
+LINE_ID = (
+    "CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity*100) AS BIGINT),"
+    " CAST(round(l_extendedprice*100) AS BIGINT), CAST(round(l_discount*100) AS BIGINT), CAST(round(l_tax*100) AS BIGINT),"
+    " l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS VARCHAR))), 1, 15) AS BIGINT)"
+)
+cte("fills", "", f"""
 SELECT l_suppkey AS isin, CASE l_returnflag WHEN 'N' THEN 'buy' WHEN 'R' THEN 'sell' ELSE 'trim' END AS side,
  l_quantity AS qty, l_extendedprice AS price, CAST(l_shipdate AS DATE) AS date, l_quantity*l_extendedprice*0.001 AS cost,
- l_orderkey*1000 + l_linenumber*100 + l_partkey % 100 AS fill_id, l_linestatus AS reason FROM lineitem""")
-cte("trades", "stocks", """
+ {LINE_ID} AS fill_id, l_linestatus AS reason FROM lineitem""")
+cte("trades", "stocks", f"""
 SELECT l_suppkey AS symbol, CAST(o_orderdate AS DATE) AS entry_date,
  CAST(o_orderdate AS DATE) + CAST(l_quantity AS INTEGER) AS exit_date,
  CAST(CAST(round(l_tax*100) AS BIGINT) - CAST(round(l_discount*100) AS BIGINT) + 1 AS DOUBLE) AS return_pct,
  l_extendedprice AS size, l_returnflag AS exit_reason, o_orderstatus AS regime, CAST(l_quantity AS INTEGER) AS holding_days,
- l_orderkey*1000 + l_linenumber*100 + l_partkey % 100 AS trade_id, sector
+ {LINE_ID} AS trade_id, sector
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN stocks ON symbol = l_suppkey""")
-cte("journal", "bars", """
-SELECT l_suppkey AS symbol, l_orderkey*1000 + l_linenumber*100 + l_partkey % 100 AS trade_id, b.date AS entry_date, b.date AS signal_date,
+cte("journal", "bars", f"""
+SELECT l_suppkey AS symbol, {LINE_ID} AS trade_id, b.date AS entry_date, b.date AS signal_date,
  b.date + CAST(l_quantity AS INTEGER) AS exit_date, CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'closed' END AS status,
  l_quantity AS qty, b.close AS entry_price, b.close*(1 + l_tax - l_discount) AS exit_price, b.close*(1 - l_tax) AS stop_loss,
  b.close*(1 + 2*l_discount) AS target, b.close*(1 - l_tax) AS planned_entry_low, b.close*(1 + l_tax) AS planned_entry_high
@@ -269,7 +274,7 @@ SELECT isin, period_end, period_end + CASE version WHEN 'F' THEN 20 WHEN 'O' THE
  CASE WHEN version <> 'F' THEN 0.5::DOUBLE END AS debt_equity_ratio
 FROM (SELECT isin, version, {QUARTER_END} AS period_end, 'Quarterly' AS statement_type, CAST(sum(c) AS DOUBLE)/1e5 AS net_income FROM o GROUP BY 1, 2, 3
  UNION ALL SELECT isin, version, make_date(year(date), 12, 31), 'Annual', CAST(sum(c) AS DOUBLE)/1e5 FROM o GROUP BY 1, 2, 3)""".replace(
-    "FROM o ", "FROM (SELECT o_custkey % 100 AS isin, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS version, "
+    "FROM o ", "FROM (SELECT o_custkey % (SELECT count(*) FROM supplier) AS isin, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS version, "
     "CAST(round(o_totalprice*100) AS BIGINT) AS c FROM orders) "))
 cte("alerts", "", """
 SELECT event_id, ts, CAST(ts AS DATE) AS date, user_id % (SELECT count(*) FROM supplier) AS symbol,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from barloom.operators import alerts, dashboard, research, screens
 from barloom.operators.indicators import SignalConfig
 from barloom.plans.oracle_views import rnd, rounded
 from barloom.plans.registry import query
+from barloom.sources import storage
 from barloom.sources.views import LIQUIDITY_FLOOR
 
 DATE = "CAST(date AS VARCHAR) AS date"
@@ -40,10 +43,6 @@ MATERIAL = " UNION ALL ".join(
     f"SELECT '{s}' AS screen_slug, date, symbol, {SCORE.get(s, 'entry_score')} AS score, {'' if s == 'near_52w_low' else '-'}{SCORE.get(s, 'entry_score')} AS o "
     f"FROM signals WHERE {D} AND {w}" for s, w in WHERE.items())
 RESULTS = f"SELECT screen_slug, date AS computed_at, symbol, score, row_number() OVER (PARTITION BY screen_slug, date ORDER BY o, symbol) AS rank FROM ({MATERIAL})"
-query("s16_materialised_screens", "signals",
-      f"SELECT screen_slug, CAST(computed_at AS VARCHAR) AS computed_at, symbol, {rnd('score')} AS score, rank FROM ({RESULTS})")(
-    lambda v: screens.materialise(v.signals, v.stocks))
-
 PEG = "SELECT s_suppkey AS symbol, s_acctbal/2000.0 AS peg_ratio FROM supplier"
 
 
@@ -93,6 +92,12 @@ WHERE {D} AND bar >= 260 AND ema_signal IN ('bullish_cross', 'bullish_pullback',
  AND adx >= 20 AND macd > macd_signal AND rsi BETWEEN 35 AND 65 AND entry_score > 0
  AND CASE WHEN is_consolidating THEN entry_score ELSE entry_score*0.85 END >= 30""")(
     lambda v: research.entry_candidates(v.signals, LOOSE))
+query("p16_near_high_candidates", "signals", f"""
+SELECT {DATE}, symbol, {rnd('CASE WHEN is_consolidating THEN entry_score ELSE entry_score*0.85 END')} AS score FROM signals
+WHERE {D} AND bar >= 260 AND ema_signal IN ('bullish_cross', 'bullish_pullback', 'bullish') AND close > ema200 AND momentum_12m > 0
+ AND adx >= 20 AND macd > macd_signal AND rsi BETWEEN 35 AND 65 AND entry_score > 0 AND (close/week52_high - 1)*100 >= -8
+ AND CASE WHEN is_consolidating THEN entry_score ELSE entry_score*0.85 END >= 30""")(
+    lambda v: research.entry_candidates(v.signals, LOOSE, max_pct_from_52w_high=-8.0))
 query("p17_dashboard_facets", "signals stocks", f"""
 SELECT symbol, sector, confluence_count FROM stocks JOIN (SELECT symbol, CAST(count(*) FILTER (WHERE is_bullish) AS BIGINT) AS confluence_count FROM signals s
  WHERE date = (SELECT max(date) FROM signals x WHERE x.timeframe = s.timeframe) GROUP BY symbol) USING (symbol)
@@ -128,14 +133,19 @@ SELECT symbol, trade_id, alert_type, CASE WHEN alert_type LIKE '%_hit' THEN 'cri
   WHEN rsi > 80 AND close < prev_low THEN 'overextended_exit' END AS alert_type,
   (close - entry_price)/entry_price*100 AS unrealised_pct, date - entry_date AS holding_days
  FROM journal JOIN last_bars USING (symbol) WHERE status = 'open') WHERE alert_type IS NOT NULL""")(
-    lambda v: alerts.exit_alerts(v.journal, v.last_bars))
+    lambda v: alerts.exit_alerts(v.journal, v.last_bars).drop("date"))
+DIGEST = {"trend_initiation": SignalConfig(score_threshold=45.0, consolidation_bars=10, consolidation_pct=9.0),
+          "range_break": SignalConfig(score_threshold=20.0, consolidation_bars=30, consolidation_pct=25.0, min_adx=35.0),
+          "trend_continuation": replace(LOOSE, min_adx=28.0)}
+RANGE = "bar >= {0} AND lo{0} > 0 AND (hi{0} - lo{0})/lo{0}*100 <= {1}"
 query("p23_signal_digest", "signals stocks", f"""
-SELECT {DATE}, symbol, sector, {rnd('entry_score')} AS entry_score, tier, array_to_string(tags, ',') AS strategy_tags FROM (
- SELECT date, symbol, sector, entry_score, CASE WHEN volume_breakout AND coalesce(adx, 0) >= 20 THEN 1 ELSE 2 END AS tier,
-  list_filter(list_value(CASE WHEN entry_score >= 45 AND is_consolidating THEN 'trend_initiation' END,
-   CASE WHEN entry_score >= 30 THEN 'trend_continuation' END), lambda x: x IS NOT NULL) AS tags
- FROM signals JOIN stocks USING (symbol) WHERE {ALERT_WHERE} AND rsi BETWEEN 35 AND 65) WHERE len(tags) > 0""")(
-    lambda v: alerts.signal_digest(v.signals, v.stocks, CONFIGS).withColumn("strategy_tags", F.array_join("strategy_tags", ",")))
+SELECT {DATE}, symbol, sector, {rnd('entry_score')} AS entry_score, CASE WHEN volume_breakout AND coalesce(adx, 0) >= CASE WHEN a THEN 20 WHEN b THEN 35 ELSE 28 END THEN 1 ELSE 2 END AS tier,
+ array_to_string(list_filter(list_value(CASE WHEN a THEN 'trend_initiation' END, CASE WHEN b THEN 'range_break' END, CASE WHEN k THEN 'trend_continuation' END), lambda x: x IS NOT NULL), ',') AS strategy_tags
+FROM (SELECT *, coalesce(entry_score >= 45 AND {RANGE.format(10, 9)}, false) AS a, coalesce(entry_score >= 20 AND {RANGE.format(30, 25)}, false) AS b, entry_score >= 30 AS k FROM (
+ SELECT *, max(high) OVER x AS hi10, min(low) OVER x AS lo10, max(high) OVER y AS hi30, min(low) OVER y AS lo30 FROM signals WHERE {D}
+ WINDOW x AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), y AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)))
+JOIN stocks USING (symbol) WHERE {ALERT_WHERE} AND rsi BETWEEN 35 AND 65 AND (a OR b OR k)""")(
+    lambda v: alerts.signal_digest(v.signals, v.stocks, DIGEST).withColumn("strategy_tags", F.array_join("strategy_tags", ",")))
 query("p26_list_stocks", "stocks", "SELECT symbol, name, sector, industry FROM stocks WHERE sector = 'ASIA' ORDER BY symbol")(
     lambda v: screens.list_stocks(v.stocks, sector="ASIA").select("symbol", "name", "sector", "industry"))
 
@@ -153,9 +163,31 @@ ROT = f"""SELECT date, sector, avg(rs_score) AS avg_rs, avg(momentum_3m) AS avg_
 query("a02_sector_rotation", "signals stocks", f"SELECT {DATE}, sector, stock_count, {rounded('avg_rs avg_momentum_3m bullish_pct')} FROM ({ROT})")(
     lambda v: screens.sector_rotation(v.signals, v.stocks))
 query("j02_hot_sectors", "signals stocks", f"""
-SELECT {DATE}, sector, symbol, {rnd('rs_score')} AS score FROM signals JOIN stocks USING (symbol) WHERE {D} AND rs_score >= 60
+SELECT {DATE}, sector, symbol, {rnd('entry_score')} AS score FROM signals JOIN stocks USING (symbol) WHERE {D} AND rs_score >= 60 AND above_200ema AND is_bullish
  AND (date, sector) IN (SELECT (date, sector) FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(avg_rs, 9) DESC, sector) AS n FROM ({ROT})) WHERE n <= 3)""")(
-    lambda v: screens.hot_sectors(v.signals, v.stocks, screens.sector_rotation(v.signals, v.stocks)))
+    lambda v: screens.hot_sectors(v.signals, v.stocks, screens.sector_rotation(v.signals, v.stocks)).drop("rs_score"))
+
+
+def stored_screens(v):
+    """All screens from stored signals, written to the results table and read from there."""
+    stored = storage.scratch_path(v.spark, "signals")
+    storage.write_partitions(v.signals, stored, ["timeframe"])
+    signals = v.spark.read.parquet(stored)
+    path = storage.scratch_path(v.spark, "screens")
+    days = signals.filter("timeframe = 'D'").select(F.col("date").alias("computed_at")).distinct()
+    screens.store_results(screens.materialise_all(signals, v.stocks), days, path)
+    return screens.stored_results(v.spark, path)
+
+
+HOT = f"""(date, sector) IN (SELECT (date, sector) FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(avg_rs, 9) DESC, sector) AS n FROM ({ROT})) WHERE n <= 3)"""
+query("s16_materialised_screens", "signals stocks", f"""
+WITH r AS ({RESULTS} UNION ALL SELECT 'mtf_confluence', date, symbol, entry_score, row_number() OVER (PARTITION BY date ORDER BY entry_score DESC, symbol) FROM ({CONF})
+ UNION ALL SELECT 'sector_leaders', date, symbol, rs_score, row_number() OVER (PARTITION BY date ORDER BY sector, rs_score DESC, symbol) FROM (
+  SELECT date, sector, symbol, rs_score, rank() OVER (PARTITION BY date, sector ORDER BY rs_score DESC) AS k FROM signals JOIN stocks USING (symbol)
+  WHERE {D} AND above_200ema AND is_bullish AND rs_score IS NOT NULL) WHERE k <= 3
+ UNION ALL SELECT 'hot_sectors', date, symbol, entry_score, row_number() OVER (PARTITION BY date ORDER BY rs_score DESC, symbol) FROM signals JOIN stocks USING (symbol)
+  WHERE {D} AND rs_score >= 60 AND above_200ema AND is_bullish AND {HOT})
+SELECT screen_slug, CAST(computed_at AS VARCHAR) AS computed_at, symbol, {rnd('score')} AS score, rank FROM r""")(stored_screens)
 query("j03_enriched_screen", "signals stocks", f"""
 SELECT CAST(r.computed_at AS VARCHAR) AS computed_at, r.symbol, sector, rank, CAST(signal_date AS VARCHAR) AS signal_date, ema_signal, is_bullish, {rounded('r.score')}
  , {rnd('peg_ratio')} AS peg_ratio, {rnd('close')} AS close, {rnd('rsi')} AS rsi
@@ -234,3 +266,14 @@ SELECT {DATE}, symbol, label, {rounded('earned maximum')} FROM (SELECT date, sym
  {{'label': 'rsi', 'earned': pts_rsi, 'maximum': 21.5::DOUBLE}}, {{'label': 'volume', 'earned': pts_volume, 'maximum': 21.5::DOUBLE}}, {{'label': 'trend', 'earned': pts_trend, 'maximum': 7.0::DOUBLE}}], recursive := true)
  FROM signals WHERE {D})""")(
     lambda v: research.score_breakdown(v.signals.filter("timeframe = 'D'")))
+
+
+def unsent_exits(v):
+    hits = alerts.exit_alerts(v.journal, v.last_bars)
+    return alerts.unsent(hits, hits.filter("symbol % 3 = 0 AND alert_type = 'stop_hit'")).select("symbol", "date", "alert_type", "trade_id")
+
+
+query("p22_unsent_exit_alerts", "journal last_bars", f"""
+SELECT symbol, {DATE}, alert_type, min(trade_id) AS trade_id FROM (SELECT symbol, date, trade_id, CASE WHEN low <= stop_loss THEN 'stop_hit' WHEN (close - stop_loss)/entry_price*100 < 2 THEN 'stop_approached'
+  WHEN high >= target THEN 'target_hit' WHEN (target - close)/entry_price*100 < 2 THEN 'target_approached' WHEN rsi > 80 AND close < prev_low THEN 'overextended_exit' END AS alert_type
+ FROM journal JOIN last_bars USING (symbol) WHERE status = 'open') WHERE alert_type IS NOT NULL AND NOT (symbol % 3 = 0 AND alert_type = 'stop_hit') GROUP BY 1, 2, 3""")(unsent_exits)

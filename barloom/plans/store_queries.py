@@ -131,9 +131,14 @@ query("s11_signal_upsert", "bars", f"SELECT symbol, {DATE}, 'D' AS timeframe, {r
 def retention(v):
     from barloom.operators.indicators import stack_timeframes
 
+    path = storage.scratch_path(v.spark, "retention")
     df = stack_timeframes(v.bars)
-    kept, gone = storage.retain(df, df.agg(F.max("date")).scalar(), {"D": 90, "W": 730, "M": 730}, 730)
-    return kept.groupBy("timeframe").agg(F.count("*").alias("kept")).join(gone, "timeframe", "full_outer")
+    storage.write_partitions(df.withColumn("year", F.year("date")).repartition("timeframe", "year"), path, ["timeframe", "year"])
+    today = df.agg(F.max("date")).first()[0]
+    gone = storage.clean_up(v.spark, {"signals": storage.Retention(path, 730, {"D": 90, "W": 730, "M": 730})}, today)
+    kept = v.spark.read.parquet(path).groupBy("timeframe").agg(F.count("*").alias("kept"))
+    deleted = v.spark.createDataFrame([(k.removeprefix("signals_"), n) for k, n in gone.items()], "timeframe string, deleted long")
+    return kept.join(deleted, "timeframe", "full_outer")
 
 
 query("s12_retention", "tfbars", """
@@ -146,9 +151,13 @@ SELECT isin, arg_max(symbol, date) AS symbol, CAST(min(date) AS VARCHAR) AS list
 
 
 def index_rows(v):
+    """The index after two runs, the second with all of the first's filings again, and the second run's errors."""
     base = v.filings.select("isin", "period_end", "statement_type", F.when(c("isin") % 10 == 3, F.date_sub("available_date", 60)).otherwise(c("available_date")).alias("available_date"))
-    good, bad = storage.split_filing_index(base)
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    path, errors = storage.scratch_path(v.spark, "filing-index"), storage.scratch_path(v.spark, "filing-errors")
+    storage.populate_filing_index(base.filter(F.year("period_end") < 1998), path, errors, "first")
+    storage.populate_filing_index(base, path, errors, "second")
+    good = v.spark.read.parquet(path).drop("year").withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(v.spark.read.parquet(errors).filter("run_id = 'second'").select(*good.columns))
 
 
 query("s14_filing_index", "filings", """

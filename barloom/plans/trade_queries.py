@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import books, calendar, factors, metrics, quality, trades
+from barloom.operators import books, calendar, factors, metrics, quality, regime, trades
 from barloom.plans.oracle_views import cte, rnd, rounded
 from barloom.plans.registry import query
 from barloom.sources.views import LIQUIDITY_FLOOR
@@ -25,6 +25,9 @@ SELECT total_trades, winning_trades, {rounded(TM)} FROM (SELECT *, wr*100 AS win
  sum(r/100*size)/1e6*100 AS total_return_pct, sum(return_pct/100*size)/1e6*100 AS gross_return_pct, avg(r) FILTER (WHERE r > 0) AS avg_win_pct, avg(r) FILTER (WHERE r <= 0) AS avg_loss_pct,
  count(*) FILTER (WHERE r > 0)*1.0::DOUBLE/count(*) AS wr, round(sum(r*size) FILTER (WHERE r > 0)/abs(sum(r*size) FILTER (WHERE r <= 0)), 4) AS profit_factor
  FROM (SELECT *, return_pct - 0.3::DOUBLE AS r FROM trades)))""")(lambda v: trades.trade_metrics(v.trades))
+query("a09_adverse_excursion", "journal bars", f"""
+SELECT trade_id, {rnd('least(coalesce(min(b.low)/any_value(j.entry_price)*100 - 100, 0), 0)')} AS mae_pct FROM journal j LEFT JOIN bars b ON b.symbol = j.symbol AND b.date BETWEEN j.entry_date AND j.exit_date GROUP BY trade_id""")(
+    lambda v: trades.adverse_excursion(v.journal, v.bars).select("trade_id", "mae_pct"))
 query("a09_exit_breakdown", "trades", "SELECT exit_reason, count(*) AS n FROM trades GROUP BY 1")(
     lambda v: trades.exit_breakdown(v.trades).select(F.explode("exit_breakdown").alias("exit_reason", "n")))
 query("a22_grouped_stats", "trades", f"""
@@ -199,10 +202,18 @@ NM = f"""SELECT count(*) AS days, min(date) AS start_date, max(date) AS end_date
 DDDAYS = "(SELECT t.date - (SELECT min(p.date) FROM navr p WHERE p.equity = t.peak) FROM (SELECT date, peak FROM navr ORDER BY dd, date LIMIT 1) t)"
 query("a10_nav_metrics", "navr", f"SELECT days, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date, {rounded('cagr annualized_vol sharpe sortino max_drawdown')}, {DDDAYS} AS dd_days, {rnd('cagr/max_drawdown')} AS calmar FROM ({NM})")(
     lambda v: metrics.nav_metrics(v.nav))
+OVERLAY = """WITH b AS (SELECT date, coalesce(lag(fraction) OVER (ORDER BY date), 0.0) AS w, coalesce(level/lag(level) OVER (ORDER BY date), 1.0) AS r, CASE WHEN lag(level) OVER (ORDER BY date) IS NULL THEN 1.0 ELSE 1.0002::DOUBLE END AS g FROM idx JOIN debounced USING (date)),
+n AS (SELECT *, coalesce(w <> lag(w) OVER (ORDER BY date), false) AS sw FROM b),
+x AS (SELECT *, ln(CASE WHEN w = 1 THEN r ELSE g END) + CASE WHEN sw THEN ln(1 - 0.001::DOUBLE) ELSE 0 END AS step FROM n),
+o AS (SELECT date, w, sw, exp(sum(step) OVER (ORDER BY date)) AS equity FROM x),
+e AS (SELECT *, equity/lag(equity) OVER (ORDER BY date) - 1 AS ret, max(equity) OVER (ORDER BY date) AS peak, equity/max(equity) OVER (ORDER BY date) - 1 AS dd FROM o)"""
 query("a12_overlay_metrics", "debounced idx", f"""
-SELECT count(*) AS days, {rnd('arg_max(level, date)/arg_min(level, date) - 1')} AS growth, {rnd('-min(dd)')} AS max_drawdown FROM (SELECT *, level/max(level) OVER (ORDER BY date) - 1 AS dd FROM idx JOIN debounced USING (date))""")(
-    lambda v: metrics.max_drawdown(v.index, "level").select("max_drawdown").withColumns(
-        {"days": v.index.agg(F.count("*")).scalar(), "growth": v.index.agg(F.max_by("level", "date") / F.min_by("level", "date") - 1).scalar()}))
+{OVERLAY}, m AS (SELECT {CAGR.format('equity')} AS cagr, -min(dd) AS max_dd, avg(ret)/stddev_samp(ret)*sqrt(252) AS sharpe, avg(w) AS f, count(*) FILTER (WHERE sw) AS k FROM e),
+t AS (SELECT date, peak FROM e ORDER BY round(dd, 12), date LIMIT 1)
+SELECT {rounded('cagr max_dd sharpe')}, {rnd('cagr/max_dd')} AS calmar, (SELECT t.date - (SELECT min(p.date) FROM e p WHERE p.equity >= t.peak - 1e-12) FROM t) AS max_dd_days, {rnd('f')} AS realized_avg_fraction, k AS n_rebalances FROM m""")(
+    lambda v: metrics.overlay_metrics(regime.sleeve_nav(regime.debounced_fraction(v.index), v.index, 0.0002, 0.001)))
+query("a10_exposure", "idx", f"SELECT {rnd('avg(x)')} AS avg_exposure, {rnd('median(x)')} AS median_exposure, {rnd('avg(CASE WHEN x < 1 THEN 1.0 ELSE 0 END)')} AS time_in_cash_pct FROM (SELECT level/100 AS x FROM idx)")(
+    lambda v: metrics.exposure_stats(v.index.select((c("level") / 100).alias("exposure"))))
 query("a11_relative_metrics", "navb", f"""
 SELECT n_overlap, {rounded('information_ratio up_capture down_capture correlation beta')}, {rnd('sc')} AS strategy_cagr, {rnd('bc')} AS benchmark_cagr, {rnd('sd')} AS strategy_max_drawdown, {rnd('bd')} AS benchmark_max_drawdown,
  {rnd('sc/sd')} AS strategy_calmar, {rnd('bc/bd')} AS benchmark_calmar, {rnd('sc - bc')} AS excess_cagr, {rnd('(sc/sd)/(bc/bd)')} AS calmar_ratio, {rnd('sd/bd')} AS max_dd_ratio FROM (

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,6 +152,97 @@ def retain(df: DataFrame, today: Column, days: dict[str, int], default: int) ->
     return df.filter(fresh), gone
 
 
+def partition_values(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """Values of the partition folders below a path, from the file system's listing alone."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def below(folder, values: dict[str, str]) -> list[dict[str, str]]:
+        inner = [f.getPath() for f in fs.listStatus(folder) if f.isDirectory() and "=" in f.getPath().getName()]
+        if not inner:
+            return [values] if values else []
+        return [x for p in inner for x in below(p, values | {p.getName().split("=")[0]: p.getName().split("=", 1)[1]})]
+
+    return sorted(below(root, {}), key=str) if fs.exists(root) else []
+
+
+def drop_partition(spark: SparkSession, path: str, values: dict[str, str]) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "".join(f"/{k}={v}" for k, v in values.items()))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass(frozen=True)
+class Retention:
+    """How long a table's rows stay: days by timeframe where it has one, else ``days``."""
+
+    path: str
+    days: int
+    by_timeframe: dict[str, int] = field(default_factory=dict)
+    date: str = "date"
+
+
+def clean_up(spark: SparkSession, tables: dict[str, Retention], today: date) -> dict[str, int]:
+    """Delete what is older than each table's limit; rows deleted by table (and timeframe).
+
+    Tables are partitioned by year, or by timeframe and year.  Whole years before the cutoff go by
+    their folders, the cutoff's own year is written again without its old days, and nothing else is
+    read or written.  Running it twice deletes nothing more.
+    """
+    deleted: dict[str, int] = {}
+    for name, table in tables.items():
+        for values in partition_values(spark, table.path):
+            tf = values.get("timeframe")
+            label = name if tf is None else f"{name}_{tf}"
+            deleted.setdefault(label, 0)
+            cutoff = today - timedelta(days=table.by_timeframe.get(tf, table.days))
+            if int(values["year"]) > cutoff.year:
+                continue
+            here = reduce(lambda a, b: a & b, [c(k) == v for k, v in values.items()])
+            rows = spark.read.parquet(table.path).filter(here)
+            if int(values["year"]) < cutoff.year:
+                deleted[label] += rows.count()
+                drop_partition(spark, table.path, values)
+                continue
+            old = rows.filter(c(table.date) < F.lit(cutoff)).count()
+            if old:
+                kept = cut_lineage(rows.filter(~F.coalesce(c(table.date) < F.lit(cutoff), F.lit(False))))
+                if kept.isEmpty():
+                    drop_partition(spark, table.path, values)
+                else:
+                    write_partitions(kept, table.path, list(values))
+                deleted[label] += old
+    return deleted
+
+
+FILING_KEY = ("isin", "period_end", "available_date", "statement_type")
+
+
+def populate_filing_index(incoming: DataFrame, path: str, errors: str, run_id: str) -> DataFrame:
+    """Merge filings into the index on its 4-column key; what was not after its period goes to the error table.
+
+    The index is partitioned by the year of the period.  Stored rows stay as they are, a key counts once,
+    and only years that get new rows are written, in one partition overwrite; the errors of a run are one
+    partition of their table.  So a run that is repeated, or was cut off half-way, ends in the same tables.
+    Returns one row: rows_inserted, rows_known, pit_violations.
+    """
+    spark = incoming.sparkSession
+    good, bad = split_filing_index(incoming)
+    rest = [x for x in good.columns if x not in FILING_KEY]
+    pick = F.min(F.struct(*rest)).alias("_r") if rest else F.lit(None).alias("_r")
+    once = good.groupBy(*FILING_KEY).agg(pick).select(*FILING_KEY, *(["_r.*"] if rest else [])).withColumn("year", F.year("period_end"))
+    stored = read_or_empty(spark, path, once.schema)
+    keys = once.count()
+    fresh = cut_lineage(once.join(stored.select(*FILING_KEY, "year"), [*FILING_KEY, "year"], "left_anti"))
+    years = fresh.select("year").distinct()
+    if not fresh.isEmpty():
+        touched = stored.join(F.broadcast(years), "year", "left_semi").select(*fresh.columns)  # one row a year
+        write_partitions(cut_lineage(touched.unionByName(fresh)), path, ["year"])
+    write_partitions(bad.withColumn("run_id", F.lit(run_id)), errors, ["run_id"])
+    inserted = fresh.count()
+    return spark.createDataFrame([(inserted, keys - inserted, bad.count())], "rows_inserted long, rows_known long, pit_violations long")
+
+
 def append_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Restatement-preserving append: stored versions stay, unknown keys are added."""
     return stored.unionByName(incoming.join(stored.select(*keys), list(keys), "left_anti"))

@@ -37,6 +37,13 @@ def isin_code(symbol, leg):
     )
 
 
+def line_id():
+    """60 bits of an md5 over all columns of a line item: lines have no other unique key."""
+    exact = [cents(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    row = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *exact, "l_returnflag", "l_linestatus", day("l_shipdate"))
+    return F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+
+
 def cents(name: str):
     """Exact integer cents, so sums do not depend on row order."""
     return F.round(F.col(name) * 100).cast("long")
@@ -190,7 +197,7 @@ class Views:
             F.col("l_extendedprice").alias("price"),
             day("l_shipdate").alias("date"),
             (F.col("l_quantity") * F.col("l_extendedprice") * 0.001).alias("cost"),
-            (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("fill_id"),
+            line_id().alias("fill_id"),
             F.col("l_linestatus").alias("reason"),
         )
 
@@ -209,7 +216,7 @@ class Views:
             F.col("l_returnflag").alias("exit_reason"),
             F.col("o_orderstatus").alias("regime"),
             days.alias("holding_days"),
-            (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("trade_id"),
+            line_id().alias("trade_id"),
         )
         return out.join(stocks, "symbol")
 
@@ -223,7 +230,7 @@ class Views:
             F.col("l_quantity").alias("qty"),
             F.col("l_tax").alias("tax"),
             F.col("l_discount").alias("disc"),
-            (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).alias("trade_id"),
+            line_id().alias("trade_id"),
         )
         bars = self.bars.select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry_price"))
         price = F.col("entry_price")
@@ -278,8 +285,9 @@ class Views:
     @cached_property
     def filings(self) -> DataFrame:
         """Versioned quarterly and annual line items, one row per (isin, period, type, version)."""
+        suppliers = self.table("supplier").agg(F.count("*")).scalar()
         orders = self.table("orders").select(
-            (F.col("o_custkey") % 100).alias("isin"),
+            (F.col("o_custkey") % suppliers).alias("isin"),
             day("o_orderdate").alias("d"),
             F.col("o_orderstatus").alias("version"),
             cents("o_totalprice").alias("c"),

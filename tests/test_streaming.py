@@ -50,13 +50,3 @@ def test_guarded_append(spark, tmp_path):
         write(moved, 3)
     jobs.guarded_append(str(tmp_path / "t"), day.select("isin"))(moved, 4)
     assert storage.read_or_empty(spark, str(tmp_path / "t"), day.schema).agg(F.sum("close")).first()[0] == 11.0
-
-
-def test_watch_expiry(spark, tmp_path):
-    days = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i)) for s, n in ((1, 8), (2, 9), (3, 12)) for i in range(n)]
-    path = str(tmp_path / "in")
-    spark.createDataFrame(days, "symbol long, date date").write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema("symbol long, date date").parquet(path)
-    got = {r.symbol for r in jobs.drain(jobs.expired_watches(stream), str(tmp_path / "c"), mode="update").collect()}
-    assert got == {2, 3} == {r.symbol for r in jobs.expired_watches_batch(spark.read.parquet(path)).collect()}
