@@ -58,12 +58,30 @@ def wilder_of(out: str, x: Column, n: int, seed: Column, first: int = 0) -> Recu
     return Recurrence(out, x, 1.0 - 1.0 / n, first + n - 1, seed)
 
 
+def nested_blocks(items: Sequence[Recurrence]) -> dict[int, int]:
+    """Each recurrence's block, raised where needed so that every block is a multiple of the next smaller one."""
+    out: dict[int, int] = {}
+    last = 1
+    for block in sorted({r.block for r in items}):
+        last = last * math.ceil(block / last)
+        out[block] = last
+    return out
+
+
 def solve(df: DataFrame, items: Sequence[Recurrence], keys: Sequence[str], order: str = "date") -> DataFrame:
-    """Add one column per recurrence; needs the ``_bar`` column of :func:`number_bars`."""
+    """Add one column per recurrence; needs the ``_bar`` column of :func:`number_bars`.
+
+    Blocks nest, and all windows are ordered by (largest block, ..., smallest block, date), which is the
+    order of the dates.  So one sort serves the windows of every block size and those over whole keys.
+    """
     bar = F.col(BAR)
+    nested = nested_blocks(items)
+    sizes = sorted(set(nested.values()), reverse=True)
+    names = [f"_block{n}" for n in sizes]
+    df = df.withColumns({name: F.floor(bar / n) for name, n in zip(names, sizes)})
 
     def offset(r: Recurrence) -> Column:
-        return bar % r.block
+        return bar % nested[r.block]
 
     local: dict[str, Column] = {}
     for r in items:
@@ -72,17 +90,17 @@ def solve(df: DataFrame, items: Sequence[Recurrence], keys: Sequence[str], order
             .when(bar == r.start, r.seed)
             .otherwise((1.0 - r.decay) * r.x)
         )
-        parts = [*keys, F.floor(bar / r.block)]
-        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        inner = sizes.index(nested[r.block]) + 1
+        w = Window.partitionBy(*keys, *names[:inner]).orderBy(*names[inner:], order).rowsBetween(Window.unboundedPreceding, 0)
         scaled = F.sum(term * F.pow(F.lit(r.decay), -offset(r))).over(w)
         local[f"_{r.out}"] = scaled * F.pow(F.lit(r.decay), offset(r))
     out = df.withColumns(local)
 
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*names, order).rowsBetween(Window.unboundedPreceding, -1)
     final: dict[str, Column] = {}
     for r in items:
         value = F.col(f"_{r.out}")
-        block_end = F.when(offset(r) == r.block - 1, value)
+        block_end = F.when(offset(r) == nested[r.block] - 1, value)
         carried = F.coalesce(F.last(block_end, ignorenulls=True).over(before), F.lit(0.0))
         final[r.out] = F.when(bar >= r.start, value + carried * F.pow(F.lit(r.decay), offset(r) + 1))
-    return out.withColumns(final).drop(*local)
+    return out.withColumns(final).drop(*local, *names)
