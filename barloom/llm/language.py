@@ -27,12 +27,13 @@ from barloom.llm.common import docs_of, fold, slices, texts_of
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3, 4), 0.5
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def words_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Lower-case words of letters of all texts, and each text's bounds in them."""
-    split = [NOT_LETTERS.sub(" ", t.lower()).split() for t in texts]
+    """Lower-case words of letters of all texts, and each text's bounds in them; marks without any letter are no words."""
+    split = [NOT_LETTERS.sub(" ", t.lower()).split() if LETTER.search(t) else [] for t in texts]
     return [w for s in split for w in s], np.cumsum([0, *map(len, split)])
 
 

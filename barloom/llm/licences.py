@@ -178,7 +178,7 @@ def licences(docs: DataFrame, path, templates=TEMPLATES) -> DataFrame:
     own = written(scanned(files, templates), "licences").withColumn("dir", parent("path"))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(NAMED)
     texts = own.where(F.col("own_licence").isNotNull() & (named | (F.col("whole_cosine") >= WHOLE)))
-    best = F.max(F.struct(F.greatest("whole_cosine", "own_cosine").alias("cosine"), F.col("own_licence").alias("found")))
+    best = F.min(F.struct((-F.greatest("whole_cosine", "own_cosine")).alias("against"), F.col("own_licence").alias("found")))  # ties: first by name
     of_dir = texts.groupBy(F.col("dir").alias("ancestor")).agg(best["found"].alias("found"))
     dirs = own.select("dir").distinct().withColumn("ancestor", F.explode(ancestors("dir")))
     nearest = F.max(F.struct(F.length("ancestor").alias("depth"), F.col("ancestor"), F.col("found")))

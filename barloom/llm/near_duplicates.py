@@ -279,5 +279,7 @@ def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of every group of near copies, the one with the smallest id; all columns of ``docs``."""
     found = joined(docs, threshold)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.withColumn("kept_class", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "kept_class"])
-    return once.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").drop("kept_class")
+    text_key = max(docs.columns, key=len) + "_key"  # a name that no column has
+    once = docs.withColumn(text_key, F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", text_key])
+    keep = keep.withColumnRenamed("kept_id", text_key + "_id")
+    return once.join(keep, F.col("doc_id").eqNullSafe(F.col(text_key + "_id")), "left_semi").drop(text_key)

@@ -8,7 +8,9 @@ ids that are still needed, so a task sends at most k rows and its ties for each
 
 Rows with a null or non-finite component, a null vector or a null id take no part. Vectors of other
 lengths than a query's are not its candidates. Rows that share an id are each other's "own" row.
-Fewer than k candidates: all of them. Scores must fit a 64-bit integer.
+Fewer than k candidates: all of them. Rows with a component so great that a score could leave 64 bits
+(length * component**2 >= 2**62 after scaling) take no part either. Other columns, of whatever name, are
+left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ HITS = "qno int, vec_id long, score long"
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """vec_id and the integer components of every usable vector."""
     x = F.col("embedding").cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    great = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(x), F.lit(1)))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * F.lit(float(scale))) < great - 1))
     whole = F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("x")
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite
     return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), whole)

@@ -266,3 +266,46 @@ def test_hard_negatives_on_small_tables(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 2, 65536, 32768)]
     same = [(0, [1.0], 1, 0), (0, [1.0], 1, 0), (5, [0.5], 2, 0)]  # rows of one id are not partners
     assert hard_negatives.hard_negatives(vectors(spark, same), anchor).count() == 0
+
+
+# --- rules of the earlier operators ---
+
+
+def test_marks_without_a_letter_have_no_language():
+    from barloom.llm.language import words_of
+
+    words, ends = words_of(["́̂ 12", "éte", ""])
+    assert words == ["éte"] and ends.tolist() == [0, 0, 1, 1]
+
+
+def test_top_k_leaves_huge_components_out(spark):
+    from barloom.llm import topk
+
+    rows = [(0, [1.0, 2.0]), (1, [1e300, 0.0]), (2, [3.0, -1.0]), (3, [2.0**40, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)), F.col("vec_id") == 0)
+    assert [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()] == [(0, 1, 2, 64 * 64)]
+
+
+def test_first_of_groups_keeps_columns_of_any_name(spark):
+    from barloom.llm.near_duplicates import first_of_groups
+
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "a", 1, 1), (2, text, "b", 2, 2), (3, "other words", "c", 3, 3)], "doc_id long, text string, kept_class string, kept_id int, group_id int")
+    got = first_of_groups(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.kept_class) for r in got.collect()) == [(1, "a"), (3, "c")]
+
+
+def test_start_sample_and_head_do_not_depend_on_partitions(spark):
+    from barloom.llm import hidden_markov
+
+    counts = spark.createDataFrame([(bytearray(f"w{i:05d}".encode()), 1 + i % 700) for i in range(3000)], "word binary, c long")
+    heads = []
+    for parts in (1, 7):
+        hidden_markov_head, hidden_markov.HEAD = hidden_markov.HEAD, 100
+        try:
+            heads.append(hidden_markov.lexicon(counts.repartition(parts), 10))
+        finally:
+            hidden_markov.HEAD = hidden_markov_head
+    a, b = (vars(h) for h in heads)
+    assert str(a) == str(b)
