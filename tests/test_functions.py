@@ -169,12 +169,16 @@ def test_action_values(spark):
 def test_filing_tags_search_the_whole_text(spark):
     from barloom.operators.fundamentals import parse_filings
 
-    doc = "x" * 50_000 + (
+    declared = '<doc xmlns:in-bse-fin="http://x/in-bse-fin/2020">'
+    items = "x" * 50_000 + (
         "<in-bse-fin:PaidUpValueOfEquityShareCapital>0</in-bse-fin:PaidUpValueOfEquityShareCapital>"
         '<in-bse-fin:PaidUpValueOfEquityShareCapital c="1">1,000</in-bse-fin:PaidUpValueOfEquityShareCapital>'
         "<in-bse-fin:FaceValueOfEquityShareCapital>10</in-bse-fin:FaceValueOfEquityShareCapital>"
         "<in-bse-fin:BorrowingsCurrent>7e2</in-bse-fin:BorrowingsCurrent><other:Assets>5</other:Assets>"
     )
-    r = parse_filings(spark.createDataFrame([(doc,)], "text string")).first()
+    docs = [(declared + items,), (items,), (items + declared,), (declared.replace("http://x/in-bse-fin/2020", "urn:other") + items,), (None,)]
+    r, *others = parse_filings(spark.createDataFrame(docs, "text string").coalesce(1)).collect()
     assert (r.shares_outstanding, r.total_debt, r.total_assets) == (100.0, 700.0, None)
     assert "total_assets" in r.unmapped_items and "total_debt" not in r.unmapped_items
+    for o in others:  # nothing unless the standard's address is declared near the begin
+        assert o.shares_outstanding is None and o.total_debt is None and len(o.unmapped_items) == 8
