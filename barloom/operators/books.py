@@ -251,25 +251,51 @@ def missing_days(calendar: DataFrame, processed: DataFrame, start: Column, end:
     return calendar.filter(c("date").between(start, end)).join(processed.select("date"), "date", "left_anti")
 
 
+# Least days and greatest shortfall in points of the directional gate.
+DIRECTIONAL_DAYS, DIRECTIONAL_LIMIT = 20, 15.0
+
+
+def directional(nav: DataFrame, least_days: int = DIRECTIONAL_DAYS, limit: float = DIRECTIONAL_LIMIT) -> DataFrame:
+    """Status of the soft gate: the book's growth not more than ``limit`` points below the index, one row."""
+    both = nav.filter(c("benchmark").isNotNull())
+    grown = lambda x: F.when(F.min_by(x, "date") > 0, F.try_divide(F.max_by(x, "date"), F.min_by(x, "date")) * 100 - 100).otherwise(0.0)
+    gap = grown("equity") - grown("benchmark")
+    status = F.when(F.count("*") < least_days, "insufficient_data").when(gap < -limit, "fail").otherwise("pass")
+    return both.agg(status.alias("directional"))
+
+
 def scorecard(clock: DataFrame, missing: DataFrame, ledger_total: DataFrame, stops: DataFrame, drawdown: DataFrame,
-              max_stops: int = 5, max_dd_pct: float = 23.1, months_needed: int = 6) -> DataFrame:
-    """Gates and kill rules folded into one verdict row."""
+              nav: DataFrame, max_stops: int = 5, max_dd_pct: float = 23.1, months_needed: int = 6) -> DataFrame:
+    """Gates and kill rules folded into one verdict row.
+
+    Fidelity, operation and cost are hard gates, direction a soft one that only reports.  Fidelity is
+    failed for good by one failed check and so bars graduation; it puts the book at risk only while the
+    newest check is the failed one.  A gate without data passes nothing and fails nothing.
+    """
     gaps = missing.agg(F.count("*")).scalar()
-    band = ledger_total.select("within_band").scalar()
+    band = ledger_total.agg(F.max("within_band")).scalar()
     worst = stops.agg(F.coalesce(F.max("stops"), F.lit(0))).scalar()
     dd = drawdown.select("max_drawdown").scalar()
+
+    def status(passed: Column) -> Column:
+        return F.when(passed.isNull(), "insufficient_data").when(passed, "pass").otherwise("fail")
+
     df = clock.withColumns(
         {
-            "complete": gaps == 0,
-            "within_band": band,
-            "killed": (worst >= max_stops) | (dd * 100 > max_dd_pct),
+            "fidelity": status(F.when(c("clean").isNotNull(), c("reset_date").isNull())),
+            "operational": status(gaps == 0),
+            "cost": status(band),
+            "directional": directional(nav).scalar(),
+            "killed": F.coalesce(worst >= max_stops, F.lit(False)) | F.coalesce(dd * 100 > max_dd_pct, F.lit(False)),
         }
     )
+    failing_now = c("reset_date").isNotNull() & (c("clean") == 0)
+    hard_pass = (c("fidelity") == "pass") & (c("operational") == "pass") & (c("cost") == "pass")
     verdict = (
         F.when(c("killed"), "HALT")
-        .when(~c("complete") | ~c("within_band"), "AT RISK")
-        .when(c("clean") >= months_needed, "GRADUATED")
-        .when(c("reset_date").isNotNull() & (c("clean") == 0), "CLOCK RESET")
+        .when(failing_now | (c("operational") == "fail") | (c("cost") == "fail"), "AT RISK")
+        .when((c("clean") >= months_needed) & hard_pass, "GRADUATED")
+        .when(c("reset_date").isNotNull(), "CLOCK RESET")
         .otherwise("ON TRACK")
     )
     return df.withColumn("verdict", verdict)

@@ -404,14 +404,23 @@ checks = lambda v: v.nav.groupBy(F.trunc("date", "month").alias("date")).agg((F.
 query("w39_clean_clock", "nav", f"WITH k AS ({CHECKS}), r AS (SELECT max(date) FILTER (WHERE NOT passed) AS d FROM k) SELECT count(*) FILTER (WHERE passed AND (d IS NULL OR date > d)) AS clean, CAST(any_value(d) AS VARCHAR) AS reset_date FROM k, r")(
     lambda v: books.clean_clock(checks(v)))
 STOPS = "SELECT decision_date, count(*) FILTER (WHERE reason = 'catastrophic_stop') AS stops FROM bfills GROUP BY 1"
-query("a39_scorecard", "nav navr bfills ledger", f"""
-WITH k AS ({CHECKS}), r AS (SELECT max(date) FILTER (WHERE NOT passed) AS d FROM k), q AS (SELECT count(*) FILTER (WHERE passed AND (d IS NULL OR date > d)) AS clean, any_value(d) AS reset_date FROM k, r),
-g AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT date FROM bfills) WHERE date NOT IN (SELECT date FROM nav) AND date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31') = 0 AS complete, (SELECT within FROM (SELECT realized_cost <= pess AS within FROM ledger WHERE decision_date IS NULL)) AS within_band,
- (SELECT max(stops) FROM ({STOPS})) >= 100000 OR (SELECT -min(dd) FROM navr)*100 > 23.1 AS killed FROM q)
-SELECT clean, CAST(reset_date AS VARCHAR) AS reset_date, complete, within_band, killed, CASE WHEN killed THEN 'HALT' WHEN NOT complete OR NOT within_band THEN 'AT RISK' WHEN clean >= 6 THEN 'GRADUATED' WHEN reset_date IS NOT NULL AND clean = 0 THEN 'CLOCK RESET' ELSE 'ON TRACK' END AS verdict FROM g""")(
-    lambda v: books.scorecard(books.clean_clock(checks(v)), books.missing_days(v.fills.select("date").distinct(), v.nav, F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date")),
-                              books.cost_ledger(bfills(v)).filter("decision_date IS NULL"), bfills(v).groupBy("decision_date").agg(F.sum((c("reason") == "catastrophic_stop").cast("int")).alias("stops")),
-                              metrics.max_drawdown(v.nav), max_stops=100000))
+CARD = """
+WITH k AS ({checks}), r AS (SELECT max(date) FILTER (WHERE NOT passed) AS d FROM k), q AS (SELECT count(*) FILTER (WHERE passed AND (d IS NULL OR date > d)) AS clean, any_value(d) AS reset_date FROM k, r),
+g AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT date FROM bfills) WHERE date NOT IN (SELECT date FROM nav) AND date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31') = 0 AS complete, (SELECT within FROM (SELECT realized_cost <= pess AS within FROM ledger WHERE decision_date IS NULL)) AS band,
+ (SELECT max(stops) FROM ({stops})) >= 1000000 OR (SELECT -min(dd) FROM navr)*100 > {dd} AS killed,
+ (SELECT (arg_max(equity, date)/arg_min(equity, date) - arg_max(benchmark, date)/arg_min(benchmark, date))*100 FROM nav WHERE benchmark IS NOT NULL) AS gap FROM q)
+SELECT clean, CAST(reset_date AS VARCHAR) AS reset_date, CASE WHEN reset_date IS NULL THEN 'pass' ELSE 'fail' END AS fidelity, CASE WHEN complete THEN 'pass' ELSE 'fail' END AS operational, CASE WHEN band THEN 'pass' ELSE 'fail' END AS cost,
+ CASE WHEN gap < -15 THEN 'fail' ELSE 'pass' END AS directional, killed, CASE WHEN killed THEN 'HALT' WHEN NOT complete OR NOT band OR (reset_date IS NOT NULL AND clean = 0) THEN 'AT RISK' WHEN clean >= 6 AND reset_date IS NULL THEN 'GRADUATED' WHEN reset_date IS NOT NULL THEN 'CLOCK RESET' ELSE 'ON TRACK' END AS verdict FROM g"""
+
+
+def card(v, dd):
+    missing = books.missing_days(v.fills.select("date").distinct(), v.nav, F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"))
+    stops = bfills(v).groupBy("decision_date").agg(F.sum((c("reason") == "catastrophic_stop").cast("int")).alias("stops"))
+    return books.scorecard(books.clean_clock(checks(v)), missing, books.cost_ledger(bfills(v)).filter("decision_date IS NULL"), stops, metrics.max_drawdown(v.nav), v.nav, max_stops=1_000_000, max_dd_pct=dd)
+
+
+for name, dd in (("a39_scorecard", 23.1), ("a39_scorecard_alive", 100.0)):
+    query(name, "nav navr bfills ledger", CARD.format(checks=CHECKS, stops=STOPS, dd=dd))(lambda v, dd=dd: card(v, dd))
 
 # --- checks ----------------------------------------------------------------------------------
 query("q13_source_comparison", "bars", f"""

@@ -275,3 +275,24 @@ def test_clean_up_touches_only_old_partitions(spark, tmp_path):
     left = spark.read.parquet(path)
     assert sorted((r.timeframe, (today - r.date).days) for r in left.filter("symbol = 1").collect()) == [("D", 0), ("D", 90), ("W", 0), ("W", 90), ("W", 91), ("W", 200), ("W", 365), ("W", 730)]
     assert young() == files != set()
+
+
+@pytest.mark.parametrize(
+    "passed, gaps, band, stops, verdict",
+    [
+        ([True] * 6, 0, True, 0, "GRADUATED"), ([False] + [True] * 7, 0, True, 0, "CLOCK RESET"), ([True] * 6 + [False], 0, True, 0, "AT RISK"),
+        ([True] * 7, 1, True, 0, "AT RISK"), ([True] * 7, 0, False, 0, "AT RISK"), ([True] * 7, 0, None, 0, "ON TRACK"), ([True] * 7, 0, True, 5, "HALT"),
+        ([True] * 3, 0, True, 0, "ON TRACK"),
+    ],
+)
+def test_scorecard_verdicts(spark, passed, gaps, band, stops, verdict):
+    from barloom.operators import books
+
+    month = lambda i: D(2024, 1 + i, 28)
+    clock = books.clean_clock(spark.createDataFrame([(month(i), p) for i, p in enumerate(passed)], "date date, passed boolean"))
+    missing = spark.createDataFrame([(month(i),) for i in range(gaps)], "date date")
+    ledger = spark.createDataFrame([(band,)] if band is not None else [], "within_band boolean")
+    stopped = spark.createDataFrame([(month(0), stops)], "decision_date date, stops long")
+    nav = spark.createDataFrame([(D(2024, 1, 1), 100.0, 100.0), (D(2024, 2, 1), 80.0, 120.0)], "date date, equity double, benchmark double")
+    row = books.scorecard(clock, missing, ledger, stopped, spark.createDataFrame([(0.1,)], "max_drawdown double"), nav).first()
+    assert row.verdict == verdict and row.directional == "insufficient_data"
