@@ -220,10 +220,11 @@ ORDER BY {order}, symbol OFFSET 2 LIMIT 5""".replace("{rounded", "{rounded"))(
 CHG = f"""SELECT n.date, n.pd, n.symbol, CASE WHEN NOT coalesce(p.bull, false) AND coalesce(n.bull, false) THEN 'newly_bullish'
  WHEN coalesce(p.bull, false) AND NOT coalesce(n.bull, false) THEN 'turned_bearish' WHEN n.conf > p.conf THEN 'confluence_improved'
  WHEN n.conf < p.conf THEN 'confluence_dropped' END AS change_type, p.score AS prev_score, n.score AS curr_score, n.close AS close_price, n.chg AS price_change_pct
-FROM (SELECT * FROM pd JOIN cal USING (date)) n JOIN pd p ON p.symbol = n.symbol AND p.date = n.pd"""
-CHG_CTE = f"""pd AS (SELECT symbol, date, count(*) FILTER (WHERE is_bullish) AS conf, bool_or(is_bullish) FILTER (WHERE {D}) AS bull,
+FROM now n JOIN pd p ON p.symbol = n.symbol AND p.date = n.pd"""
+CHG_CTE = f"""pd AS MATERIALIZED (SELECT symbol, date, count(*) FILTER (WHERE is_bullish) AS conf, bool_or(is_bullish) FILTER (WHERE {D}) AS bull,
  max(entry_score) FILTER (WHERE {D}) AS score, max(close) FILTER (WHERE {D}) AS close, max(price_change_pct) FILTER (WHERE {D}) AS chg FROM signals GROUP BY 1, 2),
-cal AS (SELECT date, lag(date) OVER (ORDER BY date) AS pd FROM (SELECT DISTINCT date FROM signals WHERE {D}))"""
+cal AS MATERIALIZED (SELECT date, lag(date) OVER (ORDER BY date) AS pd FROM (SELECT DISTINCT date FROM signals WHERE {D})),
+now AS MATERIALIZED (SELECT pd.*, cal.pd FROM pd JOIN cal ON cal.date = pd.date WHERE cal.pd IS NOT NULL)"""
 CHG_OUT = f"{DATE}, CAST(pd AS VARCHAR) AS prev_date, symbol, change_type, {rounded('prev_score curr_score close_price price_change_pct')}"
 query("j24_signal_changes", "signals", f"WITH {CHG_CTE} SELECT {CHG_OUT} FROM ({CHG}) WHERE change_type IS NOT NULL")(
     lambda v: dashboard.signal_changes(v.signals))
