@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import docs_of, fold, sigmoid, slices, texts_of
+from barloom.llm.common import docs_of, fold, sigmoid, slices, texts_of, written
 
 DECAY = 0.6
 WINDOW, STEP = 20, 10  # characters of a unit's window
@@ -313,13 +313,15 @@ def fit(docs: DataFrame, labels: DataFrame, training) -> Model | None:
             at = [i for i, d in enumerate(ids_here) if d in ids.value]
             texts = texts_of(batch)
             yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([ids_here[i] for i in at], pa.int64()),
                 "toxic": pa.array([ids.value[ids_here[i]] for i in at], pa.int32()),
                 "units": pa.array([sorted({u for s in text_units(texts[i]) for u in s}) for i in at], pa.list_(pa.string())),
             })
 
     texts: tuple[list, list] = [], []
     same: dict[str, str] = {}  # one object for each distinct unit
-    for r in docs_of(docs).mapInArrow(split, "toxic int, units array<string>").toLocalIterator():
+    sampled = written(docs_of(docs).mapInArrow(split, "doc_id long, toxic int, units array<string>"), "units")  # one job for all texts
+    for r in sampled.orderBy("doc_id", "toxic", "units").coalesce(1).toLocalIterator():  # the sample alone, in one order whatever the partitions
         texts[r["toxic"]].append([same.setdefault(u, u) for u in r["units"]])
     return train(texts[1], texts[0])
 
