@@ -59,6 +59,4 @@ def asof_join(
     )
     if unique_left:
         return found
-    if not keys:
-        return left.join(F.broadcast(found), [left_on], "left")
     return left.join(found, [*keys, left_on], "left")
