@@ -1,23 +1,27 @@
 """Jaccard join of word 5-grams: MinHash prefix forest, then exact verification.
 
-Equal texts form one class; only one of each goes on. Every text has ``TREES`` labels of up to
-``DEPTH`` MinHash values. A tree is the sorted list of its labels, and texts that agree on the first k
-values of a label lie together. The prefix k is shortened from DEPTH until a pair at the threshold
-agrees in some tree with probability ``RECALL`` at least (4 values of 16 trees: 0.9998; the depth
-follows from the threshold alone, not from the data). Runs of equal
-prefixes give candidates; a pair is dropped where its whole signatures agree far less than the
+Equal texts form one class; only one of each goes on. Every text has ``TREES`` labels of ``DEPTH``
+MinHash values of their own. A tree is the sorted list of its labels over all texts, dealt to tasks by
+ranges, so that a trie node of depth k is a run of labels with the same first k values; a scan of the
+neighbours gives each label the deepest node that it shares. Matching starts at whole labels. Then
+prefixes are shortened, one level of one tree at a time, always where the trie has the fewest new
+pairs for what the step adds to the recall, until a pair at the threshold shares a node in some tree
+with probability ``RECALL`` at least. So the depths follow the data: trees whose upper nodes are full
+(boilerplate, one hot prefix) stay deep and the others make up for them. Texts in one node are
+candidates; a pair is dropped where its signatures agree far less than the
 threshold allows (under 0.45 of 64 values: 2 in 10 billion pairs of similarity 0.8). Connected
 candidates are a group, and all pairs inside a group are verified on whole shingle sets, in blocks:
 a group of n texts sends each text n / BLOCK times, and only counts and a spanning forest come back.
 
 Words are white-space separated, in lower case; a text of fewer than five words has one shingle,
 all of them. Texts without words link to nothing. Rows with one id and different texts are different
-documents; repeated rows are copies. Null texts are empty. Other columns are left out.
+documents; repeated rows are copies. Null texts are empty, texts of any length are read whole. Other
+columns, whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +32,33 @@ from barloom.llm.common import WordHashes, docs_of, slices, texts_of, written
 from barloom.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.999
-VALUES = 64  # MinHash values; tree t has values t, t + TREES, ... (DEPTH of them wrap around)
-LEAST_AGREEMENT = 0.45
+TREES, DEPTH, RECALL = 16, 6, 0.9997
+SHALLOWEST = 2  # prefixes are not shortened beyond this many values
+VALUES = TREES * DEPTH  # MinHash values; tree t has values t, t + TREES, ...
+COMPARED, LEAST_AGREEMENT = 64, 0.45  # of these values so many agree in a candidate pair
 BLOCK = 2048  # texts of a block; runs beyond it are linked without a look at signatures
 BUNDLE_ROWS = 20_000
+LABEL = 4 * (DEPTH + 1)  # bytes of a label
 BROADCAST_ROWS = 1_000_000  # class hashes that may be broadcast: 16 bytes each
 
 
-def prefix_depth(threshold: float = THRESHOLD, target: float = RECALL) -> int:
-    """Shorten the matched prefix until a pair at the threshold is found often enough."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
-        depth -= 1
-    return depth
+def expected_recall(depths: Sequence[int], threshold: float) -> float:
+    """Probability that a pair of this similarity shares a node of some tree."""
+    return 1 - float(np.prod([1 - threshold**d for d in depths]))
+
+
+def shortened(pairs: dict[tuple[int, int], float], threshold: float = THRESHOLD, target: float = RECALL) -> list[int]:
+    """The matched prefix of each tree; ``pairs`` counts the pairs in nodes of (tree, depth)."""
+    depths = [DEPTH] * TREES
+
+    def price(t: int) -> tuple[float, int, int]:
+        d = depths[t]
+        gain = np.log(1 - threshold**d) - np.log(1 - threshold ** (d - 1))
+        return (pairs.get((t, d - 1), 0.0) - pairs.get((t, d), 0.0) + 1) / gain, -d, t
+
+    while expected_recall(depths, threshold) < target and max(depths) > SHALLOWEST:
+        depths[min((t for t in range(TREES) if depths[t] > SHALLOWEST), key=price)] -= 1
+    return depths
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -89,22 +106,69 @@ def class_of(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("cls")
 
 
-def labels(texts: DataFrame, depth: int) -> DataFrame:
-    """rid, run: the hash of each tree's prefix."""
+def labels(texts: DataFrame) -> DataFrame:
+    """rid, label: for each tree its number and its MinHash values, big-endian, so that bytes sort as values do."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
-            runs = np.zeros((len(sigs), TREES), np.uint64)
-            for t in range(TREES):
-                h = np.full(len(sigs), t + 1, np.uint64)
-                for k in range(depth):
-                    h = (h ^ sigs[:, (t + k * TREES) % VALUES]) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(31)
-                runs[:, t] = h
-            yield pa.RecordBatch.from_pydict({"rid": np.repeat(batch.column("rid").to_numpy(), TREES), "run": runs.ravel().view(np.int64)})
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, DEPTH, TREES)
+            out = np.empty((len(sigs), TREES, DEPTH + 1), ">u4")
+            out[:, :, 0] = np.arange(TREES)
+            out[:, :, 1:] = sigs.transpose(0, 2, 1)
+            body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LABEL), len(sigs) * TREES, [None, pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rid").to_numpy(), TREES)), body.cast(pa.binary())], ["rid", "label"])
+
+    return texts.select("rid", "sig").mapInArrow(cut, "rid long, label binary")
+
+
+def tries(texts: DataFrame) -> DataFrame:
+    """rid, label, deep: the labels that share SHALLOWEST values or more with a neighbour in the sorted trees.
+
+    ``deep`` is the longest prefix shared. The first and the last label of a task's range may share one
+    with another task's and pass as wholly shared; the sizes of nodes decide about them.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, rows, left = np.zeros(0, np.int64), np.zeros((0, DEPTH + 1), ">u4"), np.zeros(0, np.int64)
+
+        def kept(upto: int, right: np.ndarray) -> pa.RecordBatch:
+            deep = np.maximum(left[:upto], right)
+            at = np.flatnonzero(deep >= SHALLOWEST)
+            return pa.RecordBatch.from_pydict({
+                "rid": pa.array(rid[at], pa.int64()), "label": pa.array([r.tobytes() for r in rows[at].astype(">u4")], pa.binary()),
+                "deep": pa.array(deep[at], pa.int32())})
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            new = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH + 1)
+            first = not len(rid)
+            rid, rows = np.append(rid, batch.column("rid").to_numpy()), np.concatenate([rows, new])
+            shared = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1) - 1  # the tree's number does not count
+            left = np.concatenate([[DEPTH] if first else left, shared])
+            yield kept(len(rid) - 1, shared)
+            rid, rows, left = rid[-1:], rows[-1:], left[-1:]
+        if len(rid):
+            yield kept(1, np.array([DEPTH]))
+
+    ordered = labels(texts).repartitionByRange("label", "rid").sortWithinPartitions("label", "rid")
+    return written(ordered.mapInArrow(scan, "rid long, label binary, deep int"), "tries")
 
-    return texts.select("rid", "sig").mapInArrow(cut, "rid long, run long")
+
+def node_pairs(trie: DataFrame) -> dict[tuple[int, int], float]:
+    """Pairs in the nodes of each (tree, depth): TREES * DEPTH numbers."""
+    level = F.explode(F.sequence(F.lit(SHALLOWEST), "deep")).alias("depth")
+    nodes = trie.select("label", level).groupBy("depth", F.expr("substring(label, 1, 4 + 4 * depth)").alias("node")).agg(F.count("*").cast("double").alias("n"))
+    tree = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("int").alias("tree")
+    sums = nodes.groupBy(tree, "depth").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"))
+    return {(r["tree"], r["depth"]): r["pairs"] for r in sums.collect()}
+
+
+def matched(trie: DataFrame, depths: Sequence[int]) -> DataFrame:
+    """rid, run: the hash of the node in which each label lies at its tree's depth."""
+    taken = F.array(*map(F.lit, depths))[F.conv(F.hex(F.substring("label", 1, 4)), 16, 10).cast("int")]
+    rows = trie.withColumn("depth", taken).where("deep >= depth")
+    return rows.select("rid", F.expr("xxhash64(substring(label, 1, 4 + 4 * depth))").alias("run"))
 
 
 def bundled(rows: DataFrame, keys: list[str], per_bundle: int) -> DataFrame:
@@ -130,18 +194,22 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def candidate_edges(texts: DataFrame, depth: int) -> DataFrame:
-    """A spanning forest of the texts that share a run and whose signatures agree enough."""
-    runs = written(labels(texts, depth), "labels")
+def candidate_edges(texts: DataFrame, depth: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """A spanning forest of the texts that share a node and whose signatures agree enough.
+
+    The matched prefixes are shortened to the target recall, or all of the given ``depth``.
+    """
+    trie = tries(texts)
+    runs = matched(trie, [depth] * TREES if depth else shortened(node_pairs(trie), threshold))
     sizes = runs.groupBy("run").agg(F.count("*").alias("n"), F.min("rid").alias("head")).where("n > 1")
     together = written(runs.join(sizes, "run"), "runs")
     stars = together.where(F.col("n") > BLOCK).select(F.col("rid").alias("a"), F.col("head").alias("b"))
-    small = together.where(F.col("n") <= BLOCK).select("run", "rid").join(texts.select("rid", "sig"), "rid")
+    small = together.where(F.col("n") <= BLOCK).select("run", "rid").join(texts.select("rid", F.substring("sig", 1, 4 * COMPARED).alias("sig")), "rid")
 
     def compare(table):
         run, rid = table.column("run").to_numpy(), table.column("rid").to_numpy()
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES)
-        least, a, b = int(np.ceil(LEAST_AGREEMENT * VALUES)), [], []
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COMPARED)
+        least, a, b = int(np.ceil(LEAST_AGREEMENT * COMPARED)), [], []
         order = np.argsort(run, kind="stable")
         cuts = np.flatnonzero(np.diff(run[order])) + 1
         begins, ends = np.append(0, cuts), np.append(cuts, len(order))
@@ -154,7 +222,7 @@ def candidate_edges(texts: DataFrame, depth: int) -> DataFrame:
             at = order[begins[k]:ends[k]]
             at = at[np.argsort(rid[at])]
             agree = np.zeros((len(at), len(at)), np.uint8)
-            for v in range(VALUES):
+            for v in range(COMPARED):
                 agree += sigs[at, v][:, None] == sigs[at, v][None, :]
             root = roots(agree >= least)
             a.append(rid[at])
@@ -256,7 +324,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = marked.groupBy("cls").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     texts = classes.where("sig IS NOT NULL")
-    near = components(candidate_edges(texts, prefix_depth(threshold)))
+    near = components(candidate_edges(texts, threshold=threshold))
     members = written(near.select(F.col("node").alias("rid"), "root").join(classes.select("rid", "cls", "rep_id", "copies"), "rid"), "groups")
     sets = shingle_sets(docs, members.select("rid", "cls", "rep_id", "copies"))
     found = verified(members.select("rid", "root"), sets, threshold)

@@ -237,6 +237,57 @@ def test_candidates_keep_pairs_of_unlucky_signatures(spark):
     assert {r["a"] for r in edges} | {r["b"] for r in edges} == {0, 1, 2}
 
 
+def test_trie_scan_equals_brute_force_over_any_cuts(spark):
+    """Labels of few values in many small ranges: every pair in a node of a tree is found, and no other label passes but at borders."""
+    rng = np.random.default_rng(4)
+    n = near_duplicates.VALUES
+    sigs = rng.integers(0, 3, (60, n)).astype(np.uint32)
+    texts = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "rid long, sig binary")
+    trie = near_duplicates.tries(texts)
+    for depth in (2, 3, 5):
+        rows = near_duplicates.matched(trie, [depth] * near_duplicates.TREES).collect()
+        of_run = {}
+        for r in rows:
+            of_run.setdefault(r["run"], set()).add(r["rid"])
+        got = {frozenset(v) for v in of_run.values() if len(v) > 1}
+        want = {}
+        for t in range(near_duplicates.TREES):
+            for i, s in enumerate(sigs):
+                want.setdefault((t, *s[t::near_duplicates.TREES][:depth]), set()).add(i)
+        want = {frozenset(v) for v in want.values() if len(v) > 1}
+        assert got == want
+    pairs = near_duplicates.node_pairs(trie)
+    for (t, d), x in pairs.items():
+        nodes = np.unique(sigs[:, t::near_duplicates.TREES][:, :d], axis=0, return_counts=True)[1]
+        assert x == (nodes * (nodes - 1) // 2).sum()
+
+
+def test_prefixes_shorten_where_the_trie_is_empty():
+    full = {(t, d): 10.0 ** (9 - d) for t in range(8) for d in range(2, near_duplicates.DEPTH + 1)}  # eight hot trees
+    depths = near_duplicates.shortened(full)
+    assert near_duplicates.expected_recall(depths, 0.8) >= near_duplicates.RECALL
+    assert depths[:8] == [near_duplicates.DEPTH] * 8 and near_duplicates.SHALLOWEST == min(depths[8:])
+    assert near_duplicates.shortened({}, threshold=0.99) == [near_duplicates.DEPTH] * near_duplicates.TREES
+
+
+def test_forest_recall_against_brute_force(spark):
+    """Pairs just over the threshold: whole links at the depths that the data choose."""
+    rng = random.Random(8)
+    texts, near = [], set()
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(220)]
+        other = list(words)
+        for at in rng.sample(range(0, 215, 10), 4):  # 4 changed words: Jaccard 0.82 to 0.84
+            other[at] = f"x{rng.randrange(10**6)}"
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = ({tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            near |= {2 * k, 2 * k + 1}
+    got = near_duplicates.joined(prepared(spark).createDataFrame(texts, "doc_id long, text string"))
+    linked = {r["doc_id"] for r in got.where("n_links > 0").collect()}
+    assert len(near) > 250 and linked <= near and len(linked) >= 0.99 * len(near)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 120)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
