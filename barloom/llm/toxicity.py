@@ -7,15 +7,19 @@ all subsequences of three characters that both hold and that span at most 8 char
 ``DECAY`` to the power of the length they span; it is normalised. So letters between an insult's
 letters lower it but little, up to two in each gap; three or more in every gap leave no weight.
 
-Training takes a bounded sample of labelled texts, with all units of each. Landmarks are units that stand out in toxic
-texts and clean units, among them the most similar ones. Nystroem features of a unit are its kernels
+Training takes at most SAMPLE_DOCS labelled texts of each label. Units that toxic texts hold far beyond
+chance are surely loud, also where a few clean texts quote them or are labelled wrong; such clean texts
+are set aside. Landmarks are loud units and clean units, among them the most similar ones. At most
+SAMPLE_UNITS distinct units of each label reach the machine. Nystroem features of a unit are its kernels
 with the landmarks, whitened. A linear machine learns from witnesses: the highest unit of each toxic
 text against all units of clean ones, chosen again in each round (multiple-instance learning). A
 sentence scores as its highest unit, a text as its highest sentence; a logistic curve makes it 0..1.
 
 The learned function of a unit is a sum over its subsequences, so it is folded into one table of
 weights by subsequence, small enough to broadcast. Null and empty texts have the lowest score.
-Without labels of both kinds all scores are 0.
+Without labels of both kinds, or a unit more frequent in toxic texts, all scores are 0. Characters
+other than a-z and 0-9 share 26 codes. Whole texts are read, whatever their length; repeated rows are
+rows of their own, and an empty table gives an empty result. Of other columns only ``kept`` keeps any.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ LANDMARKS = 256
 SAMPLE_DOCS = 2000  # labelled documents of each label, at most, that training reads
 SAMPLE_UNITS = 16_000  # distinct units that the machine sees of each label, at most
 ROUNDS = 4
+LOUD = 9  # times that a loud unit is more frequent in toxic than in clean texts, at least
 LETTERS = 64  # codes of characters
 SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:[\p{P}\p{S}]+[\p{L}\p{M}\p{N}]+)*")
@@ -210,20 +215,45 @@ def kernels(words: list[str], landmarks: list[str]) -> tuple[np.ndarray, np.ndar
     return out, np.array(list(columns)), dense[1:]
 
 
+def loud_units(in_toxic: Counter, in_clean: Counter, toxic: int, clean: int) -> dict[str, int]:
+    """Units whose texts are toxic far more often than chance would have it, the most frequent first.
+
+    By chance no unit would reach its share of toxic texts (Chernoff's bound on the binomial tail
+    under one in the number of units), and its rate in toxic texts is LOUD times that in clean ones,
+    so some wrong labels or quotes in clean texts do not silence it. Where there is none, the five
+    units with the highest smoothed odds stand in.
+    """
+    share = toxic / (toxic + clean)
+    loud, odds = [], {}
+    for u, n in in_toxic.items():
+        other = in_clean[u]
+        if n * clean < LOUD * other * toxic:
+            if n * clean > other * toxic:
+                odds[u] = (n + share) / (n + other + 1)
+            continue
+        odds[u] = (n + share) / (n + other + 1)
+        at = n / (n + other)
+        surprise = n * np.log(at / share) + (other * np.log((1 - at) / (1 - share)) if other else 0.0)
+        if surprise > np.log(len(in_toxic)):
+            loud.append(u)
+    if not loud:
+        loud = sorted(odds, key=lambda u: (-odds[u], -in_toxic[u], u))[:5]
+    return {u: in_toxic[u] for u in sorted(loud, key=lambda u: (-in_toxic[u], u))}
+
+
 def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     """Units of the sampled texts' sentences; all choices are by counts and names, not at random."""
     if not toxic or not clean:
         return None
     in_toxic = Counter(u for t in toxic for u in set(t))
     in_clean = Counter(u for t in clean for u in set(t))
-    share = len(toxic) / (len(toxic) + len(clean))
-    only = {u: n for u, n in in_toxic.items() if not in_clean[u]}
-    # Sure of being loud: so many toxic texts and no clean one would by chance befall no unit.
-    sure = sorted((u for u, n in only.items() if n * np.log(share) < -np.log(len(in_toxic))), key=lambda u: (-only[u], u))
-    if not sure:
-        sure = sorted(only, key=lambda u: (-only[u], u))[:5]
+    sure = loud_units(in_toxic, in_clean, len(toxic), len(clean))
     if not sure:
         return None
+    # Clean texts with a sure unit quote it or are labelled wrong: their units teach neither side.
+    in_clean = Counter(u for t in clean if not any(u in sure for u in t) for u in set(t))
+    sure = list(sure)
+    only = {u: n for u, n in in_toxic.items() if not in_clean[u]}
     common = sorted(in_clean, key=lambda u: (-in_clean[u], u))[:SAMPLE_UNITS // 4]
     rare = sorted(in_clean, key=lambda u: hash_order(u))[:SAMPLE_UNITS * 3 // 4]
     negatives = list(dict.fromkeys([*common, *rare]))
@@ -259,7 +289,7 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
             phi = np.vstack([phi, kernels(loud, landmarks)[0] @ whiten]) if loud else phi
         margin = phi @ w[:-1].astype(np.float32) + w[-1]
         no = np.arange(len(maybe), len(vocabulary))
-        hard = no[margin[no] > -0.6]
+        hard = no[(margin[no] > -0.6)]
         if len(hard):  # clean units that look loud count more in the next round
             no = np.concatenate([no, np.repeat(hard, max(1, len(no) // (2 * len(hard))))])
         witness = np.array([bag[margin[bag].argmax()] for bag in bags])

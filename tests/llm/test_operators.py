@@ -199,6 +199,55 @@ def test_training_reads_all_units_of_long_texts(spark, monkeypatch):
     assert len(toxic) == len(clean) == 6001 and "zorvil" in toxic and "zwick" in clean
 
 
+def test_subsequence_kernel_equals_the_naive_sum():
+    def naive(a, b):
+        def weights(word):
+            marked, out = "<" + word + ">", {}
+            for i in range(len(marked)):
+                for j in range(i + 1, len(marked)):
+                    for k in range(j + 1, min(len(marked), i + 8)):
+                        sub = marked[i] + marked[j] + marked[k]
+                        out[sub] = out.get(sub, 0.0) + toxicity.DECAY ** (k - i - 2)
+            return out
+        x, y = weights(a), weights(b)
+        dot = lambda p, q: sum(v * q.get(s, 0.0) for s, v in p.items())
+        return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+    words = ["grubnax", "grruubnax", "g4ubnax", "aaaaaa", "abc", "zorvil", "abcdefghijklmnopqrst"]
+    got = toxicity.kernels(words, words[:4])[0]
+    want = [[naive(a, b) for b in words[:4]] for a in words]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_wrong_labels_and_quotes_do_not_silence_insults(quoted):
+    """One toxic training text in twenty is labelled clean; or three clean texts quote every insult."""
+    rng = random.Random(17)
+    bad = ["grubnax", "zorvilq", "quodgex", "plimfotz"]
+
+    def text(toxic):
+        words = sentence(rng, 40).split()
+        return " ".join([*words[:7], rng.choice(bad), *words[7:]] if toxic else words)
+
+    cut = lambda t: sorted({u for s in toxicity.text_units(t) for u in s})
+    toxic, clean = [cut(text(True)) for _ in range(200)], [cut(text(False)) for _ in range(800)]
+    if quoted:
+        clean += [cut(" ".join([text(False), *bad])) for _ in range(3)]
+    else:
+        toxic, clean = toxic[:190], clean + toxic[190:]
+    scorer = toxicity.Scorer(toxicity.train(toxic, clean))
+    assert (scorer.scores([text(True) for _ in range(200)]) >= toxicity.CUT).mean() > 0.97
+    assert (scorer.scores([text(False) for _ in range(400)]) >= toxicity.CUT).mean() < 0.02
+
+
+def test_training_without_a_unit_of_toxic_texts_alone():
+    """All units of toxic texts come in clean ones too: the highest odds stand in, or no unit at all."""
+    toxic, clean = [["zorvil", "mira"]] * 4, [["mira"]] * 6 + [["zorvil", "mira"]]
+    model = toxicity.train(toxic, clean)
+    assert model is not None and model.margins(["zorvil"])[0] > model.margins(["mira"])[0]
+    assert toxicity.train([["mira"]], [["mira"]]) is None
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 16)  # groups take several blocks
     rng = random.Random(5)
