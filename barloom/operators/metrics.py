@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -264,15 +263,20 @@ def deflated_sharpe(returns: DataFrame, trials: int, by: Sequence[str] = ("confi
 def overfit_probability(matrix: DataFrame, folds: Sequence) -> DataFrame:
     """Share of half-splits whose in-sample winner falls below the out-of-sample median.
 
-    ``matrix`` is (config, fold, metric).  The splits depend only on the number of
-    folds, so the driver lists them; each row learns its side of every split.
+    ``matrix`` is (config, fold, metric).  A split is a bit mask over the folds; each row grows its
+    masks fold by fold and drops those that can no longer hold half of them, so no list of splits
+    is built anywhere.  n folds have n over n/2 splits, the work that the measure asks for.
     """
-    half = len(folds) // 2
-    splits = list(itertools.combinations(folds, half))
-    if len(folds) < 2 or len(folds) > 16:
-        raise ValueError("between 2 and 16 folds")
-    sides = F.array(*[F.array(*[F.lit(f) for f in s]) for s in splits])
-    df = matrix.select("config", "metric", F.posexplode(F.transform(sides, lambda s: F.array_contains(s, c("fold")))).alias("split", "inside"))
+    n, half = len(folds), len(folds) // 2
+    if not 2 <= n <= 62:
+        raise ValueError("between 2 and 62 folds")  # bits of a long
+    place = F.array_position(F.array(*map(F.lit, folds)), c("fold")).cast("int") - 1
+    df = matrix.select("config", "metric", place.alias("_at"), F.lit(0).cast("long").alias("split"))
+    for k in range(n):
+        taken = F.bit_count("split")
+        df = df.withColumn("split", F.explode(F.array(c("split"), c("split") + F.lit(1 << k).cast("long"))))
+        df = df.filter((taken <= half) & (taken + (n - 1 - k) >= half))
+    df = df.withColumn("inside", F.getbit("split", F.greatest("_at", F.lit(0))).cast("boolean") & (c("_at") >= 0))
     per = df.groupBy("split", "config").agg(
         F.avg(F.when(c("inside"), c("metric"))).alias("is_avg"), F.avg(F.when(~c("inside"), c("metric"))).alias("oos_avg")
     )
@@ -307,16 +311,38 @@ def parameter_grid(axes: dict[str, Sequence[float]], base: DataFrame) -> DataFra
     return out
 
 
+def numbered(names: DataFrame, name: str, out: str) -> DataFrame:
+    """Numbers from 1 in the order of (md5, name): counts of 4,096 hash ranges, then numbers inside each range."""
+    df = names.withColumn("_h", F.md5(c(name).cast("string"))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = df.groupBy("_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", name))
+    return df.withColumn("_i", inside).join(F.broadcast(offsets), "_b").withColumn(out, c("_o") + c("_i")).drop("_h", "_b", "_i", "_o")
+
+
+def floyd_sample(n: Column, k: int, *seed: Column) -> Column:
+    """Array of min(k, n) distinct numbers of 1..n, each subset as likely as any other, by Floyd's rule."""
+
+    def step(taken: Column, j: Column) -> Column:
+        draw = F.conv(F.substring(scan.seeded_order(*seed, j), 1, 15), 16, 10).cast("long") % j + 1
+        return F.array_append(taken, F.when(F.array_contains(taken, draw), j).otherwise(draw))
+
+    ends = F.sequence(F.greatest(n - (k - 1), F.lit(1)).cast("long"), n.cast("long"))
+    none = F.array().cast("array<bigint>")
+    return F.when((n > 0) & F.lit(k > 0), F.aggregate(ends, none, step)).otherwise(none)
+
+
 def subset_retention(contributions: DataFrame, draws: int, drop: int, seed: int) -> DataFrame:
     """Share of the total left after dropping random names, over seeded draws.
 
-    Only the dropped names are ranked: ``row_number <= k`` is pruned on the map side,
-    so a draw never gathers all names.
+    Each draw picks ``drop`` numbers and they are joined with the numbered names: draws x drop rows,
+    however many names there are.
     """
-    total = contributions.agg(F.sum("pnl")).scalar()
-    each = contributions.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw").orderBy(scan.seeded_order(F.lit(seed), c("draw"), c("isin")), "isin")
-    gone = each.withColumn("_n", F.row_number().over(order)).filter(c("_n") <= drop).groupBy("draw").agg(F.sum("pnl").alias("lost"))
-    left = gone.select("draw", F.try_divide(total - c("lost"), total).alias("retained"))
+    whole = contributions.agg(F.sum("pnl").alias("total"), F.count("*").alias("names"))
+    each = whole.select("total", "names", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    picks = each.select("draw", "total", F.explode(floyd_sample(c("names"), drop, F.lit(seed), c("draw"))).alias("_k"))
+    gone = picks.join(numbered(contributions, "isin", "_k"), "_k").groupBy("draw", "total").agg(F.sum("pnl").alias("lost"))
+    left = gone.select("draw", F.try_divide(c("total") - c("lost"), c("total")).alias("retained"))
     p = F.percentile("retained", F.array(F.lit(0.5), F.lit(0.05)))
     return left.agg(p.alias("p"), F.count("*").alias("draws")).select("draws", c("p")[0].alias("median"), c("p")[1].alias("p5"))

@@ -302,9 +302,14 @@ query("f33_walk_forward_folds", "nav", """
 SELECT CAST(a AS VARCHAR) AS is_start, CAST(o - 1 AS VARCHAR) AS is_end, CAST(o AS VARCHAR) AS oos_start, CAST(CAST(o + INTERVAL 6 MONTH AS DATE) - 1 AS VARCHAR) AS oos_end FROM (
  SELECT a, z, CAST(a + to_months(CAST(24 + 6*k AS INTEGER)) AS DATE) AS o FROM (SELECT min(date) AS a, max(date) AS z FROM nav), range(0, 40) t(k)) WHERE CAST(o + INTERVAL 6 MONTH AS DATE) - 1 <= z""")(
     lambda v: v.nav.agg(F.min("date").alias("a"), F.max("date").alias("z")).select(F.inline(calendar.walk_forward(c("a"), c("z")))))
+pick = lambda j: f"CAST('0x' || substr(md5('7|' || CAST(draw AS VARCHAR) || '|' || CAST({j} AS VARCHAR)), 1, 15) AS BIGINT) % ({j})"
 query("a38_subset_retention", "pername", f"""
 WITH p AS (SELECT isin, sell_notional - buy_notional - cost_paid AS pnl FROM pername), t AS (SELECT sum(pnl) AS t FROM p),
-g AS (SELECT draw, sum(pnl) AS lost FROM (SELECT draw, pnl, row_number() OVER (PARTITION BY draw ORDER BY md5('7|' || CAST(draw AS VARCHAR) || '|' || CAST(isin AS VARCHAR)), isin) AS n FROM p, range(1, 51) d(draw)) WHERE n <= 3 GROUP BY draw)
+q AS (SELECT pnl, row_number() OVER (ORDER BY md5(CAST(isin AS VARCHAR)), isin) AS k, count(*) OVER () AS n FROM p),
+d AS (SELECT draw, n, 1 + {pick('n - 2')} AS a, 1 + {pick('n - 1')} AS b, 1 + {pick('n')} AS c FROM (SELECT DISTINCT n FROM q), range(1, 51) r(draw)),
+e AS (SELECT draw, n, a, CASE WHEN b = a THEN n - 1 ELSE b END AS b, c FROM d),
+h AS (SELECT draw, unnest([a, b, CASE WHEN c IN (a, b) THEN n ELSE c END]) AS k FROM e),
+g AS (SELECT draw, sum(pnl) AS lost FROM h JOIN q USING (k) GROUP BY draw)
 SELECT count(*) AS draws, {rnd('quantile_cont((t - lost)/t, 0.5)')} AS median, {rnd('quantile_cont((t - lost)/t, 0.05)')} AS p5 FROM g, t""")(
     lambda v: metrics.subset_retention(trades.per_name_stats(v.fills).select("isin", c("realized_pnl").alias("pnl")), 50, 3, 7))
 

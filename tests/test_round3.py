@@ -1,6 +1,9 @@
 """Filing states, day ranges, keyed streams, stored screens, retention and the filing index."""
 
+import collections
 import datetime as dt
+import hashlib
+import itertools
 import random
 
 import pytest
@@ -296,3 +299,43 @@ def test_scorecard_verdicts(spark, passed, gaps, band, stops, verdict):
     nav = spark.createDataFrame([(D(2024, 1, 1), 100.0, 100.0), (D(2024, 2, 1), 80.0, 120.0)], "date date, equity double, benchmark double")
     row = books.scorecard(clock, missing, ledger, stopped, spark.createDataFrame([(0.1,)], "max_drawdown double"), nav).first()
     assert row.verdict == verdict and row.directional == "insufficient_data"
+
+
+def test_overfit_probability_has_no_cap_on_folds(spark):
+    rows = [(cfg, fold, float(cfg) + 0.001 * fold) for cfg in range(3) for fold in range(17)]
+    got = metrics.overfit_probability(spark.createDataFrame(rows, "config int, fold int, metric double"), tuple(range(17))).first()
+    assert (got.pbo, got.splits) == (0.0, 24310)  # 17 over 8
+    rng = random.Random(2)
+    rows = [(cfg, fold, rng.random()) for cfg in range(5) for fold in range(6)]
+    got = metrics.overfit_probability(spark.createDataFrame(rows, "config int, fold int, metric double"), tuple(range(6))).first()
+    value, low = {(a, b): m for a, b, m in rows}, 0
+    for inside in itertools.combinations(range(6), 3):
+        mean = lambda cfg, part: sum(value[cfg, f] for f in part) / 3
+        outside = [f for f in range(6) if f not in inside]
+        best = max(range(5), key=lambda cfg: mean(cfg, inside))
+        low += sum(mean(cfg, outside) < mean(best, outside) for cfg in range(5)) / 5 < 0.5
+    assert (got.pbo, got.splits) == (low / 20, 20)
+
+
+def test_samples_are_distinct_and_even(spark):
+    n, k, draws = 7, 3, 3000
+    picks = spark.range(draws).select("id", metrics.floyd_sample(F.lit(n), k, F.lit(1), F.col("id")).alias("s")).collect()
+    assert all(len(set(r.s)) == k and set(r.s) <= set(range(1, n + 1)) for r in picks)
+    seen = collections.Counter(x for r in picks for x in r.s)
+    assert all(abs(seen[x] / draws - k / n) < 0.04 for x in range(1, n + 1))
+    few = spark.range(1).select(metrics.floyd_sample(F.lit(2), 5, F.lit(1)).alias("a"), metrics.floyd_sample(F.lit(0), 5, F.lit(1)).alias("b")).first()
+    assert sorted(few.a) == [1, 2] and few.b == []
+
+
+def test_subset_retention_makes_draws_times_drop_rows(spark):
+    names = spark.createDataFrame([(f"n{i}", float(i + 1)) for i in range(40)], "isin string, pnl double")
+    numbers = {r.k: r.isin for r in metrics.numbered(names, "isin", "k").collect()}
+    assert sorted(numbers) == list(range(1, 41)) and len(set(numbers.values())) == 40
+    assert [numbers[k] for k in range(1, 41)] == sorted(numbers.values(), key=lambda x: (hashlib.md5(x.encode()).hexdigest(), x))
+    all_gone = metrics.subset_retention(names, 20, 40, 1).first()
+    assert (all_gone.draws, all_gone.median, all_gone.p5) == (20, 0.0, 0.0)
+    some = metrics.subset_retention(names, 200, 4, 1).first()
+    assert some.draws == 200 and 0.8 < some.p5 < some.median < 1.0
+    assert metrics.subset_retention(names.limit(0), 5, 3, 1).first().draws == 0
+    plan = metrics.subset_retention(names, 20, 4, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
