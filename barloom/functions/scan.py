@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 200
+BUCKETS = 200  # linear ranges of a column
+OCTAVE = 256  # logarithmic ranges of a doubling
 RANGE_ROWS = 200_000  # rows of one key and day that a task may sort
 
 
@@ -72,23 +73,38 @@ def row_fields(order: Sequence[str], cols: Sequence[str]) -> list[Column]:
     return [F.col(x) for x in dict.fromkeys((*order, *cols))]
 
 
+def range_number(df: DataFrame, value: str) -> Column:
+    """A number that never falls as ``value`` rises: its place on a logarithmic plus that on a linear scale.
+
+    The logarithm gives OCTAVE numbers for each doubling whatever the values are; least and greatest
+    finite value, a part of the same plan, give BUCKETS equal widths, for values crowded inside one
+    doubling. Both are the same however often they are computed. Nulls come first, NaN last.
+    """
+    v = F.col(value).cast("double")
+    finite = F.when(F.abs(v) < 1e300, v)
+    ends = df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    log = F.greatest(F.lit(-745.0), F.least(F.lit(710.0), F.ln(F.abs(v))))
+    coarse = F.signum(v) * (F.floor(log * (OCTAVE / 0.6931471805599453)) + OCTAVE * 1100)
+    fine = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(BUCKETS)), F.try_divide(v - lo, hi - lo) * BUCKETS)))
+    number = F.when(F.isnan(v), OCTAVE * 5000.0).when(v == 0, 0.0).otherwise(coarse) + F.coalesce(fine, F.lit(0))
+    return F.coalesce(number, F.lit(-OCTAVE * 5000.0)).cast("long")
+
+
 def prefix_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Sums of all rows with a smaller value, over a table with one row per (group, value).
 
-    Values are cut into ranges by approximate quantiles; whatever the cut, the result
-    is exact: totals of the ranges before, plus a window inside the range.
+    Values fall into ranges by ``range_number``; whatever the ranges, the result is exact: totals
+    of the ranges before, plus a window inside the range. No job runs while the plan is built.
     """
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = df.agg(F.percentile_approx(value, probs, 1_000).alias("cuts")).first()["cuts"]  # under BUCKETS numbers
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))])
     keys = [*by, "_b"]
-    df = df.withColumn("_b", F.size(F.filter(bounds, lambda b: b < F.col(value))))
+    df = df.withColumn("_b", range_number(df, value))
     totals = df.groupBy(*keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     group = [F.col(k) for k in by] or [F.lit(0)]
     lower = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{s}").over(lower), F.lit(0)).alias(f"_o_{s}") for s in sums])
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(offsets if by else F.broadcast(offsets), keys)  # ungrouped: at most BUCKETS rows
+    out = df.join(offsets, keys)
     for s in sums:
         out = out.withColumn(f"before_{s}", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0)))
     return out.drop("_b", *[f"_o_{s}" for s in sums])

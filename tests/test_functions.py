@@ -182,3 +182,27 @@ def test_filing_tags_search_the_whole_text(spark):
     assert "total_assets" in r.unmapped_items and "total_debt" not in r.unmapped_items
     for o in others:  # nothing unless the standard's address is declared near the begin
         assert o.shares_outstanding is None and o.total_debt is None and len(o.unmapped_items) == 8
+
+
+def test_range_numbers_rise_with_values_of_any_size(spark):
+    rng = random.Random(6)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-320, 308) for _ in range(400)]
+    values += [1 + k * 1e-6 for k in range(400)] + [0.0, -0.0, float("inf"), float("-inf"), 5e-324, 1.7e308, -1.7e308, None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.withColumn("b", scan.range_number(df, "x")).orderBy("x").collect()
+    numbers = [r.b for r in rows]
+    assert numbers == sorted(numbers) and rows[0].x is None and numbers[0] < numbers[1] and numbers[-1] > numbers[-2]
+    near = spark.createDataFrame([(1 + k * 1e-6,) for k in range(1000)], "x double")
+    assert near.select(scan.range_number(near, "x").alias("b")).distinct().count() > 150
+    whole = spark.createDataFrame([(k,) for k in range(-50, 50)], "x long")
+    got = scan.prefix_sums(whole.withColumn("n", F.lit(1)), "x", ["n"]).collect()
+    assert {r.x: r.before_n for r in got} == {k: k + 50 for k in range(-50, 50)}
+
+
+def test_quantiles_start_no_job_while_planned(spark):
+    df = spark.range(1000).select((F.col("id") % 17).cast("double").alias("x"))
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    planned = scan.quantiles(df, "x", {"m": 0.5})
+    assert len(jobs.getJobIdsForGroup(None)) == before
+    assert planned.first().m == 8.0
