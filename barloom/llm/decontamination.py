@@ -17,7 +17,9 @@ or more).
 
 Items are compared in blocks of ITEM_BLOCK; all blocks are collected to the driver and broadcast
 together, so the benchmark must fit there. Words are white-space separated, lower case, without marks at their ends. Null and empty texts leak nothing; items without
-words are left out, equal items are compared each. Rows with equal ids are judged alone.
+words are left out, equal items are compared each. Rows with equal ids are judged alone, whole texts
+whatever their length. ``found`` leaves other columns out and ``kept`` returns all of them, of whatever
+name. Without documents there are no rows, without items nothing is leaked.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ probability is the sum over its words.
 
 A null text or one without a letter is ``und`` with score 0. Rows with null text or lang teach
 nothing; without any training rows every text is ``und``. Ties go to the first language by name.
+Whole texts are read, whatever their length; repeated rows teach and are named each. An empty table
+gives no rows. Other columns, whatever their names, are left out, but for ``kept``, which keeps all.
 """
 
 from __future__ import annotations

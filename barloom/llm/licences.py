@@ -10,7 +10,8 @@ its own takes that of its nearest ancestor directory: directories are exploded i
 and joined by path, once for each directory, not for each file.
 
 Null and empty texts have no licence of their own; a null path is the root. Ties go to the first
-licence by name. Files may share a path or an id; each row is returned.
+licence by name. Files may share a path or an id; each row is returned. Texts of any length are read
+whole. An empty table gives no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ every island moves to all islands of its group. At the end the badly filled bins
 opened and their pieces packed again in fewer, larger rounds, until one group holds what is left.
 
 Every piece is packed once, whatever the islands find. Null texts are empty texts (one end id).
-Equal ids and repeated rows are different documents. An empty table gives no rows.
+Equal ids and repeated rows are different documents, texts of any length are read whole and other
+columns, whatever their names, are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import byte_bpe, collocations, hard_negatives
+from barloom.llm.common import prepared
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -309,3 +310,29 @@ def test_start_sample_and_head_do_not_depend_on_partitions(spark):
             hidden_markov.HEAD = hidden_markov_head
     a, b = (vars(h) for h in heads)
     assert str(a) == str(b)
+
+
+def test_language_of_repeated_and_long_rows_with_clashing_columns(spark):
+    """Columns named like the operators' own ones do not matter; equal rows get equal answers."""
+    from barloom.llm import language
+
+    words = {"aa": "gula mora pelu", "bb": "xyth quorr zhenk"}
+    rows = [(i, " ".join([words["ab"[i % 2] * 2]] * (1 + i % 3)), "ab"[i % 2] * 2, 1.0, True, "z") for i in range(60)]
+    rows += [(100, words["aa"] * 20_000, None, 0.0, False, "z")] * 2 + [(101, words["aa"] + " " + words["bb"], None, None, None, None)]
+    table = prepared(spark).createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean, lang_pred string")
+    got = language.digest(table).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == "ab"[r.doc_id % 2] * 2 for r in got if r.doc_id < 60)
+    assert [r.lang_pred for r in got if r.doc_id == 100] == ["aa", "aa"]
+
+
+def test_packing_and_leaks_ignore_clashing_columns(spark):
+    from barloom.llm import decontamination, packing
+
+    item = "the quick orange heron walked over seven frozen lakes before the first light of the coldest morning"
+    rows = [(1, f"start {item} end", 5, "x"), (1, f"start {item} end", 5, "x"), (2, None, None, None), (3, "nothing of that kind", 1, "y")]
+    table = prepared(spark).createDataFrame(rows, "doc_id long, text string, length long, sequence_id string")
+    packed = packing.packed(table)
+    assert packed.count() == 4 and packed.agg(F.countDistinct("sequence_id")).first()[0] == 1
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.kept(table, bench).collect()) == [2, 3]
+    assert decontamination.kept(table, bench).columns == table.columns
