@@ -32,6 +32,7 @@ from barloom.llm.tokens import encoder
 
 # Fixed value: the mask added to rotated checksums by the common framed record format.
 MASK_DELTA = 0xA282EAD8
+KNOWN_PIECES = 1_300_000  # encoded pieces that a worker remembers; fits the slots of a dict of 900,000
 HEAD, META, ENTRY = "<QI", "<qBQ", "<QQ"
 HEAD_SIZE, META_SIZE = struct.calcsize(HEAD), struct.calcsize(META)
 MANIFEST = "part long, file string, n_docs long, n_tokens long"
@@ -93,7 +94,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.js
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        coder, squeeze = encoder(vocabulary, KNOWN_PIECES), zstandard.ZstdCompressor(level=1)
         part, n_docs, n_tokens, at = partition_id(), 0, 0, 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         store = out = index = None

@@ -25,7 +25,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
 
 
 class Encoder:
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, most: int = CACHED_PIECES) -> None:
+        self.most = most  # pieces kept in memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -67,11 +68,11 @@ class Encoder:
 
     def learn(self, cut: Sequence[list[str] | None]) -> None:
         """Encode the pieces that are not known yet; None marks one that needs its whole text."""
-        if len(self.known) > CACHED_PIECES or self.chars > CACHED_CHARS:
+        if len(self.known) > self.most or self.chars > CACHED_CHARS:
             self.known.clear()
             self.chars = 0
         known = self.known
-        new = {p for ps in cut if ps for p in ps} - known.keys()
+        new = set().union(*filter(None, cut)).difference(known)
         self.chars += sum(map(len, new))
         rest = []
         for p in new:
@@ -127,5 +128,5 @@ class Encoder:
 
 
 @lru_cache(None)
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
+def encoder(vocabulary: str, most: int = CACHED_PIECES) -> Encoder:
+    return Encoder(vocabulary, most)
