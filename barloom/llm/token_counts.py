@@ -1,10 +1,11 @@
 """Token counts of every prefix by dynamic programming, for budget and truncation questions.
 
 A text's table has one entry for each piece (a word with the blank before it): the characters up to
-its end and the tokens of the text up to there, a running sum over pieces. Inside a piece the count
-of each prefix comes from the recurrence of byte-pair encodings: the last token t of prefix j is the
-one suffix that leaves a compatible pair with the last token of prefix j - len(t), and
-count(j) = count(j - len(t)) + 1. Budgets are answered from the table, without encoding again.
+its end and the tokens of the text up to there, a running sum over pieces. The tokens of a piece come
+from the recurrence of byte-pair encodings on each word the library splits off: the last token t of
+prefix j is the one suffix that leaves a compatible pair with the last token of prefix j - len(t), and
+count(j) = count(j - len(t)) + 1. No text is encoded for ``n_tokens``; added tokens count one each.
+Budgets are answered from the table.
 
 Null texts are empty: 0 tokens. Repeated rows are counted alone, texts of any length whole. Other
 columns, whatever their names, are left out. An empty table gives no rows.
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.common import docs_of, slices, texts_of
-from barloom.llm.tokens import encoder
+from barloom.llm.tokens import CACHED_CHARS, CACHED_PIECES, encoder
+from barloom.llm.tokens import PLAIN as PLAIN_AND_MARK
 
 LIMIT = 512
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
@@ -37,13 +39,19 @@ class PrefixCounter:
         import public_tokenizers
 
         with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        added = sorted((t["content"] for t in whole["added_tokens"]), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {tuple(p): k for k, p in enumerate(pairs)}
         self.words = set(model["vocab"])
         self.longest = max(map(len, self.words))
         self.letters = encoder(vocabulary).letters
         self.joins: dict[tuple[str, str], bool] = {}
+        self.split = encoder(vocabulary).library.pre_tokenizer.pre_tokenize_str
+        self.known: dict[str, int] = {}  # pieces
+        self.chars = 0
 
     def merged(self, symbols: str) -> list[str]:
         parts = list(symbols)
@@ -63,17 +71,54 @@ class PrefixCounter:
 
     def byte_counts(self, word: str) -> list[int]:
         """count(j) of the first j bytes, j from 0."""
-        text = word.encode().decode("latin-1").translate(self.letters)
+        return self.letter_counts(word.encode().decode("latin-1").translate(self.letters))
+
+    def letter_counts(self, text: str) -> list[int]:
+        """As ``byte_counts``, of a word in the vocabulary's byte letters."""
         count, last = [0], [""]
+        words, alone = self.words, self.merged_alone
         for j in range(1, len(text) + 1):
             for i in range(max(0, j - self.longest), j):
                 token = text[i:j]
-                if token in self.words and self.merged_alone(token) and (i == 0 or self.compatible(last[i], token)):
+                if token in words and alone(token) and (i == 0 or self.compatible(last[i], token)):
                     count.append(count[i] + 1)
                     last.append(token)
                     break
         return count
 
+    @lru_cache(100_000)  # noqa: B019  one counter for each worker
+    def word_tokens(self, letters: str) -> int:
+        return self.letter_counts(letters)[-1]
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a stretch of text that the library would split alike alone."""
+        if PLAIN.match(text):  # one word
+            return self.byte_counts(text)[-1]
+        parts, n = [text], 0
+        if self.added and "<" in text:
+            parts = self.added.split(text)
+            n = len(parts) - 1
+        return n + sum(self.word_tokens(word) for part in parts if part for word, _ in self.split(part))
+
+    def learn(self, pieces: list[str], enc) -> bool:
+        """Count the pieces that are not known yet; false if one of them must stay in its text."""
+        if len(self.known) > CACHED_PIECES or self.chars > CACHED_CHARS:
+            self.known.clear()
+            self.chars = 0
+        known = self.known
+        new = set(pieces).difference(known)
+        for p in new:
+            if m := PLAIN_AND_MARK.match(p):
+                stem, mark = m.groups()
+                n = known.get(stem) or known.setdefault(stem, self.byte_counts(" " + stem)[-1])
+                known[p] = n + self.word_tokens(mark) if mark else n
+            elif enc.safe(p.removeprefix("\0")):
+                known[p] = self.tokens(enc.shown(p))
+            else:
+                return False
+            self.chars += len(p)
+        return True
+
     @lru_cache(100_000)  # noqa: B019  one counter for each worker
     def merged_alone(self, token: str) -> bool:
         return self.merged(token) == [token]
@@ -99,10 +144,15 @@ def piece_counts(piece: str, vocabulary: str) -> list[int]:
 
 def tables(texts: list[str], vocabulary: str) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
     """Pieces, character ends and token counts of each text at the end of each piece."""
-    out = []
-    for pieces, ids in encoder(vocabulary).parts(texts):
+    enc, dp, out = encoder(vocabulary), counter(vocabulary), []
+    for text in texts:
+        cut = enc.pieces(text)
+        if cut is None or not dp.learn(cut, enc):
+            out.append(([text], np.array([len(text)]), np.array([dp.tokens(text)])))
+            continue
+        pieces = list(map(enc.shown, cut))
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        counts = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        counts = np.cumsum(np.fromiter(map(dp.known.__getitem__, cut), np.int64, len(cut)))
         out.append((pieces, ends, counts))
     return out
 
