@@ -280,8 +280,9 @@ def overfit_probability(matrix: DataFrame, folds: Sequence) -> DataFrame:
     per = df.groupBy("split", "config").agg(
         F.avg(F.when(c("inside"), c("metric"))).alias("is_avg"), F.avg(F.when(~c("inside"), c("metric"))).alias("oos_avg")
     )
-    best = per.groupBy("split").agg(F.max(F.struct("is_avg", (-c("config")).alias("_c"), "oos_avg")).alias("b"))
-    omega = per.join(best.select("split", c("b.oos_avg").alias("_o")), "split").groupBy("split").agg(
+    # One evaluation for both sides: read twice, sums in another order would put the winner below itself.
+    best = F.max(F.struct("is_avg", (-c("config")).alias("_c"), "oos_avg")).over(Window.partitionBy("split"))
+    omega = per.withColumn("_o", best["oos_avg"]).groupBy("split").agg(
         F.avg((c("oos_avg") < c("_o")).cast("double")).alias("omega")
     )
     return omega.agg(F.avg((c("omega") < 0.5).cast("double")).alias("pbo"), F.count("*").alias("splits"))
