@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import metrics
+from barloom.operators import indicators, metrics
 
 
 def test_overfit_probability_reads_each_average_once(spark):
@@ -26,3 +27,19 @@ def test_overfit_probability_reads_each_average_once(spark):
         got = metrics.overfit_probability(matrix, tuple(range(7))).first()
         assert got["splits"] == len(below)
         assert abs(got["pbo"] - sum(below) / len(below)) < 1e-12
+
+
+def test_as_much_gain_as_loss_is_an_rsi_of_exactly_fifty(spark):
+    """Walks that are back at their start after 14 moves: no month of them is above 50."""
+    draw, rows = random.Random(7), []
+    for symbol in range(400):
+        walk = [round(draw.uniform(90, 110), 4) for _ in range(14)]
+        walk += [walk[0]] * 2  # the 14th move leads back, the 15th is none
+        for k, close in enumerate(walk):
+            day = dt.date(2000 + k // 12, k % 12 + 1, 28)
+            rows.append(("M", symbol, day, close, close + 1, close - 1, close, 1.0))
+    bars = spark.createDataFrame(rows, "timeframe string, symbol long, date date, open double, high double, low double, close double, volume double")
+    got = indicators.boolean_signals(indicators.indicator_panel(bars)).filter("_bar >= 14").select("rsi", "bullish_flag").collect()
+    assert len(got) == 800
+    assert {r["rsi"] for r in got} == {50.0}
+    assert not any(r["bullish_flag"] for r in got)
