@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from barloom.operators import indicators, metrics
+from barloom.session import apply_settings
+from barloom.sources import views
 
 
 def test_overfit_probability_reads_each_average_once(spark):
@@ -43,3 +46,23 @@ def test_as_much_gain_as_loss_is_an_rsi_of_exactly_fifty(spark):
     assert len(got) == 800
     assert {r["rsi"] for r in got} == {50.0}
     assert not any(r["bullish_flag"] for r in got)
+
+
+def test_lines_are_dealt_before_they_are_added_up(spark, monkeypatch):
+    """Every task of bars, panel and scores comes from the number that grows with the lines."""
+    monkeypatch.setattr(views, "LINES_PER_TASK", 500)
+    v = views.Views(apply_settings(spark), "/root/testdata/sf0.001")
+    plan = v.signals._jdf.queryExecution().executedPlan().toString()
+    sizes = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)]
+    assert len(sizes) >= 3 and set(sizes) == {v.parts}
+    scans = plan[plan.rindex("Exchange hashpartitioning"):]  # the deepest exchange reads the file
+    assert "FileScan" in scans and "Aggregate" not in scans
+
+
+def test_shares_of_a_day_add_up(spark):
+    """Lines of one symbol and day in all shares give one bar with their sums."""
+    v = views.Views(apply_settings(spark), "/root/testdata/sf0.001")
+    lines = v.table("lineitem").withColumns({"l_suppkey": F.lit(1).cast("long"), "l_shipdate": F.to_timestamp(F.concat(F.lit("1996-01-0"), F.col("l_linenumber")))})
+    v.table = lambda name: lines
+    got = sorted((r["date"].day, r["volume"]) for r in v.bars.collect())
+    assert got == sorted((r["l_linenumber"], float(r["v"])) for r in lines.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("v")).collect())
