@@ -8,14 +8,13 @@ broadcast, while counts and shares cover every word of the corpus.
 
 Expected counts of states, transitions and emissions are made in every task by scaled forward and
 backward recursions, many texts in step, and summed in Spark; ITERATIONS passes over all training
-texts follow a start on a bounded sample. The score is log10 of the scaled forward recursion's
+texts follow a start from the counts of neighbours in all of them (KINDS x KINDS). The score is log10 of the scaled forward recursion's
 likelihood times the shares of the tail words, which come from a join with the word counts.
 
 Null and empty texts have the end alone. A training set without rows gives a uniform model: c = 0,
 N = 0, V = 0 leave the base at log10(1) for each token. Repeated rows count each time. An empty table
-gives no rows; other columns, whatever their names, are left out. The start alone reads about
-START_TEXTS training texts picked by hash, 2,000 tokens of each at most: it breaks the symmetry of the
-states. Counts, the passes that follow and scores read all texts whole.
+gives no rows; other columns, whatever their names, are left out. Start, counts, passes and
+scores read all texts whole.
 """
 
 from __future__ import annotations
@@ -33,7 +32,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import docs_of, fold, partition_id, slices, texts_of, written
 
 STATES, HEAD, TAILS = 8, 40_000, 64
-ITERATIONS, START_TEXTS, START_ITERATIONS = 2, 1500, 12
+ITERATIONS, START_ITERATIONS = 2, 60
+KINDS = 512  # words of their own, tail classes and the end in the pair counts of the start
 SMOOTH = 0.1  # of unigram shares, as in the base
 EMISSION_SMOOTH = 20.0  # pseudo-counts of a state's emissions, spread by the unigram shares
 TOGETHER = 192  # texts recursed in step
@@ -219,24 +219,74 @@ def improved(tally: Tally, share: np.ndarray) -> Model:
     return Model(initial / initial.sum(), transition / transition.sum(axis=1, keepdims=True), emission / emission.sum(axis=0))
 
 
+def kinds_of(lex: Lexicon) -> np.ndarray:
+    """Kind of every symbol for the start: the KINDS - TAILS - 1 most frequent words, tail classes, the end."""
+    own = KINDS - TAILS - 1
+    head = [i if i < own else own + tail_class(w) for i, w in enumerate(lex.head)]
+    return np.array([*head, *range(own, own + TAILS), KINDS - 1], np.int32)
+
+
+def neighbours(data: DataFrame, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First kinds and counts of kinds next to each other, over all training texts."""
+    shared = data.sparkSession.sparkContext.broadcast(kinds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, pairs, first = shared.value, np.zeros(KINDS * KINDS, np.int64), np.zeros(KINDS, np.int64)
+        for batch in batches:
+            col = batch.column("symbols")
+            ends = col.offsets.to_numpy()
+            flat = kinds[col.flatten().to_numpy()]
+            begins = ends[:-1] - ends[0]
+            inside = np.ones(max(0, len(flat) - 1), bool)
+            inside[begins[1:] - 1] = False  # from one text to the next
+            pairs += np.bincount((flat[:-1] * KINDS + flat[1:])[inside], minlength=KINDS * KINDS)
+            first += np.bincount(flat[begins], minlength=KINDS)
+        rows = np.vstack([pairs.reshape(KINDS, KINDS), first])
+        at = np.flatnonzero(rows.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(at, pa.int32()), "sums": pa.array([rows[k].tobytes() for k in at], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = None, None
+        for batch in batches:
+            for k, b in zip(batch.column("kind").to_pylist(), batch.column("sums").to_pylist()):
+                x = np.frombuffer(b, np.int64)
+                kind, total = k, x if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    made = data.where(~F.col("held_out")).select("symbols").mapInArrow(count, "kind int, sums binary")
+    rows = np.zeros((KINDS + 1, KINDS), np.int64)
+    for r in made.groupBy("kind").applyInArrow(add, made.schema).collect():  # KINDS + 1 rows at most
+        rows[r["kind"]] = np.frombuffer(r["sums"], np.int64)
+    return rows[:-1].astype(float), rows[-1].astype(float)
+
+
 def started(data: DataFrame, lex: Lexicon, share: np.ndarray) -> Model:
-    """A first model from a bounded sample of training texts: about 1,500 by hash, at most 2,000 tokens of each.
+    """A first model from the neighbours of all training texts: Baum-Welch on the counts of pairs of kinds.
 
-    It only breaks the symmetry of the states: the passes of ``baum_welch`` over all texts follow.
+    Words of a kind share its emission by their frequency; the passes of ``baum_welch`` part them.
     """
-    training = data.where(~F.col("held_out"))
-    share_of = F.lit(2.0**63 * min(1.0, START_TEXTS / max(1, training.count())))
-    some = training.where(F.abs(F.xxhash64("row").cast("double")) <= share_of).select(F.slice("symbols", 1, 2000).alias("s"))
-    lists = [np.array(r["s"], np.int32) for r in some.limit(2 * START_TEXTS).collect()]
+    kinds = kinds_of(lex)
+    pairs, first = neighbours(data, kinds)
+    spread = np.bincount(kinds, share, KINDS)  # shares of the kinds
     rng = np.random.default_rng(11)
-    emission = share[:, None] * rng.uniform(0.5, 1.5, (lex.size, STATES))
+    emission = spread[:, None] * rng.uniform(0.5, 1.5, (KINDS, STATES))
     transition = 0.6 * np.eye(STATES) + 0.4 * rng.dirichlet(np.ones(STATES), STATES)
-    model = Model(np.full(STATES, 1 / STATES), transition, emission / emission.sum(axis=0))
-    for _ in range(START_ITERATIONS if lists else 0):
-        tally = Tally(lex.size, STATES)
-        tally.add(model, lists)
-        model = improved(tally, share)
-    return model
+    emission, before = emission / emission.sum(axis=0), np.full(STATES, 1 / STATES)
+    for _ in range(START_ITERATIONS if pairs.any() else 0):
+        left = emission * before  # kind and state of the first of a pair
+        weight = np.divide(pairs, left @ transition @ emission.T, out=np.zeros_like(pairs), where=pairs > 0)
+        one = left * (weight @ emission @ transition.T)
+        two = emission * (weight.T @ left @ transition)
+        moved = transition * (left.T @ weight @ emission) + 0.1
+        emission = one + two + EMISSION_SMOOTH * spread[:, None]
+        emission, transition = emission / emission.sum(axis=0), moved / moved.sum(axis=1, keepdims=True)
+        before = (one.sum(axis=0) + 0.1) / (one.sum() + 0.1 * STATES)
+    like = emission * before
+    total = like.sum(axis=1, keepdims=True)
+    initial = (first[:, None] * np.divide(like, total, out=np.zeros_like(like), where=total > 0)).sum(axis=0) + 0.1
+    full = emission[kinds] * np.divide(share, spread[kinds], out=np.zeros_like(share), where=spread[kinds] > 0)[:, None]
+    return Model(initial / initial.sum(), transition, full / full.sum(axis=0))
 
 
 def baum_welch(data: DataFrame, model: Model, share: np.ndarray) -> Model:
