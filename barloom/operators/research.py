@@ -20,8 +20,7 @@ def entry_candidates(
     A negative ``max_pct_from_52w_high`` keeps bars no further below their 52-week high than that.
     """
     keep = (
-        (c("timeframe") == "D")
-        & (c("bar") >= WARMUP_BARS if "bar" in signals.columns else c("_bar") >= WARMUP_BARS)
+        (c("bar") >= WARMUP_BARS if "bar" in signals.columns else c("_bar") >= WARMUP_BARS)
         & c("ema_signal").isin("bullish_cross", "bullish_pullback", "bullish")
         & (c("close") > c("ema200"))
         & (c("momentum_12m") > 0)
@@ -40,7 +39,8 @@ def entry_candidates(
         keep = keep & (c("date") <= date_to)
     damp = F.lit(1.0) if cfg.require_consolidation else F.when(c("is_consolidating"), 1.0).otherwise(0.85)
     return (
-        signals.filter(sure(keep))
+        signals.filter(c("timeframe") == "D")  # alone, so that slower bars are left out before any window
+        .filter(sure(keep))
         .select("date", "symbol", (c("entry_score") * damp).alias("score"))
         .filter(c("score") >= cfg.score_threshold)
     )
