@@ -78,10 +78,8 @@ def trade_setup(
     return F.when(sure((price != 0) & (atr > 0) & (risk > 0)), setup)
 
 
-def entry_alerts(
-    signals: DataFrame, stocks: DataFrame, cfg: SignalConfig = SignalConfig(), alerted: DataFrame | None = None
-) -> DataFrame:
-    """Actionable daily signals of every date with tier and entry status, minus those already sent."""
+def _entry_rules(cfg: SignalConfig) -> tuple[Column, Column]:
+    """Whether a signal row is actionable, and its tier."""
     hit = (
         (c("timeframe") == "D")
         & c("ema_signal").isin("bullish_cross", "bullish_pullback")
@@ -96,15 +94,16 @@ def entry_alerts(
         hit = hit & (c("volume_breakout") | (c("adx") >= cfg.min_adx))
     if cfg.require_consolidation:
         hit = hit & c("is_consolidating")
-    df = signals.filter(hit)
-    if alerted is not None:
-        df = df.join(alerted, ["symbol", "date"], "left_anti")
     adx = F.coalesce(c("adx"), F.lit(0.0))
     tier = (
         F.when(c("volume_breakout") & (adx >= cfg.tier1_adx), 1)
         .when(c("volume_breakout") | (adx >= cfg.min_adx), 2)
         .otherwise(3)
     )
+    return hit, tier
+
+
+def _entry_rows(df: DataFrame, stocks: DataFrame, tier: Column, *more: str) -> DataFrame:
     return df.join(stocks.select("symbol", "name", "sector"), "symbol").select(
         "date",
         "symbol",
@@ -113,7 +112,35 @@ def entry_alerts(
         tier.alias("signal_tier"),
         entry_status(c("close"), c("ema21")).alias("entry_status"),
         ((c("close") - c("ema21")) / c("ema21") * 100).alias("pct_above_ema21"),
+        *more,
+    )
+
+
+def entry_alerts(
+    signals: DataFrame, stocks: DataFrame, cfg: SignalConfig = SignalConfig(), alerted: DataFrame | None = None
+) -> DataFrame:
+    """Actionable daily signals of every date with tier and entry status, minus those already sent."""
+    hit, tier = _entry_rules(cfg)
+    df = signals.filter(hit)
+    if alerted is not None:
+        df = df.join(alerted, ["symbol", "date"], "left_anti")
+    return _entry_rows(df, stocks, tier)
+
+
+def entry_alerts_of(signals: DataFrame, stocks: DataFrame, configs: dict[str, SignalConfig]) -> DataFrame:
+    """:func:`entry_alerts` of several configs with their name as strategy_id, in one pass over the signals."""
+    rules = {name: _entry_rules(cfg) for name, cfg in configs.items()}
+    found = F.array_compact(
+        F.array(
+            *[
+                F.when(sure(hit), F.struct(F.lit(name).alias("strategy_id"), tier.alias("_tier")))
+                for name, (hit, tier) in rules.items()
+            ]
+        )
     )
+    cols = ["date", "symbol", "entry_score", "close", "ema21"]
+    daily = signals.filter(c("timeframe") == "D").select(*cols, F.inline(found))
+    return _entry_rows(daily, stocks, c("_tier"), "strategy_id")
 
 
 def best_alert_per_symbol(alerts: DataFrame) -> DataFrame:

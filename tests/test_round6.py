@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
+from barloom.operators import alerts
+from barloom.operators.indicators import SignalConfig
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -20,3 +27,26 @@ def test_candidates_leave_slower_bars_and_ranks_out(spark):
     for name in ("p16_entry_candidates", "p16_near_high_candidates"):
         got = plan(spark, name)
         assert "Union" not in got and "Join" not in got
+
+
+def test_alerts_of_several_configs_read_the_lines_once(spark):
+    """One pass gives what one pass for each config gave."""
+    assert plan(spark, "t06_best_alert_per_symbol").count("FileScan parquet [l_") == 1
+
+
+def test_one_pass_equals_one_call_for_each_config(spark):
+    draw = random.Random(6)
+    cols = "symbol long, date date, timeframe string, ema_signal string, above_200ema boolean, rsi double, momentum_12m double, entry_score double, volume_breakout boolean, adx double, is_consolidating boolean, close double, ema21 double"
+    rows = [
+        (k % 9, dt.date(2024, 1, 1) + dt.timedelta(k), "D" if k % 7 else "W", draw.choice(["bullish_cross", "bullish"]), draw.choice([True, True, None]),
+         draw.uniform(30, 70), draw.uniform(-1, 9), draw.uniform(20, 90), draw.choice([True, False, None]), draw.choice([None, 10.0, 25.0, 40.0]),
+         draw.choice([True, False]), 100.0, 98.0)
+        for k in range(600)
+    ]
+    signals = spark.createDataFrame(rows, cols)
+    stocks = spark.createDataFrame([(k, f"n{k}", None if k == 3 else "s") for k in range(8)], "symbol long, name string, sector string")
+    configs = {"loose": SignalConfig(score_threshold=30.0, require_consolidation=False), "tight": SignalConfig(min_signal_tier=1)}
+    got = sorted(map(str, alerts.entry_alerts_of(signals, stocks, configs).collect()))
+    one = [alerts.entry_alerts(signals, stocks, cfg).withColumn("strategy_id", F.lit(name)) for name, cfg in configs.items()]
+    want = sorted(map(str, one[0].unionByName(one[1]).collect()))
+    assert len({x.split("strategy_id=")[1] for x in want}) == 2 and got == want
