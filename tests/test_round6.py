@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from barloom.operators import alerts
+from barloom.operators import alerts, screens
 from barloom.operators.indicators import SignalConfig
+from barloom.sources import storage
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -50,3 +52,18 @@ def test_one_pass_equals_one_call_for_each_config(spark):
     one = [alerts.entry_alerts(signals, stocks, cfg).withColumn("strategy_id", F.lit(name)) for name, cfg in configs.items()]
     want = sorted(map(str, one[0].unionByName(one[1]).collect()))
     assert len({x.split("strategy_id=")[1] for x in want}) == 2 and got == want
+
+
+def test_stored_signals_hold_what_screens_read(spark, monkeypatch):
+    """The stored table has the columns of the screens, not the whole panel."""
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, path, by):
+        raise Seen(sorted(df.columns))
+
+    monkeypatch.setattr(storage, "write_partitions", seen)
+    with pytest.raises(Seen) as got:
+        contract.QUERIES["s16_materialised_screens"](spark, ROOT)
+    assert got.value.args[0] == sorted(screens.READ) and len(screens.READ) < 20
