@@ -200,7 +200,7 @@ SELECT CAST(n.date AS VARCHAR) AS date, coalesce(s.b, true) AS bullish FROM nav
 query("j06_timeframe_state", "signals bars", f"""
 SELECT b.symbol, CAST(b.date AS VARCHAR) AS date, CASE WHEN b.symbol NOT IN (SELECT symbol FROM signals WHERE timeframe = 'W' AND symbol % 4 <> 0) THEN true ELSE coalesce(s.is_bullish, false) END AS confirmed
 FROM bars b ASOF LEFT JOIN (SELECT * FROM signals WHERE timeframe = 'W' AND symbol % 4 <> 0) s ON s.symbol = b.symbol AND b.date >= s.date""")(
-    lambda v: regime.timeframe_state(v.bars, v.signals.filter("timeframe = 'W' AND symbol % 4 <> 0")))
+    lambda v: regime.timeframe_state(v.bars, v.scored.filter("timeframe = 'W' AND symbol % 4 <> 0")))
 query("j08_aligned_benchmark", "idx nav", f"""
 SELECT {DATE}, {rnd('level/first_value(level) OVER (ORDER BY date)*1000000')} AS level FROM (SELECT n.date, i.level FROM nav n ASOF LEFT JOIN idx i ON n.date >= i.date WHERE n.date >= DATE '1996-01-01')""")(
     lambda v: regime.align_benchmark(v.index, v.nav.select("date"), "1996-01-01", 1e6))

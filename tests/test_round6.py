@@ -67,3 +67,8 @@ def test_stored_signals_hold_what_screens_read(spark, monkeypatch):
     with pytest.raises(Seen) as got:
         contract.QUERIES["s16_materialised_screens"](spark, ROOT)
     assert got.value.args[0] == sorted(screens.READ) and len(screens.READ) < 20
+
+
+@pytest.mark.parametrize("name", ["a03_confluence_count", "a04_daily_report", "j03_enriched_screen", "j04_signals_in_screen", "j06_timeframe_state", "p01_actionable_entries", "p17_dashboard_facets", "p23_signal_digest"])
+def test_no_day_is_ranked_where_no_rank_is_read(spark, name):
+    assert "ShuffledHashJoin" not in plan(spark, name)
