@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from barloom.operators import alerts, screens
 from barloom.operators.indicators import SignalConfig
-from barloom.sources import storage
+from barloom.session import apply_settings
+from barloom.sources import storage, views
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -72,3 +74,11 @@ def test_stored_signals_hold_what_screens_read(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["a03_confluence_count", "a04_daily_report", "j03_enriched_screen", "j04_signals_in_screen", "j06_timeframe_state", "p01_actionable_entries", "p17_dashboard_facets", "p23_signal_digest"])
 def test_no_day_is_ranked_where_no_rank_is_read(spark, name):
     assert "ShuffledHashJoin" not in plan(spark, name)
+
+
+def test_scan_tasks_do_not_keep_what_they_read(spark, monkeypatch):
+    """Lines are dealt to no more tasks than Spark writes to without sorting a whole row group in memory."""
+    monkeypatch.setattr(views, "LINES_PER_TASK", 20)
+    v = views.Views(apply_settings(spark), ROOT)
+    sizes = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan_of(v.bars))]
+    assert sizes == [v.parts, 200] and v.parts > 200
