@@ -54,43 +54,33 @@ def cut_pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50
     return written(docs_of(docs).mapInArrow(cut, PIECES), "pieces")
 
 
-class Bins:
-    """Open bins by free room, so that the tightest fit is found at once."""
-
-    def __init__(self, size: int, bins: list[tuple[int, list[int]]] = ()) -> None:
-        self.size, self.bins, self.by_room, self.rooms = size, [], {}, 0
-        for filled, items in bins:
-            self.add(filled, list(items))
-
-    def add(self, filled: int, items: list[int]) -> None:
-        self.bins.append([filled, items])
-        self.place(len(self.bins) - 1, self.size - filled)
-
-    def place(self, k: int, room: int) -> None:
-        self.by_room.setdefault(room, []).append(k)
-        self.rooms |= 1 << room
-
-    def best_fit(self, item: int, length: int) -> None:
-        above = self.rooms >> length
-        if not above:
-            self.add(length, [item])
-            return
-        room = length + (above & -above).bit_length() - 1
-        ready = self.by_room[room]
-        k = ready.pop()
-        if not ready:
-            self.rooms &= ~(1 << room)
-        self.bins[k][0] += length
-        self.bins[k][1].append(item)
-        self.place(k, room - length)
-
-
-def best_fit(items, lengths: np.ndarray, size: int, into: list = ()) -> list[tuple[int, list[int]]]:
-    """Best fit of ``items`` in the given order into ``into`` and new bins."""
-    bins = Bins(size, into)
+def best_fit(items, lengths: np.ndarray | list[int], size: int, into: list = ()) -> list[tuple[int, list[int]]]:
+    """Best fit of ``items`` in the given order into ``into`` and new bins; open bins by free room, so that the tightest fit is found at once."""
+    lengths = lengths.tolist() if isinstance(lengths, np.ndarray) else lengths
+    filled, held = [f for f, _ in into], [list(i) for _, i in into]
+    by_room, rooms = [[] for _ in range(size + 1)], 0
+    for k, f in enumerate(filled):
+        by_room[size - f].append(k)
+        rooms |= 1 << size - f
     for item in items:
-        bins.best_fit(item, int(lengths[item]))
-    return [(f, i) for f, i in bins.bins]
+        length = lengths[item]
+        above = rooms >> length
+        if above:
+            room = length + (above & -above).bit_length() - 1
+            ready = by_room[room]
+            k = ready.pop()
+            if not ready:
+                rooms ^= 1 << room
+            filled[k] += length
+            held[k].append(item)
+            room -= length
+        else:
+            k, room = len(filled), size - length
+            filled.append(length)
+            held.append([item])
+        by_room[room].append(k)
+        rooms |= 1 << room
+    return list(zip(filled, held))
 
 
 def fitness(bins: list, size: int) -> tuple[int, float]:
@@ -98,7 +88,7 @@ def fitness(bins: list, size: int) -> tuple[int, float]:
     return -len(bins), sum((f / size) ** 2 for f, _ in bins)
 
 
-def crossover(a: list, b: list, lengths: np.ndarray, size: int, rng: np.random.Generator) -> list:
+def crossover(a: list, b: list, lengths: np.ndarray | list[int], size: int, rng: np.random.Generator) -> list:
     """Whole well-filled bins of ``b`` into ``a``; displaced pieces by best fit, longest first."""
     good = [x for x in b if x[0] >= WELL_FILLED * size]
     if not good:
@@ -115,7 +105,7 @@ def crossover(a: list, b: list, lengths: np.ndarray, size: int, rng: np.random.G
     return best_fit(sorted(displaced, key=lambda i: -lengths[i]), lengths, size, injected + kept)
 
 
-def mutated(bins: list, lengths: np.ndarray, size: int, rng: np.random.Generator) -> list:
+def mutated(bins: list, lengths: np.ndarray | list[int], size: int, rng: np.random.Generator) -> list:
     """Open the emptiest bins and a few others and fit their pieces again."""
     order = sorted(range(len(bins)), key=lambda k: bins[k][0])
     opened = set(order[:2]) | set(rng.integers(0, len(bins), 2).tolist())
@@ -127,11 +117,11 @@ def mutated(bins: list, lengths: np.ndarray, size: int, rng: np.random.Generator
 def evolve(lengths: np.ndarray, size: int, seed, elite: list | None = None) -> list:
     """One island's epoch; ends early where the bins are as few as their total length allows."""
     rng, least = np.random.default_rng(seed), -(-int(lengths.sum()) // size)
-    population = [elite] if elite else []
+    population, sizes = [elite] if elite else [], lengths.tolist()
     spread = np.linspace(0, 0.2, POPULATION)
     while len(population) < POPULATION:
         noise = 1 + spread[len(population)] * rng.standard_normal(len(lengths))
-        population.append(best_fit(np.argsort(-lengths * noise, kind="stable").tolist(), lengths, size))
+        population.append(best_fit(np.argsort(-lengths * noise, kind="stable").tolist(), sizes, size))
         if len(population[-1]) == least:
             return population[-1]
     rank = lambda x: fitness(x, size)
@@ -142,8 +132,8 @@ def evolve(lengths: np.ndarray, size: int, seed, elite: list | None = None) -> l
         half = POPULATION // 2
         for k in range(half, POPULATION):
             a, b = rng.integers(0, half, 2)
-            child = crossover(population[a], population[b], lengths, size, rng)
-            population[k] = mutated(child, lengths, size, rng)
+            child = crossover(population[a], population[b], sizes, size, rng)
+            population[k] = mutated(child, sizes, size, rng)
     return max(population, key=rank)
 
 

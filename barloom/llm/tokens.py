@@ -12,13 +12,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 
 
 CACHED_PIECES, CACHED_CHARS = 900_000, 20_000_000
+TOGETHER = 1000  # pieces that the library encodes as one text
 
 #: A word of letters that lower-case and split alike everywhere, and one mark that is always split off.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)\Z")
@@ -39,6 +41,9 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        vocab = self.library.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a blank or line end
+        self.begins[[k for t, k in vocab.items() if t[:1] in (self.letters[32], self.letters[10])]] = True
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         out = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
@@ -59,12 +64,25 @@ class Encoder:
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
     def word(self, word: str) -> bytes:
-        """Ids of one split-off word of plain letters: the library's model alone, on its byte letters."""
-        body = word if self.blank_stays else word.lower()
+        """Ids of one split-off word of plain letters of ``word_bpe``: the library's model alone, on its byte letters."""
+        body = word.lower()
         if not body.isascii():  # plain ASCII letters stand for their bytes
             body = body.encode().decode("latin-1").translate(self.letters)
-        tokens = self.library.model.tokenize(self.letters[32] + body if self.blank_stays else body)
-        return array("I", [t.id for t in tokens]).tobytes()
+        return array("I", [t.id for t in self.library.model.tokenize(body)]).tobytes()
+
+    def together(self, pieces: Sequence[str]) -> Iterator[bytes]:
+        """Ids of safe pieces of ``byte_bpe`` that stand after others, many of them joined to one text.
+
+        Their first character, a blank or line end, is nowhere else in them, so the tokens that begin with it begin a piece.
+        """
+        for a in range(0, len(pieces), TOGETHER):
+            part = [self.shown(p) for p in pieces[a:a + TOGETHER]]
+            ids = self.whole(["".join(part)])[0]
+            starts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])
+            if len(starts) == len(part) and starts[0] == 0:
+                yield from (ids[x:y] for x, y in pairwise([*(4 * starts).tolist(), len(ids)]))
+            else:  # not split as expected: each alone
+                yield from self.whole(part)
 
     def learn(self, cut: Sequence[list[str] | None]) -> None:
         """Encode the pieces that are not known yet; None marks one that needs its whole text."""
@@ -74,17 +92,27 @@ class Encoder:
         known = self.known
         new = set().union(*filter(None, cut)).difference(known)
         self.chars += sum(map(len, new))
-        rest = []
+        words, marked, rest, first = set(), [], [], []
         for p in new:
             if m := PLAIN.match(p):
                 stem, mark = m.groups()
-                ids = known.get(stem) or known.setdefault(stem, self.word(stem))
-                known[p] = ids + self.mark(mark) if mark else ids
-            elif self.blank_stays and not self.safe(p.removeprefix("\0")):
+                if stem not in known:
+                    words.add(stem)
+                if mark:
+                    marked.append((p, stem, mark))
+            elif not self.blank_stays:
+                first.append(p)
+            elif not self.safe(p.removeprefix("\0")):
                 known[p] = None
             else:
-                rest.append(p)
-        known.update(zip(rest, self.whole([self.shown(p) for p in rest])))
+                (first if p[0] == "\0" else rest).append(p)
+        rest += words
+        if self.blank_stays:
+            known.update(zip(rest, self.together(rest)))
+        else:
+            known.update((p, self.word(p)) for p in rest)
+        known.update((p, known[stem] + self.mark(mark)) for p, stem, mark in marked)
+        known.update(zip(first, self.whole([self.shown(p) for p in first])))
 
     def shown(self, piece: str) -> str:
         """The characters that a piece stands for."""
