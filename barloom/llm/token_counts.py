@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from barloom.llm.tokens import PLAIN as PLAIN_AND_MARK
 LIMIT = 512
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 TABLE = "doc_id long, ends array<int>, counts array<int>"
+SHIFT = 32  # a piece's characters lie below, its tokens above
+NO_MERGE = 1 << 40
 PLAIN = re.compile(r"[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
@@ -50,15 +53,18 @@ class PrefixCounter:
         self.letters = encoder(vocabulary).letters
         self.joins: dict[tuple[str, str], bool] = {}
         self.split = encoder(vocabulary).library.pre_tokenizer.pre_tokenize_str
-        self.known: dict[str, int] = {}  # pieces
+        self.known: dict[str, int | None] = {}  # pieces
+        self.before = "", [0], [""]  # a word, its counts and last tokens
         self.chars = 0
 
     def merged(self, symbols: str) -> list[str]:
-        parts = list(symbols)
+        parts, rank_of = list(symbols), self.rank.get
         while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 40))
-            if (parts[best], parts[best + 1]) not in self.rank:
+            ranks = [rank_of(pair, NO_MERGE) for pair in pairwise(parts)]
+            least = min(ranks)
+            if least == NO_MERGE:
                 break
+            best = ranks.index(least)
             parts[best:best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
@@ -74,16 +80,25 @@ class PrefixCounter:
         return self.letter_counts(word.encode().decode("latin-1").translate(self.letters))
 
     def letter_counts(self, text: str) -> list[int]:
-        """As ``byte_counts``, of a word in the vocabulary's byte letters."""
-        count, last = [0], [""]
-        words, alone = self.words, self.merged_alone
-        for j in range(1, len(text) + 1):
+        """As ``byte_counts``, of a word in the vocabulary's byte letters; prefixes shared with the word before are not counted again."""
+        before, count, last = self.before
+        same = 0
+        for a, b in zip(before, text):
+            if a != b:
+                break
+            same += 1
+        count, last = count[:same + 1], last[:same + 1]
+        words, alone, joins = self.words, self.merged_alone, self.joins
+        for j in range(same + 1, len(text) + 1):
             for i in range(max(0, j - self.longest), j):
                 token = text[i:j]
-                if token in words and alone(token) and (i == 0 or self.compatible(last[i], token)):
-                    count.append(count[i] + 1)
-                    last.append(token)
-                    break
+                if token in words and alone(token):
+                    fits = not i or joins.get((last[i], token))
+                    if fits or fits is None and self.compatible(last[i], token):
+                        count.append(count[i] + 1)
+                        last.append(token)
+                        break
+        self.before = text, count, last
         return count
 
     @lru_cache(100_000)  # noqa: B019  one counter for each worker
@@ -100,24 +115,27 @@ class PrefixCounter:
             n = len(parts) - 1
         return n + sum(self.word_tokens(word) for part in parts if part for word, _ in self.split(part))
 
-    def learn(self, pieces: list[str], enc) -> bool:
-        """Count the pieces that are not known yet; false if one of them must stay in its text."""
+    def learn(self, cut: list[list[str] | None], enc) -> None:
+        """Count the pieces that are not known yet, in order, so that words share prefixes with the word before; None marks one that needs its whole text.
+
+        What is known of a piece is its tokens and the characters it stands for, as one number.
+        """
         if len(self.known) > CACHED_PIECES or self.chars > CACHED_CHARS:
             self.known.clear()
             self.chars = 0
         known = self.known
-        new = set(pieces).difference(known)
-        for p in new:
+        new = set().union(*filter(None, cut)).difference(known)
+        self.chars += sum(map(len, new))
+        for p in sorted(new):
             if m := PLAIN_AND_MARK.match(p):
                 stem, mark = m.groups()
-                n = known.get(stem) or known.setdefault(stem, self.byte_counts(" " + stem)[-1])
-                known[p] = n + self.word_tokens(mark) if mark else n
+                n = known.get(stem) or known.setdefault(stem, self.byte_counts(" " + stem)[-1] << SHIFT | len(stem) + 1)
+                known[p] = n + (self.word_tokens(mark) << SHIFT) + 1 if mark else n
             elif enc.safe(p.removeprefix("\0")):
-                known[p] = self.tokens(enc.shown(p))
+                shown = enc.shown(p)
+                known[p] = self.tokens(shown) << SHIFT | len(shown)
             else:
-                return False
-            self.chars += len(p)
-        return True
+                known[p] = None
 
     @lru_cache(100_000)  # noqa: B019  one counter for each worker
     def merged_alone(self, token: str) -> bool:
@@ -143,17 +161,17 @@ def piece_counts(piece: str, vocabulary: str) -> list[int]:
 
 
 def tables(texts: list[str], vocabulary: str) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Pieces, character ends and token counts of each text at the end of each piece."""
+    """Pieces (as the encoder cuts them), character ends and token counts of each text at the end of each piece."""
     enc, dp, out = encoder(vocabulary), counter(vocabulary), []
-    for text in texts:
-        cut = enc.pieces(text)
-        if cut is None or not dp.learn(cut, enc):
-            out.append(([text], np.array([len(text)]), np.array([dp.tokens(text)])))
+    cuts = [enc.pieces(t) for t in texts]
+    dp.learn(cuts, enc)
+    for text, cut in zip(texts, cuts):
+        known = list(map(dp.known.get, cut)) if cut else [None]
+        if None in known:
+            out.append((["\0" + text], np.array([len(text)]), np.array([dp.tokens(text)])))
             continue
-        pieces = list(map(enc.shown, cut))
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        counts = np.cumsum(np.fromiter(map(dp.known.__getitem__, cut), np.int64, len(cut)))
-        out.append((pieces, ends, counts))
+        both = np.array(known, np.int64)
+        out.append((cut, np.cumsum(both & (1 << SHIFT) - 1), np.cumsum(both >> SHIFT)))
     return out
 
 
@@ -162,7 +180,7 @@ def tokens_of_prefix(table: tuple[list[str], np.ndarray, np.ndarray], chars: int
     pieces, ends, counts = table
     k = int(np.searchsorted(ends, chars, side="right"))
     done, tokens = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
-    return tokens if k >= len(pieces) or done == chars else tokens + piece_counts(pieces[k][:chars - done], vocabulary)[-1]
+    return tokens if k >= len(pieces) or done == chars else tokens + piece_counts(encoder(vocabulary).shown(pieces[k])[:chars - done], vocabulary)[-1]
 
 
 def fitting_prefix(table: tuple[list[str], np.ndarray, np.ndarray], budget: int, vocabulary: str) -> int:
@@ -172,7 +190,7 @@ def fitting_prefix(table: tuple[list[str], np.ndarray, np.ndarray], budget: int,
     if k == len(pieces):
         return int(ends[-1]) if k else 0
     done, tokens = (int(ends[k - 1]), int(counts[k - 1])) if k else (0, 0)
-    piece = pieces[k]
+    piece = encoder(vocabulary).shown(pieces[k])
     if len(piece) > 200:  # bisect: a whole text that could not be cut
         low, high = 0, len(piece)
         while low < high:
