@@ -51,7 +51,7 @@ query("w09_consolidation", "signals", f"SELECT symbol, {DATE}, is_consolidating
 query("w10_rs_ranks", "signals idx", f"""
 SELECT symbol, {DATE}, rs_score, {rnd('momentum_12m - b')} AS excess_12m FROM signals LEFT JOIN (SELECT date, (level/lag(level, 251) OVER (ORDER BY date) - 1)*100 AS b FROM idx) USING (date)
 WHERE timeframe = 'D' AND momentum_12m IS NOT NULL""")(
-    lambda v: indicators.rs_ranks_vs_index(v.signals, v.index).select("symbol", "date", "rs_score", "excess_12m"))
+    lambda v: indicators.rs_ranks_vs_index(v.scored, v.index, v.parts).select("symbol", "date", "rs_score", "excess_12m"))
 MOM = lambda skip, look: f"CASE WHEN lag(close, {look}) OVER w <> 0 THEN {'close' if not skip else f'lag(close, {skip}) OVER w'}/lag(close, {look}) OVER w - 1 END"
 VOL = "CASE WHEN count(ret) OVER v >= 63 THEN stddev_samp(ret) OVER v * sqrt(252::DOUBLE) END"
 cte("factorsw", "prices", f"""
