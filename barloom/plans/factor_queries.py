@@ -181,7 +181,7 @@ query("w25_three_state_regime", "asks", f"""
 WITH states AS (SELECT CAST(0 AS BIGINT) AS k, 1 AS state, 0 AS streak UNION ALL SELECT k, CASE WHEN want <> state AND streak + 1 >= 5 THEN want ELSE state END,
  CASE WHEN want = state OR streak + 1 >= 5 THEN 0 ELSE streak + 1 END FROM (SELECT a.k, w.state, w.streak, CASE WHEN a.ask = 3 THEN CASE WHEN w.state = 2 THEN 2 ELSE 1 END ELSE a.ask END AS want FROM states w JOIN asks a ON a.k = w.k + 1))
 SELECT CAST(-1 AS BIGINT) AS symbol, {DATE}, state AS regime FROM states JOIN asks USING (k)""")(lambda v: regime.three_state(
-    indicators.indicator_panel(v.index_bars), regime.ema_breadth(v.panel.filter("timeframe = 'D'"))))
+    indicators.indicator_panel(v.index_bars, even=None), regime.ema_breadth(v.panel.filter("timeframe = 'D'"))))
 query("w56_index_trend", "idx", f"""
 SELECT level > e50 AND level > e200 AND e50 > e200 AS bullish FROM (SELECT *, {ema_sql('level', 50, seed='s50').replace('OVER w', 'OVER (ORDER BY date)')} AS e50, {ema_sql('level', 200, seed='s200').replace('OVER w', 'OVER (ORDER BY date)')} AS e200 FROM (
  SELECT *, row_number() OVER (ORDER BY date) - 1 AS bar, avg(level) OVER (ORDER BY date ROWS 49 PRECEDING) AS s50, avg(level) OVER (ORDER BY date ROWS 199 PRECEDING) AS s200 FROM idx)) ORDER BY date DESC LIMIT 1""")(
@@ -191,7 +191,7 @@ SELECT level > e50 AND level > e200 AND e50 > e200 AS bullish FROM (SELECT *, {e
 def index_signals(v):
     from barloom.operators.indicators import indicator_panel, score_signals
 
-    return score_signals(indicator_panel(v.index_bars)).select("date", (c("close") > c("ema200")).alias("is_bullish")).filter(F.dayofmonth("date") % 5 == 0)
+    return score_signals(indicator_panel(v.index_bars, even=None)).select("date", (c("close") > c("ema200")).alias("is_bullish")).filter(F.dayofmonth("date") % 5 == 0)
 
 
 query("j05_regime_on_day", "idxpanel nav", f"""

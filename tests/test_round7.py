@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 
 from barloom.operators import indicators
+from barloom.session import apply_settings
+from barloom.sources import views
+
+ROOT = "/root/testdata/sf0.001"
 
 
 def test_ranks_against_the_index_replace_older_ones(spark):
@@ -15,3 +21,24 @@ def test_ranks_against_the_index_replace_older_ones(spark):
     index = spark.createDataFrame([(day, 100.0)], "date date, level double")
     got = {r["symbol"]: r["rs_score"] for r in indicators.rs_ranks_vs_index(signals, index).collect()}
     assert got == {1: 100.0, 2: 75.0, 3: 50.0, 4: 25.0}
+
+
+def test_even_rsi_of_the_views_is_the_quotient_of_the_sql(spark):
+    """Walks that are back at their start after 14 moves: the SQL's quotient is 50 or one last bit beside it."""
+    draw, rows, want = random.Random(7), [], {}
+    for symbol in range(400):
+        walk = [round(draw.uniform(90, 110), 4) for _ in range(14)]
+        walk.append(walk[0])
+        moves = [b - a for a, b in zip(walk, walk[1:])]
+        gain, loss = 0.0, 0.0
+        for x in moves:
+            gain, loss = gain + max(x, 0.0), loss + max(-x, 0.0)
+        d = 1.0 - 1.0 / 14
+        gain, loss = (x / 14 * math.pow(d, -14) * math.pow(d, 14) for x in (gain, loss))
+        want[symbol] = 100.0 * gain / (gain + loss)
+        rows += [(symbol, dt.date(2000, 1, 1 + k), close, close + 1, close - 1, close, 1.0) for k, close in enumerate(walk)]
+    v = views.Views(apply_settings(spark), ROOT)
+    v.bars = spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume double")
+    got = {r["symbol"]: r["rsi"] for r in v.panel.filter("timeframe = 'D' AND _bar = 14").select("symbol", "rsi").collect()}
+    assert got == want
+    assert 0 < sum(x != 50.0 for x in got.values()) < 200
