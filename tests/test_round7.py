@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
-from barloom.operators import indicators
+import __spark_entry__ as contract
+from barloom.operators import indicators, screens
 from barloom.session import apply_settings
 from barloom.sources import views
 
@@ -42,3 +44,22 @@ def test_even_rsi_of_the_views_is_the_quotient_of_the_sql(spark):
     got = {r["symbol"]: r["rsi"] for r in v.panel.filter("timeframe = 'D' AND _bar = 14").select("symbol", "rsi").collect()}
     assert got == want
     assert 0 < sum(x != 50.0 for x in got.values()) < 200
+
+
+def plan(spark, name):
+    return contract.QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_is_half_away_from_zero_without_decimal_texts(spark):
+    """Halves, signs, large values, nulls and values that are no numbers; no text is made of a double."""
+    values = [0.0, 1.5, -1.5, 2.5, 0.49, -0.49, 123456.5, -7.0, 9e15, -3e300, None, float("inf")]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double")
+    got = [r[0] for r in df.orderBy("k").select(views.whole(df["x"])).collect()]
+    want = [x if x is None or abs(x) > 2**52 else float(Decimal(x).quantize(Decimal(1), ROUND_HALF_UP)) for x in values]
+    assert got == want
+    assert "round(" not in plan(spark, "w06_indicator_panel")
+
+
+def test_panel_takes_fewer_passes(spark):
+    """Long extremes by sixes on narrow rows, lags of the bars together."""
+    assert plan(spark, "w06_indicator_panel").count("Window [") <= 20
