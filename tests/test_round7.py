@@ -63,3 +63,8 @@ def test_rounding_is_half_away_from_zero_without_decimal_texts(spark):
 def test_panel_takes_fewer_passes(spark):
     """Long extremes by sixes on narrow rows, lags of the bars together."""
     assert plan(spark, "w06_indicator_panel").count("Window [") <= 20
+
+
+def test_page_and_total_read_the_stored_newest_rows(spark):
+    got = plan(spark, "t01_result_page_score")
+    assert "Window [" not in got and "FileScan parquet [l_" not in got
