@@ -68,3 +68,14 @@ def test_panel_takes_fewer_passes(spark):
 def test_page_and_total_read_the_stored_newest_rows(spark):
     got = plan(spark, "t01_result_page_score")
     assert "Window [" not in got and "FileScan parquet [l_" not in got
+
+
+def test_signals_of_a_screen_equal_those_of_its_members(spark):
+    """One pass gives what the join of the signals with the screen's own rows gives."""
+    v = views.Views(apply_settings(spark), ROOT)
+    signals, stocks = v.scored.localCheckpoint(), v.stocks.filter("symbol % 3 <> 0")
+    cols = ["date", "symbol", "entry_score"]
+    want = screens.members_of_screen(signals, screens.materialise(signals, stocks, ["near_52w_high"]), "near_52w_high")
+    got = screens.signals_of_screen(signals, stocks, "near_52w_high")
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert plan(spark, "j04_signals_in_screen").count("FileScan parquet [l_") == 1
